@@ -33,6 +33,7 @@ def get_session(
     driver_memory: str | None = None,
 ) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
