@@ -15,7 +15,7 @@ from tidemark.models import cv, design, ensemble, tune
 from tidemark.models import fit as fitting
 from tidemark.models import predict as predicting
 from tidemark.operators import charts, features, metrics
-from tidemark.plans.segments import windowed
+from tidemark.plans.segments import planned, windowed
 from tidemark.plans.series import Series
 from tidemark.plans.workflow import WorkflowConfig, run_workflow
 from tidemark.session import shared_dir
@@ -28,7 +28,7 @@ from tidemark.sources import versions
 def naive(s: Series) -> Series:
     """Seasonal-naive forecast (7 rows back) with a fixed band, beside the actual value."""
     df = windowed(s, 7, lambda w: {"yhat": F.lag("y", 7).over(w)}).filter("yhat IS NOT NULL")
-    return s.on(df.withColumns({"yhat_lower": F.col("yhat") * 0.7, "yhat_upper": F.col("yhat") * 1.3}))
+    return s.filtered(df.withColumns({"yhat_lower": F.col("yhat") * 0.7, "yhat_upper": F.col("yhat") * 1.3}))
 
 
 NAIVE = """nv AS (SELECT key, ds, y, yhat, yhat * 0.7::DOUBLE AS yhat_lower, yhat * 1.3::DOUBLE AS yhat_upper
@@ -111,8 +111,6 @@ SELECT key, {r('sum(pnl)', 3)} AS total_pnl, {r('avg(pnl) / stddev_samp(pnl) * s
 FROM q GROUP BY 1""", digits=3)
 def strategy_hot_keys(spark, d):
     """The strategy over raw rows: lags, running equity and running peak in segments."""
-    from tidemark.plans.segments import planned
-
     s = planned(ship_rows(spark, d))
     s = s.on(windowed(s, 2, lambda w: {"yhat": F.lag("y", 2).over(w)}))
     return metrics.strategy_report(s)
@@ -168,7 +166,7 @@ GAP_CTE = SUPP + ", late AS (SELECT * FROM supp WHERE month(ds) IN (1, 2, 7, 8,
 def cv_cutoffs_with_gaps(spark, d):
     """Seasonal series: cutoffs jump over gaps longer than the horizon."""
     s = supp_daily(spark, d)
-    s = s.on(s.df.filter(F.month("ds").isin(1, 2, 7, 8, 9)))
+    s = s.filtered(s.df.filter(F.month("ds").isin(1, 2, 7, 8, 9)))
     return cv.cv_cutoffs(s, "400 days", "25 days", "40 days")
 
 
@@ -466,6 +464,10 @@ def _interval(yhat: str, sd: str = "stddev_samp(yhat)") -> str:
     return f"{r(yhat)} AS yhat, {r(f'{yhat} - 1.96 * {sd}')} AS yhat_lower, {r(f'{yhat} + 1.96 * {sd}')} AS yhat_upper"
 
 
+def _interval3(yhat: str, sd: str) -> str:
+    return f"{r(yhat, 3)} AS yhat, {r(f'{yhat} - 1.96 * {sd}', 3)} AS yhat_lower, {r(f'{yhat} + 1.96 * {sd}', 3)} AS yhat_upper"
+
+
 @query(f"WITH {WEIGHTS} SELECT key, {ts('ds')} AS ds, {_interval('sum(weight * yhat)')} FROM dw GROUP BY key, ds")
 def ensemble_dynamic(spark, d):
     long, actual = _parts(spark, d)
@@ -491,8 +493,8 @@ def ensemble_inverse_error(spark, d):
   avg(last) AS ma, avg(week) AS mb, avg(y) AS my FROM bp GROUP BY 1),
 k AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM c)
 SELECT bp.key AS key, {ts('ds')} AS ds,
-{_interval('(my - wa * ma - wb * mb + wa * last + wb * week)', '(abs(last - week) / sqrt(2.0::DOUBLE))')}
-FROM bp JOIN k ON k.key = bp.key""")
+{_interval3('(my - wa * ma - wb * mb + wa * last + wb * week)', '(abs(last - week) / sqrt(2.0::DOUBLE))')}
+FROM bp JOIN k ON k.key = bp.key""", digits=3)
 def ensemble_stacking(spark, d):
     """Ridge on two model columns, against its closed form."""
     long, actual = _parts(spark, d)
@@ -509,8 +511,8 @@ def align_models(spark, d):
 def _train_and_test(s: Series):
     split = features.split_train_test(s)
     return (
-        s.on(split.df.filter("is_train").drop("is_train")),
-        s.on(split.df.filter(~F.col("is_train")).drop("is_train")),
+        s.filtered(split.df.filter("is_train").drop("is_train")),
+        s.filtered(split.df.filter(~F.col("is_train")).drop("is_train")),
     )
 
 
@@ -553,7 +555,7 @@ def feature_components(spark, d):
     from tidemark.operators.reduce import principal_components
 
     s = features.rolling_columns(seg_daily(spark, d), (7, 30), ("mean", "std", "min", "max"))
-    s = s.on(s.df.na.drop("any"))
+    s = s.filtered(s.df.na.drop("any"))
     cols = [c for c in s.df.columns if c.startswith("rolling_")]
     out = principal_components(s, cols, 3)
     return out.groupBy("key").agg(*[F.stddev_pop(f"pc_{i}").alias(f"spread_{i}") for i in (1, 2, 3)])

@@ -1,18 +1,20 @@
 """Forecasts from fitted parameters.
 
 The forecast and its components are column expressions over rows joined with their key's
-parameters: no Python, and no grouping. Only the interval of future rows, which comes from
-simulated trend changes, runs in Python, on the few future rows of each key.
+parameters: no grouping, no shuffle beyond that join. Intervals come from simulated trend
+changes. Their random numbers depend on the key alone, so rows may meet the simulation in any
+batch and one narrow Arrow pass does for all rows.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.models.design import ForecastOptions, fourier, hinges, scaled_time
+from tidemark.models.design import ForecastOptions, fourier, scaled_time
 from tidemark.models.fit import key_schema
 from tidemark.plans.segments import attach
 from tidemark.plans.series import Series
@@ -20,16 +22,33 @@ from tidemark.plans.series import Series
 FORECAST_COLUMNS = ("yhat", "yhat_lower", "yhat_upper", "trend", "yearly", "weekly", "daily")
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+def _compact(params: DataFrame, keys: list[str]) -> DataFrame:
+    """What a row needs of its key's parameters, prepared once per key rather than per row.
+
+    Slope changes that the prior shrank to nothing are left out: each row walks the rest.
+    """
+    theta, n_cps = F.col("trend"), F.size("cps").cast("double")
+    sizes = F.slice(theta, 3, F.greatest(F.size(theta) - 2, F.lit(0)))
+    pairs = F.zip_with(sizes, "cps", lambda c, at: F.struct(c.alias("change"), at.alias("at")))
+    total = F.aggregate(sizes, F.lit(0.0), lambda acc, v: acc + F.abs(v))
+    slope = F.when(F.col("growth") == "logistic", F.col("cap") / 4).otherwise(F.lit(1.0))
+    return params.select(
+        *keys, "growth", "mode", "t0", "t1", "y_scale", "floor", "cap", "beta", "reg_mean",
+        "reg_std", "reg_beta", "sigma",
+        F.get(theta, F.lit(0)).alias("_level"), F.get(theta, F.lit(1)).alias("_slope"),
+        F.filter(pairs, lambda p: F.abs(p["change"]) > 1e-12).alias("_bends"),
+        n_cps.alias("_rate"),
+        (F.coalesce(F.try_divide(total, n_cps), F.lit(0.0)) * slope).alias("_change"),
+    )
 
 
 def point_forecast(rows: DataFrame, ds: str, options: ForecastOptions) -> DataFrame:
     """Add yhat, trend and components to rows that carry their key's parameters."""
     t = scaled_time(F.col(ds))
-    theta = F.col("theta")
-    line = F.get(theta, F.lit(0)) + F.get(theta, F.lit(1)) * t
-    line = line + _dot(F.slice(theta, 3, F.greatest(F.size(theta) - 2, F.lit(0))), hinges(t))
+    line = F.col("_level") + F.col("_slope") * t
+    line = line + F.aggregate(
+        "_bends", F.lit(0.0), lambda acc, p: acc + p["change"] * F.greatest(t - p["at"], F.lit(0.0))
+    )
     logistic = F.col("cap") / (1 + F.exp(-line))
     trend = F.when(F.col("growth") == "logistic", logistic).otherwise(line)
     df = rows.withColumns({"_t": t, "_g": trend})
@@ -63,32 +82,26 @@ def point_forecast(rows: DataFrame, ds: str, options: ForecastOptions) -> DataFr
     ).drop("_x", "_g", *[f"_s_{n}" for n in names])
 
 
-def _normal_point(width: float) -> float:
-    from statistics import NormalDist
-
-    return NormalDist().inv_cdf(0.5 + width / 2)
-
-
 def simulate_deviation(
     t: np.ndarray, rate: float, change: float, sigma: float, lift: np.ndarray, samples: int,
     width: float, seed: int,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Interval of (trend change effect * lift + noise) at scaled times t > 1, by simulation.
+    """Interval of (trend change effect * lift + noise) at scaled times t, by simulation.
 
-    Future slope changes come at the past rate with the past mean size.
+    After t = 1 slope changes come at the past rate with the past mean size. The j-th change of
+    all sample paths has a generator of its own, so the result at a time does not depend on
+    which other times are asked for.
     """
-    rng = np.random.default_rng(seed)
-    reach = max(float(t.max()) - 1.0, 0.0)
-    counts = rng.poisson(rate * reach, samples)
-    most = int(counts.max()) if samples else 0
-    at = 1.0 + rng.uniform(0, 1, (samples, most)) * reach
-    size = rng.laplace(0, change + 1e-8, (samples, most))
-    size[np.arange(most)[None, :] >= counts[:, None]] = 0.0
+    noise = np.random.default_rng([seed, 0]).normal(0, sigma, samples)
     bend = np.zeros((samples, len(t)))
-    for j in range(most):
-        bend += size[:, j : j + 1] * np.maximum(t[None, :] - at[:, j : j + 1], 0.0)
-    noise = rng.normal(0, sigma, (samples, len(t)))
-    spread = bend * lift[None, :] + noise
+    at, last, j = np.ones(samples), float(t.max()), 0
+    while rate > 0 and (at < last).any():
+        j += 1
+        rng = np.random.default_rng([seed, j])
+        at = at + rng.exponential(1 / rate, samples)
+        size = rng.laplace(0, change + 1e-8, samples)
+        bend += size[:, None] * np.maximum(t[None, :] - at[:, None], 0.0)
+    spread = bend * lift[None, :] + noise[:, None]
     low, high = np.quantile(spread, [0.5 - width / 2, 0.5 + width / 2], axis=0)
     return np.minimum(low, 0.0), np.maximum(high, 0.0)
 
@@ -99,49 +112,42 @@ def predict(
     """Forecast the rows of ``frame``: keys, time and any regressor columns.
 
     ``params`` comes from a fit; keys whose fit failed give no rows. Rows up to the last
-    training time get the noise interval, later rows the simulated one.
+    training time get the noise interval, later rows that of the simulated trend as well.
     """
     keys, ds = list(frame.keys), frame.ds
-    ok = params.filter(F.col("status") == "ok").withColumnRenamed("trend", "theta")
-    rows = attach(frame, ok).filter(F.col("status") == "ok")
-    df = point_forecast(rows, ds, options)
-    reach = _normal_point(options.interval_width) * F.col("sigma") * F.col("y_scale")
+    ok = _compact(params.filter(F.col("status") == "ok"), keys)
+    rows = attach(frame, ok).filter(F.col("_rate").isNotNull())
     names = list(dict.fromkeys([*(x.name for x in options.seasons()), "yearly", "weekly", "daily"]))
     out = [*keys, ds, "yhat", "yhat_lower", "yhat_upper", "trend", *names]
-    past = df.filter(F.col("_t") <= 1).withColumns(
-        {"yhat_lower": F.col("yhat") - reach, "yhat_upper": F.col("yhat") + reach}
-    )
-    n_cps = F.size("cps")
-    sizes = F.slice("theta", 3, F.greatest(F.size("theta") - 2, F.lit(0)))
-    total = F.aggregate(sizes, F.lit(0.0), lambda acc, v: acc + F.abs(v))
-    slope = F.when(F.col("growth") == "logistic", F.col("cap") / 4).otherwise(F.lit(1.0))
-    future = df.filter(F.col("_t") > 1).select(
-        *keys, ds, "yhat", "trend", *names, F.col("_t").alias("t"), F.col("_lift").alias("lift"),
-        n_cps.cast("double").alias("rate"),
-        (F.coalesce(F.try_divide(total, n_cps.cast("double")), F.lit(0.0)) * slope).alias("change"),
-        "sigma", "y_scale",
-        F.xxhash64(F.lit(seed), *keys).alias("seed"),
+    df = point_forecast(rows, ds, options).select(
+        *keys, ds, "yhat", "trend", *names, "_t", "_lift", "_rate", "_change", "sigma", "y_scale",
+        F.xxhash64(F.lit(seed), *keys).alias("_seed"),
     )
     samples, width = options.samples, options.interval_width
 
-    def bounds(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(ds).reset_index(drop=True)
-        head = rows.iloc[0]
-        low, high = simulate_deviation(
-            rows["t"].to_numpy(), head["rate"], head["change"], head["sigma"],
-            rows["lift"].to_numpy(), samples, width, int(head["seed"]) & ((1 << 63) - 1),
-        )
-        rows["yhat_lower"] = rows["yhat"] + low * head["y_scale"]
-        rows["yhat_upper"] = rows["yhat"] + high * head["y_scale"]
-        return rows[out]
+    def bounds(batches):
+        reach = NormalDist().inv_cdf(0.5 + width / 2)
+        for rows in batches:
+            low = -reach * rows["sigma"].to_numpy()
+            high = -low
+            t, lift = rows["_t"].to_numpy(), rows["_lift"].to_numpy()
+            ahead = np.flatnonzero(t > 1)
+            for _, at in rows.iloc[ahead].groupby("_seed", sort=False).indices.items():
+                at = ahead[at]
+                head = rows.iloc[at[0]]
+                low[at], high[at] = simulate_deviation(
+                    t[at], head["_rate"], head["_change"], head["sigma"], lift[at], samples, width,
+                    int(head["_seed"]) & ((1 << 63) - 1),
+                )
+            scale, yhat = rows["y_scale"].to_numpy(), rows["yhat"].to_numpy()
+            rows["yhat_lower"], rows["yhat_upper"] = yhat + low * scale, yhat + high * scale
+            yield rows[out]
 
     kinds = {f.name: f.dataType.simpleString() for f in frame.df.schema.fields}
     schema = f"{key_schema(frame.df, keys)}, `{ds}` {kinds[ds]}, " + ", ".join(
         f"`{c}` double" for c in out[len(keys) + 1 :]
     )
-    # A key's group holds its forecast horizon only.
-    ahead = future.groupBy(*keys).applyInPandas(bounds, schema)
-    return past.select(*out).unionByName(ahead)
+    return df.mapInPandas(bounds, schema)
 
 
 def report_table(forecast: DataFrame, history_end: DataFrame, periods: int, keys=("key",), ds: str = "ds") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip
 from tidemark.operators.quantiles import quantiles, value_ranks, with_quantiles
-from tidemark.plans.segments import attach, fill, planned, with_stats
+from tidemark.plans.segments import attach, fill, planned, settle, with_stats
 from tidemark.plans.series import Series, numeric_columns
 
 # Fixed value: the 97.5 % and 50 % points of the chi-square distribution with one degree.
@@ -26,7 +26,7 @@ def _measures(s: Series) -> list[str]:
 
 
 def drop_missing(s: Series, subset: Sequence[str] | None = None) -> Series:
-    return s.on(s.df.na.drop("any", subset=list(subset) if subset else None))
+    return s.filtered(s.df.na.drop("any", subset=list(subset) if subset else None))
 
 
 def impute(s: Series) -> Series:
@@ -64,7 +64,7 @@ def interpolate(s: Series, cols: Sequence[str] | None = None) -> Series:
         )
 
     df = fill(s, {f"_p_{c}": known(c) for c in cols}, forward=True)
-    df = fill(s.on(df), {f"_n_{c}": known(c) for c in cols}, forward=False)
+    df = fill(settle(s.on(df)), {f"_n_{c}": known(c) for c in cols}, forward=False)
     now = F.unix_micros(F.col(s.ds).cast("timestamp"))
     out = {}
     for c in cols:
@@ -318,7 +318,7 @@ DETECTORS: dict[str, Callable[..., Series]] = {
 
 
 def remove_outliers(s: Series) -> Series:
-    return s.on(s.df.filter(~F.col("is_outlier")))
+    return s.filtered(s.df.filter(~F.col("is_outlier")))
 
 
 def clip_outliers(s: Series, low: float = 0.01, high: float = 0.99) -> Series:

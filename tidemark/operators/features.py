@@ -10,7 +10,7 @@ from pyspark.sql.window import WindowSpec
 
 from tidemark.functions.calendar import add_calendar
 from tidemark.operators.profile import decorrelate
-from tidemark.plans.segments import attach, fill, numbered, planned, windowed, with_stats
+from tidemark.plans.segments import attach, fill, numbered, planned, settle, windowed, with_stats
 from tidemark.plans.series import Series, numeric_columns, strip_tz
 
 LAGS = (1, 7, 14, 30)
@@ -24,7 +24,7 @@ def add_lags(
     """``{col}_lag_{n}``; then rows with any NULL in any column go, as the warm-up rows do."""
     col = col or s.y
     df = windowed(s, max(lags), lambda w: {f"{col}_lag_{n}": F.lag(col, n).over(w) for n in lags})
-    return s.on(df.na.drop("any") if drop_rows else df)
+    return s.filtered(df.na.drop("any")) if drop_rows else s.on(df)
 
 
 def _statistic(w: WindowSpec, y: Column, n: int, kind: str) -> Column:
@@ -72,7 +72,7 @@ def add_rolling(
     col = col or s.y
     names = {f"rolling_{k}_{n}": k for n in windows for k in statistics}
     out = rolling_columns(s, windows, statistics, col)
-    out = s.on(fill(out, {n: F.col(n) for n in names}, forward=False))
+    out = s.on(fill(settle(out), {n: F.col(n) for n in names}, forward=False))
     whole = {"mean": F.avg(col), "std": F.stddev_samp(col), "min": F.min(col), "max": F.max(col)}
     used = {f"_g_{k}": whole[k] for k in statistics if k in whole}
     df = with_stats(out, used) if used else out.df
@@ -153,7 +153,7 @@ def prepare(
     out = add_rolling(add_lags(planned(s)))
     out = out.on(add_calendar(out.df, out.ds))
     out, dropped = decorrelate(out, threshold, preserve=(s.ds, s.y))
-    out = split_train_test(out.on(out.df.na.drop("any") if drop_rows else out.df), ratio)
+    out = split_train_test(out.filtered(out.df.na.drop("any")) if drop_rows else out, ratio)
     out = standardize(out, fit_on=fit_on)
     return out.on(strip_tz(out.df, out.ds)), dropped
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.segments import running, windowed
+from tidemark.plans.segments import planned, running, settle, windowed
 from tidemark.plans.series import Series
 
 
@@ -136,6 +136,7 @@ def directional_accuracy(s: Series) -> DataFrame:
 def strategy_returns(s: Series) -> Series:
     """Hold the sign of the forecast move for one step: position, return and running equity."""
     last = lambda w: F.lag("y").over(w)
+    s = planned(s)
     df = windowed(
         s, 1,
         lambda w: {
@@ -144,14 +145,14 @@ def strategy_returns(s: Series) -> Series:
         },
     )
     df = df.withColumn("pnl", F.coalesce(F.col("position") * F.col("_ret"), F.lit(0.0))).drop("_ret")
-    return s.on(running(s.on(df), sums={"equity": F.col("pnl")}))
+    return s.on(running(settle(s.on(df)), sums={"equity": F.col("pnl")}))
 
 
 def strategy_report(s: Series, periods_per_year: int = 252) -> DataFrame:
     """Total profit, Sharpe ratio and largest drawdown of the forecast-sign strategy."""
     held = strategy_returns(s)
     # The peak starts at 0, the equity before the first step.
-    df = running(held, maxima={"_peak": F.greatest("equity", F.lit(0.0))})
+    df = running(settle(held), maxima={"_peak": F.greatest("equity", F.lit(0.0))})
     return df.groupBy(*s.keys).agg(
         F.sum("pnl").alias("total_pnl"),
         (F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")) * F.sqrt(F.lit(float(periods_per_year)))).alias("sharpe"),

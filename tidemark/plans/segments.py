@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from tidemark.plans.series import Series
+from tidemark.session import settled
 
 CELL, SEG, HOME, BASE = "_cell", "_seg", "_home", "_base"
 MAX_CELLS = 50_000
@@ -65,13 +66,16 @@ def _position(df: DataFrame, col: str) -> Column:
 
 
 def planned(s: Series) -> Series:
-    """Look at an unbounded series once, so that several operators can share the cell borders.
+    """Look at an unbounded series once, so that several operators can share the findings.
 
     Counts the rows and, if they exceed one segment, fits a quantile sketch on at most about
     ``SKETCH_ROWS`` sampled order values (the sample only places cell borders; every row is
-    kept). A table of at most one segment is bounded by its count.
+    kept) and lays out the segments of the long keys. The layout has at most
+    ``CELLS_PER_SEGMENT`` rows for each segment's worth of table rows; it is written to the
+    shared folder, so later operators neither count again nor grow each other's plans. Without
+    long keys the series is bounded, and operators take the plain way.
     """
-    if s.bounded or s.splits is not None:
+    if s.bounded or s.layout is not None:
         return s
     total = s.df.count()
     if total <= s.segment_rows:
@@ -84,39 +88,54 @@ def planned(s: Series) -> Series:
         numBuckets=cells, inputCol="_pos", outputCol=CELL, relativeError=0.25 / cells,
         handleInvalid="keep",
     ).fit(sketch)
-    return replace(s, splits=tuple(model.getSplits()), total=total)
-
-
-def segment(s: Series, lookback: int = 0) -> Segments:
-    """Split long keys so that any frame of ``lookback`` preceding rows is whole."""
-    s = planned(s)
-    if s.bounded:
-        return Segments(s, s.df, list(s.keys), False)
-    rows = max(s.segment_rows, math.ceil(CELLS_PER_SEGMENT * s.total / (len(s.splits) - 1)))
-    placed = Bucketizer(
-        splits=list(s.splits), inputCol="_pos", outputCol=CELL, handleInvalid="keep"
-    ).transform(s.df.withColumn("_pos", _position(s.df, s.ds)))
-    placed = placed.withColumn(CELL, F.col(CELL).cast("int")).drop("_pos")
-
+    splits = tuple(model.getSplits())
+    rows = max(s.segment_rows, math.ceil(CELLS_PER_SEGMENT * total / (len(splits) - 1)))
     keys = list(s.keys)
-    # At most `cells` rows per key, whatever the key's length.
+    # At most one row per key and cell, whatever the key's length.
     per_key = Window.partitionBy(*keys)
     earlier = per_key.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     layout = (
-        placed.groupBy(*keys, CELL)
+        _in_cells(s, splits)
+        .groupBy(*keys, CELL)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .withColumn("_all", F.sum("_n").over(per_key))
         .filter(F.col("_all") > rows)
         .withColumn("_own", F.floor(F.col("_before") / rows))
         .withColumn(BASE, F.min("_before").over(Window.partitionBy(*keys, "_own")))
+        .select(*keys, CELL, "_before", "_own", BASE)
     )
+    layout = settled(layout)
+    if layout.isEmpty():
+        return replace(s, max_rows=rows, segment_rows=rows)
+    return replace(s, splits=splits, layout=layout)
+
+
+def settle(s: Series) -> Series:
+    """Cut the lineage of an unbounded series before its rows feed several branches."""
+    return s if s.bounded else s.on(settled(s.df))
+
+
+def _in_cells(s: Series, splits: tuple[float, ...]) -> DataFrame:
+    cut = Bucketizer(splits=list(splits), inputCol="_pos", outputCol=CELL, handleInvalid="keep")
+    placed = cut.transform(s.df.withColumn("_pos", _position(s.df, s.ds)))
+    return placed.withColumn(CELL, F.col(CELL).cast("int")).drop("_pos")
+
+
+def segment(s: Series, lookback: int = 0) -> Segments:
+    """Split long keys so that any frame of ``lookback`` preceding rows is whole."""
+    s = planned(s)
+    if s.bounded:
+        return Segments(s, s.df, list(s.keys), False)
+    keys, layout = list(s.keys), s.layout
+    placed = _in_cells(s, s.splits)
     copies = F.array("_own")
     if lookback:
         # Segments with a cell that starts within `lookback` rows of the next cell's start.
-        ahead = per_key.orderBy("_before").rangeBetween(0, lookback - 1)
+        order = Window.partitionBy(*keys).orderBy("_before")
+        ahead = order.rangeBetween(0, lookback - 1)
         layout = layout.withColumn("_ahead", F.collect_set("_own").over(ahead))
-        later = F.lead("_ahead").over(per_key.orderBy("_before"))
+        later = F.lead("_ahead").over(order)
         copies = F.array_distinct(F.concat(copies, F.coalesce(later, F.array().cast("array<bigint>"))))
     layout = layout.withColumn("_segs", copies).select(*keys, CELL, "_own", BASE, "_segs")
     zero = F.lit(0).cast("long")

@@ -30,9 +30,10 @@ class Series:
     seq: tuple[str, ...] = ()
     max_rows: int | None = None
     segment_rows: int = SEGMENT_ROWS
-    # Cell borders of the order column, once `planned` has looked at an unbounded series.
+    # Cell borders of the order column and the segments of long keys, once `planned` has
+    # looked at an unbounded series.
     splits: tuple[float, ...] | None = None
-    total: int | None = None
+    layout: DataFrame | None = None
 
     @property
     def order(self) -> list[str]:
@@ -43,15 +44,19 @@ class Series:
         return self.max_rows is not None and self.max_rows <= self.segment_rows
 
     def on(self, df: DataFrame) -> Series:
-        """The same series over a changed frame that has no additional rows."""
+        """The same rows with other columns."""
         return replace(self, df=df)
 
+    def filtered(self, df: DataFrame) -> Series:
+        """Some of the rows: a bound still holds, the place of segments does not."""
+        return replace(self, df=df, splits=None, layout=None)
+
     def reordered(
         self, df: DataFrame, ds: str, seq: Sequence[str] = (), max_rows: int | None = None
     ) -> Series:
         """A series over other rows or another order; nothing known of the old order holds."""
         return replace(
-            self, df=df, ds=ds, seq=tuple(seq), max_rows=max_rows, splits=None, total=None
+            self, df=df, ds=ds, seq=tuple(seq), max_rows=max_rows, splits=None, layout=None
         )
 
     def select(self, *cols: str | Column) -> DataFrame:

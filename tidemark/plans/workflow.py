@@ -61,7 +61,7 @@ def run_workflow(s: Series, config: WorkflowConfig = WorkflowConfig()) -> dict[s
         out["features"] = prepared.df
 
     split = split_train_test(cleaned, config.test_ratio)
-    train = cleaned.on(split.df.filter("is_train").drop("is_train"))
+    train = cleaned.filtered(split.df.filter("is_train").drop("is_train"))
     test = split.df.filter(~F.col("is_train")).select(*s.keys, F.col(s.ds).alias("ds"), F.col(s.y).alias("y"))
     if config.grid or config.cross_validate:
         if config.initial:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+
+# Tasks get the package's functions by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules["tidemark"])
 
 # All are runtime settings, so an existing session can be configured too.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Merge shuffle partitions down to the number of cores, not to a size: windows, fits and
+    # generated calendars cost far more per byte than a plain shuffle read.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join partition even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
@@ -45,6 +54,17 @@ def get_session(
     return configure(spark)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: the plan starts anew from there.
+
+    Used where one result feeds several branches, or a chain of them: without it every branch
+    would run its whole history again. A lost executor re-reads files.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder for tables that cut lineage.
 

@@ -134,7 +134,7 @@ def make_bars(
     size = F.lit(size) if isinstance(size, float) else (F.col(size) if isinstance(size, str) else size)
     at = F.struct(ts, *tie)
     bars = (
-        date_range(df, end, start, ds=ts)
+        normalise(date_range(df, end, start, ds=ts))
         .groupBy(F.col(key).alias("key"), bar_start(F.col(ts), interval).alias("ds"))
         .agg(
             F.min_by(price, at).alias("Open"),
@@ -162,13 +162,18 @@ def resample_bars(s: Series, interval: str, start: str, end: str) -> Series:
 
 
 def daily(
-    df: DataFrame, key: Column, ds: Column, y: Column, start: str, end: str, **extra: Column
+    df: DataFrame, key: Column, ds: str, y: Column, start: str, end: str, **extra: Column
 ) -> Series:
-    """Aggregate a fact table to one row per key and day: y plus any extra aggregates."""
-    rows = df.groupBy(key.cast("string").alias("key"), F.date_trunc("day", ds).alias("ds")).agg(
+    """Aggregate a fact table to one row per key and day in [start, end): y plus any extras.
+
+    The range filters the stored column before any cast, so it reaches the scan; the
+    aggregation combines map-side, so a hot key sends one row per day and task.
+    """
+    rows = normalise(date_range(df, end, start, ds=ds))
+    rows = rows.groupBy(key.cast("string").alias("key"), F.date_trunc("day", ds).alias("ds")).agg(
         y.alias("y"), *[c.alias(n) for n, c in extra.items()]
     )
-    return series(date_range(rows, end, start), max_rows=slots(start, end, 86400))
+    return series(rows, max_rows=slots(start, end, 86400))
 
 
 def to_series(df: DataFrame, ts: str, target: str = "Adj Close", key: str = "key") -> DataFrame:
