@@ -34,9 +34,12 @@ def smooth_arrays(y: np.ndarray, steps: int, period: int = 30) -> np.ndarray:
         raise ValueError(f"exponential smoothing needs {2 * period} rows, got {len(y)}")
     a, b, g = (np.array(v) for v in zip(*itertools.product(*SMOOTHING_GRID.values())))
     first, second = y[:period].mean(), y[period : 2 * period].mean()
-    level = np.full(len(a), first)
-    slope = np.full(len(a), (second - first) / period)
-    season = np.tile((y[:period] - first)[:, None], (1, len(a)))
+    step = (second - first) / period
+    line = first + step * (np.arange(2 * period) - (period - 1) / 2)
+    waves = (y[: 2 * period] - line).reshape(2, period).mean(axis=0)
+    level = np.full(len(a), line[0] - step)
+    slope = np.full(len(a), step)
+    season = np.tile(waves[:, None], (1, len(a)))
     sse = np.zeros(len(a))
     for i, value in enumerate(y):
         wave = season[i % period]

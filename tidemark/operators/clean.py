@@ -13,6 +13,7 @@ from tidemark.functions.scalars import clip
 from tidemark.operators.quantiles import quantiles, value_ranks, with_quantiles
 from tidemark.plans.segments import attach, fill, planned, settle, with_stats
 from tidemark.plans.series import Series, numeric_columns
+from tidemark.session import settled
 
 # Fixed value: the 97.5 % and 50 % points of the chi-square distribution with one degree.
 CHI2_975, CHI2_500 = 5.023886187314888, 0.454936423119572
@@ -158,9 +159,17 @@ def envelope_outliers(s: Series, contamination: float = 0.1) -> Series:
     """
     s = planned(s)
     keys = list(s.keys)
-    ranks = value_ranks(s, s.y)
+
+    def kept(df: DataFrame) -> DataFrame:
+        """Tables that several branches read start a new plan where rows are unbounded."""
+        return df if s.bounded else settled(df)
+
+    ranks = kept(value_ranks(s, s.y))
     half = F.ceil((F.col("n") + 2) / 2)
-    ends = ranks.select(*keys, F.col("lo").alias("rank"), F.lit(0).alias("side"), F.col("v").alias("at"), F.lit(None).cast("double").alias("start"))
+    ends = ranks.select(
+        *keys, F.col("lo").alias("rank"), F.lit(0).alias("side"), F.col("v").alias("at"),
+        F.lit(None).cast("double").alias("start"),
+    )
     starts = ranks.filter(F.col("lo") + half < F.col("n")).select(
         *keys, (F.col("lo") + half).alias("rank"), F.lit(1).alias("side"),
         F.lit(None).cast("double").alias("at"), F.col("v").alias("start"),
@@ -170,47 +179,38 @@ def envelope_outliers(s: Series, contamination: float = 0.1) -> Series:
         ends.unionByName(starts), "rank", ("side", "start"),
         max_rows=2 * s.max_rows if s.bounded else None,
     )
-    spans = fill(wide, {"end": F.col("at")}).filter("side = 1")
-    spans = spans.select(*keys, "start", (F.col("end") - F.col("start")).alias("len"), ((F.col("end") + F.col("start")) / 2).alias("mid"))
-    best = spans.groupBy(*keys).agg(F.min("len").alias("_best"))
-    centre = (
-        attach(wide.reordered(spans, "start", max_rows=wide.max_rows), best)
-        .filter(F.col("len") == F.col("_best"))
-        .groupBy(*keys)
-        .agg(F.avg("mid").alias("_loc"))
-    )
-    every = s.df.groupBy(*keys).agg(F.count(s.y).alias("_n"), F.avg(s.y).alias("_avg"))
-    centre = every.join(centre, keys, "left").select(
-        *keys, "_n", F.coalesce("_loc", "_avg").alias("_loc")
+    spans = fill(wide, {"end": F.col("at")}).filter("side = 1").select(
+        *keys, "start", (F.col("end") - F.col("start")).alias("len"),
+        ((F.col("end") + F.col("start")) / 2).alias("mid"),
     )
-    dev = s.on(attach(s, centre).withColumn("_dev", F.abs(F.col(s.y) - F.col("_loc"))))
-
-    # The half-th nearest deviation: quantile (h-1)/(n-1) falls exactly on that rank.
-    near = value_ranks(dev, "_dev")
-    h = F.ceil((F.col("n") + 2) / 2)
-    reach = near.groupBy(*keys).agg(
-        F.max(F.when((F.col("lo") <= h - 1) & (h - 1 < F.col("hi")), F.col("v"))).alias("_reach"),
-        F.max("v").alias("_far"),
+    # Spans of equal length are as many as distinct values: the mean of their middles is
+    # taken per length first, so the shortest length's mean is one row per key.
+    lengths = spans.groupBy(*keys, "len").agg(F.avg("mid").alias("mid"))
+    shortest = lengths.groupBy(*keys).agg(F.min_by("mid", "len").alias("_loc"))
+    every = s.df.groupBy(*keys).agg(F.avg(s.y).alias("_avg"))
+    centre = every.join(shortest, keys, "left").select(*keys, F.coalesce("_loc", "_avg").alias("_loc"))
+    dev = s.on(kept(attach(s, kept(centre)).withColumn("_dev", F.abs(F.col(s.y) - F.col("_loc")))))
+
+    def at_rank(k: Column) -> Column:
+        return F.max(F.when((F.col("lo") <= k) & (k < F.col("hi")), F.col("v")))
+
+    n = F.col("n")
+    near = kept(value_ranks(dev, "_dev"))
+    core = near.groupBy(*keys).agg(
+        F.coalesce(at_rank(F.ceil((n + 2) / 2) - 1), F.max("v")).alias("_reach"),
+        ((F.pow(at_rank(F.floor((n - 1) / 2)), 2) + F.pow(at_rank(F.floor(n / 2)), 2)) / 2).alias("_med2"),
     )
-    reach = reach.select(*keys, F.coalesce("_reach", "_far").alias("_reach"))
-    dev = s.on(attach(dev, reach))
-    core = F.when(F.col("_dev") <= F.col("_reach"), F.col(s.y))
-    spread = dev.df.groupBy(*keys).agg(F.var_pop(core).alias("_var"))
-    middle = quantiles(dev, {"_med": ("_dev", 0.5)})
-    # Squared distances are monotone in the deviation only at the middle ranks' squares.
-    dev = s.on(attach(dev, spread.join(middle, keys)))
-    square = F.try_divide(F.col("_dev") * F.col("_dev"), F.col("_var"))
-    dev = s.on(dev.df.withColumn("_d2", square))
-    med2 = quantiles(dev, {"_med2": ("_d2", 0.5)})
-    dev = s.on(attach(dev, med2))
-    scaled = F.try_divide(F.col("_d2"), F.col("_med2") / CHI2_500)
-    kept = F.when(scaled < CHI2_975, F.col(s.y))
-    final = dev.df.groupBy(*keys).agg(F.avg(kept).alias("_loc2"), F.var_pop(kept).alias("_var2"))
-    dev = s.on(attach(dev, final))
+    dev = s.on(attach(dev, kept(core)))
+    dev = s.on(with_stats(dev, {"_var": F.var_pop(F.when(F.col("_dev") <= F.col("_reach"), F.col(s.y)))}))
+    # Consistency: the median squared distance is scaled to that of a normal distribution.
+    scale = F.try_divide(F.col("_med2"), F.col("_var")) / CHI2_500
+    weighed = F.try_divide(F.try_divide(F.col("_dev") * F.col("_dev"), F.col("_var")), scale)
+    good = F.when(weighed < CHI2_975, F.col(s.y))
+    dev = s.on(with_stats(dev, {"_loc2": F.avg(good), "_var2": F.var_pop(good)}))
     dist = F.try_divide(F.pow(F.col(s.y) - F.col("_loc2"), 2), F.col("_var2"))
-    dev = s.on(dev.df.withColumn("_dist", dist))
+    dev = s.on(kept(dev.df.withColumn("_dist", dist)))
     df = with_quantiles(dev, {"_cut": ("_dist", 1 - contamination)})
-    helpers = ("_n", "_loc", "_dev", "_reach", "_var", "_med", "_d2", "_med2", "_loc2", "_var2", "_dist", "_cut")
+    helpers = ("_loc", "_dev", "_reach", "_med2", "_var", "_loc2", "_var2", "_dist", "_cut")
     return s.on(_flag(df, F.col("_dist") > F.col("_cut"), *helpers))
 
 
@@ -301,7 +301,7 @@ def forest_scores(s: Series, seed: int = 42) -> Series:
 
 def forest_outliers(s: Series, contamination: float = 0.1, seed: int = 42) -> Series:
     """The share ``contamination`` of each key's rows with the lowest isolation scores."""
-    scored = forest_scores(s, seed)
+    scored = settle(forest_scores(planned(s), seed))
     df = with_quantiles(scored, {"_cut": ("score", contamination)})
     return s.on(_flag(df, F.col("score") < F.col("_cut"), "_cut", "score"))
 
