@@ -151,6 +151,10 @@ def test_ema_over_many_blocks(spark):
     got = rows_of(indicators.ema_frame(s, "y", {"fast": 3, "slow": 26}, min_periods=False).df)
     close(got["fast"], x.ewm(span=3, adjust=False).mean(), 1e-9)
     close(got["slow"], x.ewm(span=26, adjust=False).mean(), 1e-9)
+    far = rows_of(indicators.ema_frame(s, "y", {"quick": 1, "fast": 2, "slow": 400}, min_periods=False).df)
+    close(far["quick"], x, 1e-9)
+    close(far["fast"], x.ewm(span=2, adjust=False).mean(), 1e-9)
+    close(far["slow"], x.ewm(span=400, adjust=False).mean(), 1e-9)
 
 
 def test_filled_indicators_have_no_gaps(make):
