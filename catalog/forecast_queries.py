@@ -311,7 +311,8 @@ def design_matrix(spark, d):
     return out.select("key", "ds", "y_scale", "t", hinge_sum, "weekly_sin_1", "yearly_cos_2", "yearly_sin_10")
 
 
-@query()
+@query(f"""WITH {SUPP} SELECT key, 'ok' AS status, count(*) AS n, {r('max(abs(y))')} AS y_scale, 27::INTEGER AS n_trend,
+25::INTEGER AS n_cps, 34::INTEGER AS n_beta, true AS has_noise FROM supp GROUP BY 1""")
 def fit_forecaster(spark, d):
     """Multiplicative forecaster of every supplier: one row of parameters per key."""
     p = fitting.fit(supp_daily(spark, d))
@@ -324,11 +325,14 @@ def fit_forecaster(spark, d):
 ADDITIVE = design.ForecastOptions(seasonality_mode="additive")
 
 
-@query()
+@query(f"""WITH {SHIP} SELECT key, 'ok' AS status, count(*) AS n, {r('max(abs(y))')} AS y_scale, 34::INTEGER AS n_beta,
+true AS has_noise FROM ship GROUP BY 1""")
 def fit_forecaster_long(spark, d):
     """Additive forecaster from cross products: hot keys of any length, three raw series here."""
     p = fitting.fit_long(ship_rows(spark, d), ADDITIVE)
-    return p.select("key", "status", "n", "y_scale", "sigma", F.size("beta").alias("n_beta"))
+    return p.select(
+        "key", "status", "n", "y_scale", F.size("beta").alias("n_beta"), (F.col("sigma") > 0).alias("has_noise")
+    )
 
 
 @query()

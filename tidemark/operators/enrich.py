@@ -31,9 +31,7 @@ def as_of(s: Series, other: DataFrame, cols: Sequence[str], per_key: bool = Fals
     rows = s.df.select(*mine, F.lit(1).alias("_side"))
     marks = side.select(*keys, s.ds, *[F.col(c).alias(f"_v_{c}") for c in cols], F.lit(0).alias("_side"))
     merged = rows.unionByName(marks, allowMissingColumns=True)
+    # The merged keys have no proven bound of their own; a count settles it.
     line = s.reordered(merged, s.ds, ("_side", *s.seq))
-    if s.bounded:
-        # Both sides lie on grids; the count settles whether the merged keys stay bounded.
-        line = s.reordered(merged, s.ds, ("_side", *s.seq), max_rows=None)
     out = fill(line, {c: F.col(f"_v_{c}") for c in cols}).filter("_side = 1")
     return out.select(*mine, *cols)

@@ -18,7 +18,7 @@ CATALOGUE_SCHEMA = (
     "created timestamp, metadata string, path string, live boolean"
 )
 # The kinds of feature frames and the version stamp's format.
-FEATURE_TYPES = ("lag", "rolling", "calendar", "prophet", "prepared")
+FEATURE_TYPES = ("lag", "rolling", "calendar", "scaled", "prepared")
 STAMP = "yyyyMMdd_HHmmss"
 
 
