@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import decontam
 from tidemark.llm.common import read
+from tidemark.llm.linededup import drop_repeated_lines
 from tidemark.llm.neardup import near_duplicates
+from tidemark.llm.pieces import sample_segmentations
+from tidemark.llm.toxicity import in_training, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,3 +31,78 @@ def query(sql: str | None = None):
 @query()
 def op4_minhash_near_duplicates(spark, d):
     return near_duplicates(read(spark, d, "documents"), size=3, percent=85)
+
+
+OP8_SQL = """WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40
+      GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, k.line, k.i, coalesce(k.doc_id <> r.keeper, false) AS gone
+      FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+
+
+@query(OP8_SQL)
+def op8_line_dedup(spark, d):
+    out = drop_repeated_lines(read(spark, d, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op2_toxicity(spark, d):
+    out = toxicity(read(spark, d, "documents"), read(spark, d, "labels"))
+    return out.select(
+        "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted", "hits"
+    )
+
+
+def _seed_sql() -> str:
+    parts = []
+    for mask in decontam.MASKS:
+        same = " AND ".join(f"d.w{k} = b.w{k}" for k, bit in enumerate(mask) if bit == "1")
+        parts.append(f"SELECT d.doc_id, b.item_id, d.i - b.i AS shift FROM dw d JOIN bw b ON {same}")
+    return " UNION ".join(parts)
+
+
+_LEADS = ", ".join(f"lead(w, {k}) OVER (PARTITION BY {{id}} ORDER BY i) AS w{k}" for k in range(decontam.SPAN))
+_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '')"
+OP1_SQL = f"""WITH dl AS (SELECT doc_id, {_TOKENS} AS ws FROM documents),
+bl AS (SELECT DISTINCT item_id, {_TOKENS} AS ws FROM benchmark),
+dt AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM dl),
+bt AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM bl),
+dw AS (SELECT doc_id, i, {_LEADS.format(id='doc_id')} FROM dt),
+bw AS (SELECT item_id, i, {_LEADS.format(id='item_id')} FROM bt),
+tries AS ({_seed_sql()}),
+pos AS (SELECT t.doc_id, t.item_id, t.shift, d.i, (d.w = b.w)::INT AS eq,
+               least({decontam.WINDOW}, len(l.ws)) AS wide
+        FROM tries t JOIN bl l USING (item_id) JOIN bt b ON b.item_id = t.item_id
+        JOIN dt d ON d.doc_id = t.doc_id AND d.i = b.i + t.shift),
+run AS (SELECT *, sum(eq) OVER w AS total, count(*) OVER w AS n FROM pos
+        WINDOW w AS (PARTITION BY doc_id, item_id, shift ORDER BY i
+                     RANGE BETWEEN CURRENT ROW AND (wide - 1) FOLLOWING)),
+ok AS (SELECT doc_id, item_id, shift, min(i) AS start, max(i + wide) AS stop FROM run
+       WHERE n = wide AND total * {decontam.WINDOW} >= wide * {decontam.SAME} GROUP BY 1, 2, 3),
+cnt AS (SELECT k.doc_id, k.item_id, k.start, k.stop, k.stop - k.start AS n_words, sum(p.eq)::BIGINT AS n_equal
+        FROM ok k JOIN pos p ON p.doc_id = k.doc_id AND p.item_id = k.item_id AND p.shift = k.shift
+             AND p.i >= k.start AND p.i < k.stop GROUP BY ALL)
+SELECT doc_id, item_id, start::BIGINT AS start, stop::BIGINT AS stop, n_words::BIGINT AS n_words, n_equal FROM cnt
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, n_words, start) = 1"""
+
+
+@query(OP1_SQL)
+def op1_benchmark_decontamination(spark, d):
+    return decontam.contaminated(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query()
+def op7_sampled_pieces(spark, d, model: str = PIECES):
+    return sample_segmentations(read(spark, d, "documents"), model)
