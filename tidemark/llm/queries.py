@@ -71,9 +71,10 @@ def _seed_sql() -> str:
 
 
 _LEADS = ", ".join(f"lead(w, {k}) OVER (PARTITION BY {{id}} ORDER BY i) AS w{k}" for k in range(decontam.SPAN))
-_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '')"
-OP1_SQL = f"""WITH dl AS (SELECT doc_id, {_TOKENS} AS ws FROM documents),
-bl AS (SELECT DISTINCT item_id, {_TOKENS} AS ws FROM benchmark),
+_INNER = "regexp_replace(lower(text), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')"
+_TOKENS = f"regexp_split_to_array({_INNER}, '[^\\p{{L}}\\p{{N}}]+')"
+OP1_SQL = f"""WITH dl AS (SELECT doc_id, {_TOKENS} AS ws FROM documents WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')),
+bl AS (SELECT DISTINCT item_id, {_TOKENS} AS ws FROM benchmark WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')),
 dt AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM dl),
 bt AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM bl),
 dw AS (SELECT doc_id, i, {_LEADS.format(id='doc_id')} FROM dt),

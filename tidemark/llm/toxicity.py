@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Matrices
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +42,11 @@ ADDRESS = "you your you're youre yourself ur du dich dein deine tu te toi vous e
 ONE_EDIT, TWO_EDITS, WINDOW = 5, 9, 8
 SAMPLE_ROWS = 20_000  # labelled rows the model is fitted on; all of them where there are fewer
 LEXICON_TERMS = 200  # terms learned from labels, strongest first
-LEAST_ROWS, LEAST_SHARE, LEAST_LIFT = 5, 0.1, 10.0
+LEAST_ROWS, LEAST_SHARE, LEAST_LIFT = 8, 0.1, 10.0
 
 HIT = "start int, end int, term string, distance int, surface string, quoted boolean, direct boolean"
 HITS = f"doc_id long, n_words long, hits array<struct<{HIT.replace(' ', ':').replace(',:', ',')}>>"
-FEATURES = ["any_exact", "exact", "any_fuzzy", "fuzzy", "quoted", "direct", "terms", "density"]
+FEATURES = ["any_exact", "more_exact", "any_fuzzy", "more_fuzzy", "quoted", "direct"]
 
 
 class Automaton(NamedTuple):
@@ -272,12 +271,10 @@ def features(hits: DataFrame, words: tuple[str, ...]) -> DataFrame:
     fuzzy = count(lambda h: (h["distance"] > 0) & ~h["quoted"])
     return hits.withColumns(
         {
-            "any_exact": (exact > 0).cast("double"), "exact": F.log1p(exact),
-            "any_fuzzy": (fuzzy > 0).cast("double"), "fuzzy": F.log1p(fuzzy),
+            "any_exact": (exact > 0).cast("double"), "more_exact": F.log1p(F.greatest(exact - 1, F.lit(0.0))),
+            "any_fuzzy": (fuzzy > 0).cast("double"), "more_fuzzy": F.log1p(F.greatest(fuzzy - 1, F.lit(0.0))),
             "quoted": F.log1p(count(lambda h: h["quoted"])),
             "direct": F.log1p(count(lambda h: h["direct"] & ~h["quoted"])),
-            "terms": F.log1p(F.size(F.array_distinct(F.transform("hits", lambda h: h["term"]))).cast("double")),
-            "density": F.log1p(100 * F.size("hits") / F.greatest("n_words", F.lit(20))),
         }
     )
 
@@ -304,10 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     table = features(hits, words).select(
         array_to_vector(F.array(*FEATURES)).alias("features"), F.col("toxic").cast("double").alias("label")
     )
-    # More hits never make a text milder; only quotation may.
-    least = [float("-inf") if f == "quoted" else 0.0 for f in FEATURES]
-    bounds = Matrices.dense(1, len(FEATURES), least)
-    fitted = LogisticRegression(maxIter=100, regParam=1e-4, lowerBoundsOnCoefficients=bounds).fit(settled(table))
+    fitted = LogisticRegression(maxIter=100, regParam=1e-3).fit(settled(table))
     return Model(auto, words, tuple(map(float, fitted.coefficients)), float(fitted.intercept))
 
 
