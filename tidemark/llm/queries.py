@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam
+from tidemark.llm import decontam, secrets
 from tidemark.llm.common import read
 from tidemark.llm.linededup import drop_repeated_lines
 from tidemark.llm.neardup import near_duplicates
@@ -107,3 +107,42 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 @query()
 def op7_sampled_pieces(spark, d, model: str = PIECES):
     return sample_segmentations(read(spark, d, "documents"), model)
+
+
+def _span_sql(number: int, rule: secrets.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, {number} AS k, '{rule.name}' AS kind, {rule.least} AS least,
+  unnest(regexp_split_to_array(text, '{pattern}')) AS gap,
+  unnest(list_concat(regexp_extract_all(text, '{pattern}', 0), [NULL])) AS found,
+  unnest(list_concat(regexp_extract_all(text, '{pattern}', {rule.group}), [NULL])) AS value,
+  generate_subscripts(regexp_split_to_array(text, '{pattern}'), 1) AS i
+  FROM t WHERE regexp_matches(text, '{pattern}')"""
+
+
+OP3_SQL = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS ({' UNION ALL '.join(_span_sql(n, r) for n, r in enumerate(secrets.RULES))}),
+q AS (SELECT *, sum(length(gap) + coalesce(length(found), 0)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM p),
+s AS (SELECT doc_id, k, kind, (stop - length(found))::BIGINT AS start, stop::BIGINT AS stop FROM q
+      WHERE found IS NOT NULL AND length(value) >= least),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+             count(*) FILTER (k = 2) AS n_hex,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3) AS base,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans
+      FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (doc_id)"""
+
+
+@query(OP3_SQL)
+def op3_secret_scan(spark, d):
+    out = secrets.find_secrets(read(spark, d, "documents"))
+
+    def count(name):
+        return F.size(F.filter("spans", lambda s: s["rule"] == name)).cast("long").alias(f"n_{name}")
+
+    base = F.filter("spans", lambda s: s["rule"].isin([r.name for r in secrets.BASE]))
+    return out.select(
+        "doc_id", *[count(r.name) for r in secrets.BASE],
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"),
+    )
