@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, secrets
 from tidemark.llm.common import read
+from tidemark.llm.ctph import edited_with_next
 from tidemark.llm.linededup import drop_repeated_lines
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.pieces import sample_segmentations
@@ -146,3 +147,8 @@ def op3_secret_scan(spark, d):
         "doc_id", *[count(r.name) for r in secrets.BASE],
         F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"),
     )
+
+
+@query()
+def op6_fingerprints(spark, d):
+    return edited_with_next(read(spark, d, "documents"))
