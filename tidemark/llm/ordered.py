@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART_BYTES = 16 << 20
+PART_BYTES, MOST_PARTS = 16 << 20, 20_000  # beyond it parts grow; they are streamed
 
 
 def in_parts(docs: DataFrame, descending: bool = False) -> tuple[DataFrame, list[tuple[int, int]]]:
@@ -16,7 +16,7 @@ def in_parts(docs: DataFrame, descending: bool = False) -> tuple[DataFrame, list
     share a part. What comes to the driver is two numbers per part.
     """
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    parts = max(1, min(int((size or 0) // PART_BYTES), rows))
+    parts = max(1, min(int((size or 0) // PART_BYTES), rows, MOST_PARTS))
     cuts: list[int] = []
     if parts > 1:
         shares = [k / parts for k in range(1, parts)]

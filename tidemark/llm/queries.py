@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontam, secrets
 from tidemark.llm.common import read
 from tidemark.llm.ctph import edited_with_next
+from tidemark.llm.idfiles import read_ids, write_ids
 from tidemark.llm.linededup import drop_repeated_lines
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.pieces import sample_segmentations
 from tidemark.llm.toxicity import in_training, toxicity
+from tidemark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -152,3 +155,13 @@ def op3_secret_scan(spark, d):
 @query()
 def op6_fingerprints(spark, d):
     return edited_with_next(read(spark, d, "documents"))
+
+
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query()
+def op10_id_files(spark, d, tokenizer: str = BYTE_BPE):
+    folder = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    files = write_ids(read(spark, d, "documents"), tokenizer, folder, end_id=2)
+    return read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
