@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, secrets
-from tidemark.llm.common import read
+from tidemark.llm import decontam, secrets, tokencounts
+from tidemark.llm.common import read, settled
 from tidemark.llm.ctph import edited_with_next
 from tidemark.llm.idfiles import read_ids, write_ids
 from tidemark.llm.linededup import drop_repeated_lines
@@ -165,3 +165,40 @@ def op10_id_files(spark, d, tokenizer: str = BYTE_BPE):
     folder = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     files = write_ids(read(spark, d, "documents"), tokenizer, folder, end_id=2)
     return read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_LINES = "string_split(coalesce(text, ''), chr(10))"
+OP5_SQL = rf"""WITH k AS (SELECT * FROM documents QUALIFY doc_id = min(doc_id) OVER (PARTITION BY coalesce(text, ''))),
+l AS (SELECT DISTINCT doc_id, source, lang, unnest({_LINES}) AS line FROM k),
+c AS (SELECT doc_id, source, lang, sum(len(regexp_extract_all(line, '[^ \t\n\v\f\r]+'))) AS blanks,
+             sum(len(regexp_extract_all(line, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}} \t\n\v\f\r]'))) AS words
+      FROM l GROUP BY ALL)
+SELECT source, lang, 'blanks-1' AS version, count(*) AS n_docs, sum(blanks)::BIGINT AS n_tokens FROM c GROUP BY 1, 2
+UNION ALL
+SELECT source, lang, 'words-2', count(*), sum(words)::BIGINT FROM c GROUP BY 1, 2"""
+
+
+@query(OP5_SQL)
+def op5_token_rollups(spark, d):
+    """A corpus is loaded, its exact copies are deleted, and lines repeated in a document go."""
+    store = f"{shared_dir(spark)}/rollups-{uuid.uuid4().hex}"
+    docs = read(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.withColumn("blob", F.sha2("text", 256))
+    lines = F.split("text", "\n", -1)
+    shorter = F.array_join(F.array_distinct(lines), "\n")
+    loaded = settled(tokencounts.count_tokens(docs, keep=("blob",)))
+    first = loaded.groupBy("blob").agg(F.min("doc_id").alias("first"))
+    copies = loaded.join(first, "blob").where("doc_id <> first")
+    repeats = docs.where(F.size(lines) > F.size(F.array_distinct(lines)))
+    revised = tokencounts.count_tokens(repeats.withColumn("text", shorter), keep=("blob",))
+    revised = settled(revised.join(first, F.col("doc_id") == F.col("first"), "left_semi"))
+    before = loaded.join(revised.select("doc_id"), "doc_id", "left_semi")
+    batches = [
+        ("load", tokencounts.changes(loaded, 1)),
+        ("copies", tokencounts.changes(copies, -1)),
+        ("lines", tokencounts.changes(before, -1).unionByName(tokencounts.changes(revised, 1))),
+        ("copies", tokencounts.changes(copies, -1)),  # sent again, counts once
+    ]
+    for name, signed in batches:
+        tokencounts.apply_batch(store, name, signed)
+    return tokencounts.totals(spark, store)
