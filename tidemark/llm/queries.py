@@ -14,6 +14,7 @@ from tidemark.llm.ctph import edited_with_next
 from tidemark.llm.idfiles import read_ids, write_ids
 from tidemark.llm.linededup import drop_repeated_lines
 from tidemark.llm.neardup import near_duplicates
+from tidemark.llm.passages import repeated_passages
 from tidemark.llm.pieces import sample_segmentations
 from tidemark.llm.toxicity import in_training, toxicity
 from tidemark.session import shared_dir
@@ -202,3 +203,8 @@ def op5_token_rollups(spark, d):
     for name, signed in batches:
         tokencounts.apply_batch(store, name, signed)
     return tokencounts.totals(spark, store)
+
+
+@query()
+def op9_repeated_passages(spark, d):
+    return repeated_passages(read(spark, d, "documents"))
