@@ -74,8 +74,8 @@ UNIT = re.compile(f"\\n|{SPACE}*[^{SPACE}\\n]+|{SPACE}+")
 class Lattices:
     """Edges of the lattices of all units seen, node by node.
 
-    Node 0 ends every unit. Edge arrays: next node, id (or minus a code point that is written as
-    bytes), its node, conditional log probability, that of the node's other edges, and the running
+    Node 0 ends every unit. Edge arrays: next node, id (or -1 - a code point that is
+    written as bytes), its node, conditional log probability, that of the node's other edges, and the running
     sum of probabilities within the node.
     """
 
@@ -136,8 +136,8 @@ class Lattices:
                 single[at[whole]] = True
         lone = np.flatnonzero(~single)
         source, size = np.concatenate([*source, lone]), np.concatenate([*size, np.ones(len(lone), np.int64)])
-        ids = np.concatenate([*ids, -points[lone].astype(np.int64)])
-        width = np.where(ids < 0, np.where(-ids < 0x80, 1, np.where(-ids < 0x800, 2, np.where(-ids < 0x10000, 3, 4))), 1)
+        ids = np.concatenate([*ids, -1 - points[lone].astype(np.int64)])
+        width = 1 + sum((ids < -size).astype(np.int64) for size in (0x80, 0x800, 0x10000))  # bytes of a code point
         weight = self.vocabulary.weight[np.maximum(ids, 0)]
         weight = np.where(ids < 0, width * -np.log(2.0 + len(self.vocabulary.text)), weight)
 
@@ -311,7 +311,7 @@ def ids_of(lat: Lattices, edges: np.ndarray) -> np.ndarray:
         return ids
     pieces, last = [], 0
     for at in odd:
-        raw = chr(-int(ids[at])).encode("utf-8", "surrogatepass")
+        raw = chr(-1 - int(ids[at])).encode("utf-8", "surrogatepass")
         pieces += [ids[last:at], lat.vocabulary.byte_ids[list(raw)].astype(np.int32)]
         last = at + 1
     return np.concatenate([*pieces, ids[last:]])
