@@ -6,11 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.series import Series, normalise, series
-from tidemark.sources.bars import daily, make_bars
-
-# The span the callers ask for; it bounds the rows of one key on a daily or hourly grid.
-START, END = "1990-01-01", "2030-01-01"
-EVENT_START, EVENT_END = "2020-01-01", "2030-01-01"
+from tidemark.sources.bars import daily, make_bars, time_span
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +23,10 @@ def seg_daily(spark: SparkSession, d: str) -> Series:
     orders = raw(spark, d, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     cust = raw(spark, d, "customer").select("c_custkey", "c_mktsegment")
     joined = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    # The span of all orders, so that the look at it needs no join.
     return daily(
-        joined, F.col("c_mktsegment"), "o_orderdate", F.sum("o_totalprice"), START, END,
-        volume=F.count(F.lit(1)).cast("double"),
+        joined, F.col("c_mktsegment"), "o_orderdate", F.sum("o_totalprice"),
+        *time_span(orders, "o_orderdate"), volume=F.count(F.lit(1)).cast("double"),
     )
 
 
@@ -46,15 +43,14 @@ def supp_daily(spark: SparkSession, d: str) -> Series:
 def _shipped(spark: SparkSession, d: str, key: str) -> Series:
     revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return daily(
-        raw(spark, d, "lineitem"), F.col(key), "l_shipdate", F.sum(revenue), START, END,
+        raw(spark, d, "lineitem"), F.col(key), "l_shipdate", F.sum(revenue),
         volume=F.sum("l_quantity"),
     )
 
 
 def event_bars(spark: SparkSession, d: str, interval: str = "1h") -> Series:
     return make_bars(
-        raw(spark, d, "events"), EVENT_START, EVENT_END, interval, key="event_type", ts="ts",
-        price="value", volume=F.lit(1.0), tie=["event_id"],
+        raw(spark, d, "events"), interval=interval, key="event_type", ts="ts", price="value", volume=F.lit(1.0), tie=["event_id"],
     )
 
 

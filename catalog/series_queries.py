@@ -58,7 +58,7 @@ def make_bars_quarter_hour(spark, d):
          sum("Volume") AS "Volume"
   FROM bars GROUP BY key, date_trunc('day', ds)) SELECT {_bars_out()} FROM c""")
 def resample_bars(spark, d):
-    return src.resample_bars(event_bars(spark, d), "1d", "2020-01-01", "2030-01-01").df
+    return src.resample_bars(event_bars(spark, d), "1d").df
 
 
 @query("""WITH n AS (SELECT l_suppkey::VARCHAR AS key, count(*) AS c FROM lineitem GROUP BY 1),

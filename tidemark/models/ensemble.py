@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.models.fit import key_schema, require_bounded
 from tidemark.operators.features import regressor_features
-from tidemark.plans.segments import attach, windowed
-from tidemark.plans.series import Series, numeric_columns
+from tidemark.plans.segments import attach, fill, windowed
+from tidemark.plans.series import Series
 
 # --- base models ------------------------------------------------------------------------------------
 
@@ -55,7 +55,10 @@ def smooth_arrays(y: np.ndarray, steps: int, period: int = 30) -> np.ndarray:
 
 
 def exp_smoothing(train: Series, target: DataFrame, period: int = 30) -> DataFrame:
-    """Forecast the rows of ``target`` (keys, ds) in their order after the training rows."""
+    """Forecast the rows of ``target`` (keys, ds) in their order after the training rows.
+
+    Every row comes back: a key with too short a history has NULL forecasts and says so in status.
+    """
     require_bounded(train, "exp_smoothing")
     keys = list(train.keys)
     rows = train.df.select(*keys, F.col(train.ds).alias("ds"), F.col(train.y).cast("double").alias("y"))
@@ -66,12 +69,12 @@ def exp_smoothing(train: Series, target: DataFrame, period: int = 30) -> DataFra
     def run(rows: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
         out = ahead.sort_values("ds").reset_index(drop=True)
         y = rows.sort_values("ds")["y"].dropna().to_numpy()
-        if len(y) < 2 * period or out.empty:
-            return out.iloc[:0].assign(yhat=pd.Series(dtype=float))
-        return out.assign(yhat=smooth_arrays(y, len(out), period))
+        if len(y) < 2 * period:
+            return out.assign(yhat=np.nan, status=f"needs {2 * period} rows, got {len(y)}")
+        return out.assign(yhat=smooth_arrays(y, len(out), period), status="ok")
 
     kinds = {f.name: f.dataType.simpleString() for f in ahead.schema.fields}
-    schema = f"{key_schema(train.df, keys)}, ds {kinds['ds']}, yhat double"
+    schema = f"{key_schema(train.df, keys)}, ds {kinds['ds']}, yhat double, status string"
     return rows.groupBy(*keys).cogroup(ahead.groupBy(*keys)).applyInPandas(run, schema)
 
 
@@ -88,12 +91,16 @@ def tree_model(
     train: Series, target: Series, kind: str = "boosted", rounds: int = 100, depth: int = 5,
     rate: float = 0.1, seed: int = 42, features: Sequence[str] = (),
 ) -> DataFrame:
-    """Boosted trees or a random forest over all keys, applied to the rows of ``target``."""
+    """Boosted trees or a random forest over all keys, applied to the rows of ``target``.
+
+    A NULL feature counts as 0, rows without a target train nothing, and a key without training
+    rows has no scale, so its forecast is NULL. No row of ``target`` is lost.
+    """
     stats = train.df.groupBy(*train.keys).agg(
         F.avg(train.y).alias("_mean"), F.stddev_pop(train.y).alias("_sd")
     )
     cols = ["year", "month", "day", "dayofweek", "quarter", *features, "_mean", "_sd"]
-    assemble = VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="skip")
+    assemble = VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="error")
     shared = dict(featuresCol="_features", labelCol="_label", predictionCol="_z", maxDepth=depth, seed=seed)
     if kind == "boosted":
         learner = GBTRegressor(maxIter=rounds, stepSize=rate, lossType="squared", **shared)
@@ -101,10 +108,13 @@ def tree_model(
         learner = RandomForestRegressor(numTrees=rounds, **shared)
     else:
         raise ValueError("kind is 'boosted' or 'forest'")
-    model = Pipeline(stages=[assemble, learner]).fit(_pooled(train, stats))
+    known = train.filtered(train.df.filter(F.col(train.y).isNotNull()))
+    model = Pipeline(stages=[assemble, learner]).fit(_pooled(known, stats).na.fill(0.0, cols))
     rows = target.df if train.y in target.df.columns else target.df.withColumn(train.y, F.lit(0.0))
-    out = model.transform(_pooled(train.on(rows), stats))
-    yhat = F.col("_z") * F.col("_sd") + F.col("_mean")
+    pooled = _pooled(train.on(rows), stats)
+    pooled = pooled.withColumns({"_scale": F.col("_sd"), "_middle": F.col("_mean")})
+    out = model.transform(pooled.na.fill(0.0, cols))
+    yhat = F.col("_z") * F.col("_scale") + F.col("_middle")
     return out.select(*train.keys, F.col(train.ds).alias("ds"), yhat.alias("yhat"))
 
 
@@ -153,11 +163,13 @@ def dynamic_weights(
     """Weight of each model at each point from its mean absolute error over the rows before.
 
     ``predictions`` has keys, ds, model, yhat. The first ``window`` points weigh all models
-    equally.
+    equally. A point without an actual value, such as a future one, takes the last weights before
+    it, and equal ones if there are none.
     """
     keys = [k for k in predictions.keys if k != "model"]
-    joined = predictions.df.join(actual.select(*keys, "ds", "y"), [*keys, "ds"])
-    by_model = predictions.on(joined)
+    actual = actual.filter(F.col("y").isNotNull()).select(*keys, "ds", "y", F.lit(True).alias("_known"))
+    every = predictions.df.join(actual, [*keys, "ds"], "left")
+    by_model = predictions.on(every)
     if "model" not in by_model.keys:
         from dataclasses import replace
 
@@ -170,10 +182,15 @@ def dynamic_weights(
             "_seen": F.count(F.lit(1)).over(before),
         }
 
-    df = windowed(by_model, window, cols)
+    known = by_model.filtered(every.filter("_known"))
+    df = windowed(known, window, cols)
     equal = 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*keys, "ds"))
     weight = F.when(F.col("_seen") < window, equal).otherwise(_inverse_error(F.col("_mae"), [*keys, "ds"]))
-    return df.withColumn("weight", weight).select(*keys, "ds", "model", "yhat", "y", "weight")
+    df = df.withColumn("_weight", weight).select(*by_model.df.columns, "_weight")
+    later = every.filter("_known IS NULL").withColumn("_weight", F.lit(None).cast("double"))
+    out = fill(by_model.filtered(df.unionByName(later)), {"weight": F.col("_weight")})
+    out = out.withColumn("weight", F.coalesce("weight", equal))
+    return out.select(*keys, "ds", "model", "yhat", "y", "weight")
 
 
 def weighted(weights: DataFrame, keys: Sequence[str] = ("key",), z: float = 1.96) -> DataFrame:
@@ -236,7 +253,10 @@ def fit_stacking(
 
 
 def stacked(predictions: DataFrame, meta: DataFrame, models: Sequence[str], keys: Sequence[str] = ("key",), z: float = 1.96) -> DataFrame:
-    """Apply the ridge of each key; the spread across models gives the interval."""
+    """Apply the ridge of each key; the spread across models gives the interval.
+
+    A key without one complete row has no ridge and takes the mean of the models.
+    """
     models = list(models)
     total = F.col("intercept")
     for i, m in enumerate(models):
@@ -244,7 +264,8 @@ def stacked(predictions: DataFrame, meta: DataFrame, models: Sequence[str], keys
     mean = sum((F.col(m) for m in models[1:]), F.col(models[0])) / len(models)
     squares = [F.pow(F.col(m) - mean, 2) for m in models]
     spread = F.sqrt(sum(squares[1:], squares[0]) / (len(models) - 1)) if len(models) > 1 else F.lit(None).cast("double")
-    df = predictions.join(meta, list(keys)).withColumns({"yhat": total, "_sd": spread})
+    df = predictions.join(meta, list(keys), "left")
+    df = df.withColumns({"yhat": F.when(F.col("coef").isNull(), mean).otherwise(total), "_sd": spread})
     return _with_interval(df, z).select(*keys, "ds", "yhat", "yhat_lower", "yhat_upper")
 
 
@@ -273,7 +294,3 @@ def predict_ensemble(
     columns = wide(predictions.df, models, keys)
     meta = fit_stacking(columns.join(actual.select(*keys, "ds", "y"), [*keys, "ds"]), models, alpha, keys)
     return stacked(columns, meta, models, keys)
-
-
-def extra_features(s: Series) -> list[str]:
-    return numeric_columns(s.df, exclude=(*s.keys, s.ds, s.y, *s.seq))

@@ -134,6 +134,8 @@ def fit_arrays(us: np.ndarray, y: np.ndarray, regs: np.ndarray, o: ForecastOptio
     us, y, regs = us[keep], y[keep], regs[keep]
     if len(y) < 2:
         raise ValueError("fewer than two known values")
+    if not np.isfinite(regs).all():
+        raise ValueError("a regressor is NULL where the target is known")
     t0, t1 = int(us[0]), int(us[-1])
     t = (us - t0) / max(t1 - t0, 1)
     day = us / DAY_US
@@ -286,6 +288,10 @@ def fit_long(s: Series, options: ForecastOptions) -> DataFrame:
             out = []
             for row in batch.to_dict("records"):
                 g = np.asarray(row["products"]).reshape(width + 1, width + 1)
+                if g[0, 0] < 2 or not np.isfinite(g).all():
+                    why = "fewer than two known values" if g[0, 0] < 2 else "a regressor is NULL where the target is known"
+                    out.append({**{k: row[k] for k in keys}, **failed(options, ValueError(why))})
+                    continue
                 n_cps = len(row["cps"])
                 used = np.r_[0 : 2 + n_cps, 2 + options.changepoints : width]
                 n_season = sum(2 * x.order for x in seasons)

@@ -111,12 +111,12 @@ def predict(
 ) -> DataFrame:
     """Forecast the rows of ``frame``: keys, time and any regressor columns.
 
-    ``params`` comes from a fit; keys whose fit failed give no rows. Rows up to the last
-    training time get the noise interval, later rows that of the simulated trend as well.
+    ``params`` comes from a fit; rows of keys whose fit failed (or that have none) come back with
+    NULL forecasts, and ``params`` says why. Rows up to the last training time get the noise interval, later rows that of the simulated trend as well.
     """
     keys, ds = list(frame.keys), frame.ds
     ok = _compact(params.filter(F.col("status") == "ok"), keys)
-    rows = attach(frame, ok).filter(F.col("_rate").isNotNull())
+    rows = attach(frame, ok)
     names = list(dict.fromkeys([*(x.name for x in options.seasons()), "yearly", "weekly", "daily"]))
     out = [*keys, ds, "yhat", "yhat_lower", "yhat_upper", "trend", *names]
     df = point_forecast(rows, ds, options).select(

@@ -45,11 +45,13 @@ def evaluate_forecast(
     )
 
 
-def evaluate_overall(joined: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Metrics per key and over all keys in one rollup; the overall row has key NULL."""
-    return joined.rollup("key").agg(
-        *[_metric(m, F.col("y"), F.col("yhat")).alias(m) for m in metrics]
-    )
+def evaluate_overall(
+    joined: DataFrame, metrics: Sequence[str] = METRICS, keys: Sequence[str] = ("key",)
+) -> DataFrame:
+    """Metrics per key and over all keys in one pass; the overall row has NULL keys."""
+    keys = list(keys)
+    sets = joined.groupingSets([[F.col(k) for k in keys], []], *keys)
+    return sets.agg(*[_metric(m, F.col("y"), F.col("yhat")).alias(m) for m in metrics])
 
 
 def evaluate_ensemble(joined: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:

@@ -229,43 +229,44 @@ def correlation_pairs(
     return long.select(*keys, "col_a", "col_b", F.try_divide("cov", "scale").alias("r"))
 
 
-def cross_products(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Sums of products of all column pairs, with a leading column of ones, in one pass.
+def pairwise_correlations(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Correlation of all column pairs, each over the rows where both are known; NaN if constant.
 
-    Each task adds up its Arrow batches and sends one matrix; the JVM adds the matrices. The
-    result has (columns + 1) squared entries whatever the table's size. Rows with a NULL in any
-    of the columns are skipped.
+    Each task adds up its Arrow batches and sends four matrices of columns squared entries, which
+    the JVM adds up. Values are taken from a column's mean, so a large mean costs no digits.
     """
-    k = len(cols) + 1
+    k = len(cols)
+    narrow = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    narrow = narrow.select(*[F.when(~is_infinite(F.col(c)) & ~F.isnan(c), F.col(c)).alias(c) for c in cols])
+    middle = np.array([m or 0.0 for m in narrow.agg(*[F.avg(c) for c in cols]).first()])
 
     def partial(batches):
-        total = np.zeros((k, k))
+        total = np.zeros((4, k, k))
         for b in batches:
-            x = np.column_stack([np.ones(len(b)), b.to_numpy(dtype=float)])
-            x = x[np.isfinite(x).all(axis=1)]
-            total += x.T @ x
+            x = b.to_numpy(dtype=float) - middle
+            known = np.isfinite(x)
+            x, known = np.where(known, x, 0.0), known.astype(float)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
         yield pd.DataFrame({"products": [total.ravel()]})
 
-    narrow = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     parts = narrow.mapInPandas(partial, "products array<double>")
     summed = parts.select(Summarizer.sum(array_to_vector("products")).alias("s")).first()
-    return summed["s"].toArray().reshape(k, k)
+    if summed["s"] is None or not summed["s"].size:
+        return np.full((k, k), np.nan)
+    n, total, squares, products = summed["s"].toArray().reshape(4, k, k)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = total / n  # of column i over the rows where j is known too
+        var = squares / n - mean * mean
+        # Below this share of the mean square a variance is rounding noise of a constant column.
+        var[var <= 1e-13 * (squares / n + middle[:, None] ** 2 * 1e-13)] = np.nan
+        return (products / n - mean * mean.T) / np.sqrt(var * var.T)
 
 
 def correlated_columns(df: DataFrame, cols: Sequence[str], threshold: float = 0.95) -> list[str]:
     """Columns that correlate with any earlier column beyond the threshold, over all keys."""
     if len(cols) < 2:
         return []
-    sums = cross_products(df, cols)
-    n = sums[0, 0]
-    if n < 2:
-        return []
-    mean = sums[0, 1:] / n
-    cov = sums[1:, 1:] / n - np.outer(mean, mean)
-    var = np.diag(cov).copy()
-    # Below this share of the mean square a variance is rounding noise of a constant column.
-    var[var <= 1e-13 * np.diag(sums)[1:] / n] = np.nan
-    r = np.abs(cov / np.sqrt(np.outer(var, var)))
+    r = np.abs(pairwise_correlations(df, cols))
     return [c for j, c in enumerate(cols) if np.nanmax(r[:j, j], initial=0.0) > threshold]
 
 

@@ -63,9 +63,17 @@ def settled(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _drop_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _drop_at_end(spark: SparkSession, path: str) -> None:
+    """Tables that cut lineage live as long as the driver: their file system deletes them then."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 @functools.cache
 def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="tidemark-")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,10 +116,20 @@ def date_range(
     return df.filter((F.col(ds) >= lo.cast(kind)) & (F.col(ds) < hi.cast(kind)))
 
 
+def time_span(df: DataFrame, ds: str) -> tuple[str, str]:
+    """First day of a time column and the day after its last one, from one narrow aggregation."""
+    low, high = df.agg(
+        *[F.date_format(f(F.col(ds).cast("timestamp_ntz")), "yyyy-MM-dd") for f in (F.min, F.max)]
+    ).first()
+    if low is None:
+        return "1970-01-01", "1970-01-02"  # no rows
+    return low, str(datetime.date.fromisoformat(high) + datetime.timedelta(days=1))
+
+
 def make_bars(
     df: DataFrame,
-    start: str,
-    end: str,
+    start: str | None = None,
+    end: str | None = None,
     interval: str = "1d",
     key: str = "key",
     ts: str = "ts",
@@ -128,8 +139,12 @@ def make_bars(
 ) -> Series:
     """OHLCV bars of raw ticks in [start, end): one partial aggregation, so hot keys combine map-side.
 
-    The result has at most one row per key and slot; that bound is recorded on the series.
+    Without a range all rows count, and a look at the time column gives their span. The result has
+    at most one row per key and slot of the span; that bound is recorded on the series.
     """
+    if start is None or end is None:
+        low, high = time_span(df, ts)
+        start, end = start or low, end or high
     size = 0.0 if volume is None else volume
     size = F.lit(size) if isinstance(size, float) else (F.col(size) if isinstance(size, str) else size)
     at = F.struct(ts, *tie)
@@ -144,11 +159,17 @@ def make_bars(
             F.sum(size.cast("double")).alias("Volume"),
         )
     )
-    return series(bars, y="Close", max_rows=slots(start, end, interval_seconds(interval)))
+    # The first slot may begin before the range.
+    return series(bars, y="Close", max_rows=slots(start, end, interval_seconds(interval)) + 1)
+
 
+def resample_bars(
+    s: Series, interval: str, start: str | None = None, end: str | None = None
+) -> Series:
+    """Coarser bars from finer bars; the range bounds the rows of a key and filters nothing.
 
-def resample_bars(s: Series, interval: str, start: str, end: str) -> Series:
-    """Coarser bars from finer bars."""
+    Without a range the finer bars' bound holds: coarser bars are not more.
+    """
     at = F.struct(*s.order)
     bars = s.df.groupBy(*s.keys, bar_start(F.col(s.ds), interval).alias("_slot")).agg(
         F.min_by("Open", at).alias("Open"),
@@ -158,17 +179,24 @@ def resample_bars(s: Series, interval: str, start: str, end: str) -> Series:
         F.sum("Volume").alias("Volume"),
     )
     bars = bars.withColumnRenamed("_slot", s.ds)
-    return s.reordered(bars, s.ds, max_rows=slots(start, end, interval_seconds(interval)))
+    known = slots(start, end, interval_seconds(interval)) + 1 if start and end else s.max_rows
+    return s.reordered(bars, s.ds, max_rows=known)
 
 
 def daily(
-    df: DataFrame, key: Column, ds: str, y: Column, start: str, end: str, **extra: Column
+    df: DataFrame, key: Column, ds: str, y: Column, start: str | None = None,
+    end: str | None = None, **extra: Column,
 ) -> Series:
     """Aggregate a fact table to one row per key and day in [start, end): y plus any extras.
 
+    Without a range all rows count, and a look at the time column gives their span.
+
     The range filters the stored column before any cast, so it reaches the scan; the
     aggregation combines map-side, so a hot key sends one row per day and task.
     """
+    if start is None or end is None:
+        low, high = time_span(df, ds)
+        start, end = start or low, end or high
     rows = normalise(date_range(df, end, start, ds=ds))
     rows = rows.groupBy(key.cast("string").alias("key"), F.date_trunc("day", ds).alias("ds")).agg(
         y.alias("y"), *[c.alias(n) for n, c in extra.items()]
