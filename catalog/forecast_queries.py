@@ -529,13 +529,13 @@ def exp_smoothing(spark, d):
 @query()
 def boosted_trees(spark, d):
     train, test = _train_and_test(seg_daily(spark, d))
-    return ensemble.tree_model(train, test, "boosted", rounds=20)
+    return ensemble.tree_model(train, test, "boosted")
 
 
 @query()
 def random_forest(spark, d):
     train, test = _train_and_test(seg_daily(spark, d))
-    return ensemble.tree_model(train, test, "forest", rounds=20)
+    return ensemble.tree_model(train, test, "forest")
 
 
 @query()
@@ -546,7 +546,7 @@ def ensemble_models(spark, d):
     models = {
         "forecaster": predicting.predict(fitting.fit(train), frame),
         "exp_smoothing": ensemble.exp_smoothing(train, test.df),
-        "random_forest": ensemble.tree_model(train, test, "forest", rounds=10),
+        "random_forest": ensemble.tree_model(train, test, "forest"),
     }
     long = replace(train, df=ensemble.collect_models(models), keys=("key", "model"))
     combined = ensemble.predict_ensemble(long, "simple_average")

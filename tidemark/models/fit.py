@@ -256,7 +256,8 @@ def fit_long(s: Series, options: ForecastOptions) -> DataFrame:
 
         def flush():
             frame = pd.DataFrame(list(held), columns=keys)
-            frame["products"] = [m.ravel() for m in held.values()]
+            # A NULL regressor makes NaN, which no vector holds; it shows as infinite instead.
+            frame["products"] = [np.where(np.isnan(m), np.inf, m).ravel() for m in held.values()]
             held.clear()
             return frame
 

@@ -363,7 +363,15 @@ def handle_outliers(s: Series, method: str = "zscore", treatment: str = "clip")
         raise ValueError(f"unknown outlier method {method!r}; one of {sorted(DETECTORS)}")
     if treatment not in TREATMENTS:
         raise ValueError(f"unknown treatment {treatment!r}; one of {sorted(TREATMENTS)}")
-    treated = TREATMENTS[treatment](DETECTORS[method](s))
+    flagged = DETECTORS[method](s)
+    if treatment == "winsorize":
+        # A key without outliers stays as it is: the shares would touch its regular values.
+        marked = with_stats(flagged, {"_any": F.max(F.col("is_outlier").cast("int"))})
+        treated = winsorize(flagged.on(marked.withColumn("_was", F.col(s.y))))
+        value = F.when(F.col("_any") == 1, F.col(s.y)).otherwise(F.col("_was"))
+        treated = treated.on(treated.df.withColumn(s.y, value).drop("_any", "_was"))
+    else:
+        treated = TREATMENTS[treatment](flagged)
     return s.on(treated.df.drop("is_outlier"))
 
 

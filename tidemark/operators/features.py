@@ -156,17 +156,3 @@ def prepare(
     out = split_train_test(out.filtered(out.df.na.drop("any")) if drop_rows else out, ratio)
     out = standardize(out, fit_on=fit_on)
     return out.on(strip_tz(out.df, out.ds)), dropped
-
-
-def train_bounds(s: Series) -> DataFrame:
-    """First and last time of the train and test part of each key."""
-    train = F.when(F.col("is_train"), F.col(s.ds))
-    test = F.when(~F.col("is_train"), F.col(s.ds))
-    return s.df.groupBy(*s.keys).agg(
-        F.count(train).alias("n_train"), F.count(test).alias("n_test"),
-        F.max(train).alias("train_end"), F.min(test).alias("test_start"),
-    )
-
-
-def attach_bounds(s: Series) -> DataFrame:
-    return attach(s, growth_bounds(s))

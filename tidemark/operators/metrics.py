@@ -213,24 +213,22 @@ def performance_metrics(
     cum = groups.withColumns(
         {"_cn": F.sum("_n").over(upto)} | {f"_c_{m}": F.sum(f"_x_{m}").over(upto) for m in parts}
     )
-    steps = F.struct(
+    cum = cum.withColumns({"_all": F.sum("_n").over(whole), "_anyzero": F.sum("_zero").over(whole) > 0})
+    cum = cum.withColumn("_w", F.greatest(F.floor(F.col("_all") * F.lit(rolling_window)), F.lit(1)))
+    # The oldest horizon of each window: the last one that starts at or before the row that leaves.
+    step = F.struct(
         "_cn", "_n", *[F.col(f"_c_{m}").alias(f"c_{m}") for m in parts],
         *[F.col(f"_x_{m}").alias(f"x_{m}") for m in parts],
     )
-    cum = cum.withColumns(
-        {
-            "_all": F.sum("_n").over(whole),
-            "_anyzero": F.sum("_zero").over(whole) > 0,
-            "_steps": F.collect_list(steps).over(whole),
-        }
+    starts = cum.select(*keys, (F.col("_cn") - F.col("_n")).alias("_pos"), F.lit(0).alias("_ask"), step.alias("_step"))
+    asks = cum.filter(F.col("_cn") >= F.col("_w")).withColumns(
+        {"_pos": F.col("_cn") - F.col("_w"), "_ask": F.lit(1)}
     )
-    cum = cum.withColumn("_w", F.greatest(F.floor(F.col("_all") * F.lit(rolling_window)), F.lit(1)))
-    cum = cum.filter(F.col("_cn") >= F.col("_w"))
+    line = whole.orderBy("_pos", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    cum = asks.unionByName(starts, allowMissingColumns=True)
+    cum = cum.withColumn("_at", F.last("_step", ignorenulls=True).over(line)).filter("_ask = 1")
     gone = F.col("_cn") - F.col("_w")  # rows older than the window
-    at = F.element_at(
-        F.filter("_steps", lambda g: (g["_cn"] - g["_n"] <= gone) & (gone < g["_cn"])), 1
-    )
-    cum = cum.withColumn("_at", F.when(gone > 0, at))
+    cum = cum.withColumn("_at", F.when(gone > 0, F.col("_at")))
     out = {}
     for m in parts:
         before = (
