@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import configure, settled
 
-__all__ = ["documents_of", "read", "settled", "tuned"]
+__all__ = ["documents_of", "per_worker", "read", "settled", "tuned"]
 
 # Arrow batches are bounded by bytes as well as rows, so a run of long texts does not pile up.
 BATCH_CONF = {
@@ -37,3 +42,14 @@ def documents_of(docs: DataFrame, *extra: str, null_text: str | None = "") -> Da
     return docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *keep
     )
+
+
+def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps from task to task: for caches of bounded size alone.
+
+    Functions travel to workers by value, so their module's globals last for one task only.
+    """
+    held = sys.modules.setdefault("tidemark_worker", types.ModuleType("tidemark_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

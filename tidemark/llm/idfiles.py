@@ -23,6 +23,7 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,11 +33,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents_of, settled
+from tidemark.llm.common import documents_of, per_worker, settled
 from tidemark.llm.ordered import in_parts
 
 MAGIC, BLOCK, PERCENTILE, FILE_IDS = b"PFR1", 1024, 95, 8 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS, SEEN_SLOTS = 450_000, 1 << 24
 FILES = "part int, piece int, path string, n_docs long, n_ids long"
 IDS = "doc_id long, start long, n_tokens long, ids binary"
 _HEAD = np.dtype([("least", "<u4"), ("ids", "<u2"), ("odd", "<u2"), ("width", "u1")])
@@ -54,9 +55,10 @@ WORDS = re.compile(" (?=[!-~¡-ɏ])")
 class Encoder:
     """Ids of whole texts by a tokenizers file.
 
-    A byte-level tokenizer with the usual split treats words alone, so each distinct word (blank
-    before it included) is merged once per task and kept; words of other scripts or with special
-    tokens, and all texts of other tokenizers, take the library's plain way.
+    A byte-level tokenizer with the usual split treats words alone. Words (with the blank before
+    them) and their parts that come a second time are kept, up to ``CACHE_WORDS`` of each, so common
+    ones are merged once per worker. Words of other scripts or with special tokens, and all texts of
+    other tokenizers, take the library's plain way.
     """
 
     def __init__(self, tokenizer: str):
@@ -71,10 +73,14 @@ class Encoder:
             and not split.get("add_prefix_space") and not config.get("normalizer")
         )
         self.special = [t["content"] for t in config.get("added_tokens", [])]
+        # No special token may hide in a word of letters with a stop or a comma.
+        self.by_word &= not any(t.strip(".,").isalpha() for t in self.special)
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: 256 + k for k, b in enumerate(hidden)}  # bytes that are written otherwise
-        self.known = _Known(self)
+        self.blank, self.merge = chr(self.letters[32]), self.tokenizer.model.tokenize
+        self.known = _Known(self.after_blank)
+        self.parts = _Known(self.part)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
@@ -82,8 +88,6 @@ class Encoder:
             return [self.plain(t) for t in texts]
         out = []
         for text in texts:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
             first, *rest = WORDS.split(text)
             out.append(self.word(first) + b"".join(map(self.known.__getitem__, rest)))
         return out
@@ -91,27 +95,40 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def after_blank(self, word: str) -> bytes:
+        """Most words are letters, with a stop or a comma at most: known to split there."""
+        stem = word[:-1] if word[-1:] in (".", ",") else word
+        if stem.isalpha() and max(stem) < "ɐ":
+            ids = self.parts[" " + stem]
+            return ids if stem is word else ids + self.parts[word[-1]]
+        return self.word(" " + word)
+
     def word(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text) or any(t in text for t in self.special):
             return self.plain(text)
-        merge = self.tokenizer.model.tokenize
-        return b"".join(
-            t.id.to_bytes(4, "little")
-            for part in SPLIT.findall(text)
-            for t in merge(part.encode().decode("latin-1").translate(self.letters))
-        )
+        return b"".join(map(self.parts.__getitem__, SPLIT.findall(text)))
+
+    def part(self, text: str) -> bytes:
+        if text.isascii() and text[1:].isalpha():
+            shown = text.replace(" ", self.blank)
+        else:
+            shown = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
 
 class _Known(dict):
-    """Ids of words with the blank before them."""
+    """Values of ``make``, kept from the second time on that a key comes."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, make):
         super().__init__()
-        self.encoder = encoder
+        self.make, self.seen = make, bytearray(SEEN_SLOTS)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.encoder.word(" " + word)
-        return ids
+    def __missing__(self, key: str) -> bytes:
+        value, slot = self.make(key), hash(key) % SEEN_SLOTS
+        if self.seen[slot] and len(self) < CACHE_WORDS:
+            self[key] = value
+        self.seen[slot] = 1
+        return value
 
 
 def pack(ids: np.ndarray) -> list[bytes]:
@@ -244,7 +261,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> Data
     """
     model = open(tokenizer, encoding="utf-8").read()
     docs, parts = in_parts(documents_of(docs))
-    docs = docs.repartition(max(1, len(parts)), "part").sortWithinPartitions("part", "doc_id", F.xxhash64("text"))
+    docs = docs.repartitionById(max(1, len(parts)), "part").sortWithinPartitions("part", "doc_id", F.xxhash64("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def save(part: int, piece: int, rows: list[tuple[int, bytes]]) -> dict:
@@ -257,7 +274,8 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> Data
         return {"part": part, "piece": piece, "path": f"{folder}/{name}", "n_docs": len(rows), "n_ids": len(ids)}
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encode, part, piece, held, size = Encoder(model), None, 0, [], 0
+        encode = per_worker(("encoder", hash(model)), lambda: Encoder(model))
+        part, piece, held, size = None, 0, [], 0
 
         def saved():
             return pa.RecordBatch.from_pylist([save(part, piece, held)], FILE_TYPE)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import per_worker
 from tidemark.llm.idfiles import Encoder
 
 KEYS = ("source", "lang", "version")
@@ -51,7 +52,7 @@ def file_counter(tokenizer: str) -> Counter:
 
     @F.arrow_udf("long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = Encoder(model)
+        encode = per_worker(("encoder", hash(model)), lambda: Encoder(model))
         for batch in batches:
             yield pa.array([len(ids) // 4 for ids in encode(batch.to_pylist())], pa.int64())
 
