@@ -3,7 +3,7 @@
 A segmentation's log probability is the sum of its pieces' weights, normalised over the lattice of
 all segmentations. Weights follow Zipf's law on a piece's rank in the vocabulary, as merge tables
 give ranks and no probabilities. The lattice falls apart at borders that no piece crosses, so it is
-built once per distinct unit (a word with the blanks before it) and kept in a task's cache.
+built per distinct unit (a word with the blanks before it), and common ones stay in a worker's cache.
 
 Search: a node is a prefix of pieces; its bound, the perturbed log mass of all completions, is exact
 because the backward sums of the lattice are. The best-first search therefore goes straight down to
@@ -30,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import textvec
-from tidemark.llm.common import documents_of
+from tidemark.llm.common import documents_of, per_worker
 from tidemark.llm.textvec import U64, mix
 
 SPACE = "▁"  # fixed value: how the vocabulary writes a blank
-CACHE_NODES = 2_500_000  # a task starts a new cache beyond it, about 250 MB
+CACHE_NODES = 700_000  # nodes that a worker keeps, about 70 MB
+SEEN_SLOTS, ADD = 1 << 22, 8192  # units whose lattices are built together
 LEAST_MASS = -60.0
 SAMPLES = (
     "doc_id long, sample int, ids array<int>, n_pieces long, log_prob double, perturbed double,"
@@ -99,21 +100,43 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
+        self.room: dict[str, np.ndarray] = {}
         self.start: dict[str, int] = {}
         self.first = np.zeros(2, np.int64)  # per node; one entry more than nodes
         self.next, self.id, self.source = (np.zeros(0, np.int32) for _ in range(3))
-        self.log, self.rest, self.sum = (np.zeros(0) for _ in range(3))
+        self.log, self.sum = np.zeros(0), np.zeros(0)
+        self.seen = bytearray(SEEN_SLOTS)  # units that came once, by hash
+        self.once: list[str] = []
+        self.kept = 1, 0  # nodes (with the end) and edges that stay
 
     def nodes_of(self, units: list[str]) -> np.ndarray:
+        nodes, edges = self.kept
+        self.first = self.first[: nodes + 1]
+        for name in ("next", "id", "source", "log", "sum"):
+            setattr(self, name, getattr(self, name)[:edges])
+        for unit in self.once:
+            del self.start[unit]
+            self.seen[hash(unit) % SEEN_SLOTS] = 1
+        self.once = []
         known = list(map(self.start.get, units))
-        if None in known:
-            if len(self.first) > CACHE_NODES:
-                self.clear()
-            self._add([u for u in dict.fromkeys(units) if u not in self.start])
-            known = list(map(self.start.get, units))
+        new = [k for k, node in enumerate(known) if node is None]
+        if new:
+            missing = list(dict.fromkeys([units[k] for k in new]))
+            room = nodes < CACHE_NODES
+            again = [u for u in missing if room and self.seen[hash(u) % SEEN_SLOTS]]
+            for a in range(0, len(again), ADD):
+                self._add(again[a : a + ADD])
+            self.kept = len(self.first) - 1, len(self.next)
+            self.once = [u for u in missing if not (room and self.seen[hash(u) % SEEN_SLOTS])]
+            for a in range(0, len(self.once), ADD):
+                self._add(self.once[a : a + ADD])
+            for k in new:
+                known[k] = self.start[units[k]]
         return np.array(known, np.int64)
 
     def _add(self, units: list[str]) -> None:
+        if not units:
+            return
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array(list(map(len, units)), np.int64)
         borders = np.concatenate([[0], np.cumsum(sizes)])
@@ -163,14 +186,17 @@ class Lattices:
         running = np.cumsum(np.exp(log))
         running = running - np.concatenate([[0.0], running])[heads[:-1]][source]
         running[heads[1:] - 1] = np.inf
-        only = (heads[1:] - heads[:-1] == 1)[source]
-        rest = np.where(only, -np.inf, np.log1p(-np.minimum(np.exp(log), 1 - 1e-16)))
         for name, new in (
             ("first", len(self.next) + heads[1:]), ("next", np.where(ends, 0, offset + source + size)),
-            ("id", ids), ("source", offset + source), ("log", log), ("rest", rest), ("sum", running),
+            ("id", ids), ("source", offset + source), ("log", log), ("sum", running),
         ):
             old = getattr(self, name)
-            setattr(self, name, np.concatenate([old, new.astype(old.dtype)]))
+            room, n = self.room.get(name), len(old) + len(new)
+            if room is None or len(room) < n:  # room for a full cache, touched as it fills
+                room = self.room[name] = np.empty(max(n + n // 2, 4 * CACHE_NODES), old.dtype)
+                room[: len(old)] = old
+            room[len(old) : n] = new
+            setattr(self, name, room[:n])
         self.start.update(zip(units, (offset + borders[:-1]).tolist()))
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +267,7 @@ def _sample_batch(lat: Lattices, texts: list[str], doc_keys: np.ndarray, samples
         keys = mix(np.repeat(mix(doc_keys[turn] + U64(r + 1)), sizes) + number.astype(U64) * U64(0xD1342543DE82EF95))
         edges, first = lat.walk(np.concatenate(nodes or [starts]), keys)
         cut = first[spans]
-        logs, rest = lat.log[edges], lat.rest[edges]
+        logs = lat.log[edges]
         units_of = np.repeat(number, np.diff(first))
         for n, d in enumerate(turn):
             a, b = cut[n], cut[n + 1]
@@ -254,8 +280,9 @@ def _sample_batch(lat: Lattices, texts: list[str], doc_keys: np.ndarray, samples
                     break
                 some *= 4
             before = before[:-1]
-            open_at = np.flatnonzero((rest[a : a + len(before)] > -np.inf) & (before > LEAST_MASS))
-            mass = before[open_at] + rest[a + open_at]
+            node = lat.source[edges[a : a + len(before)]]
+            open_at = np.flatnonzero((lat.first[node + 1] - lat.first[node] > 1) & (before > LEAST_MASS))
+            mass = before[open_at] + np.log1p(-np.minimum(np.exp(logs[a + open_at]), 1 - 1e-16))
             at = open_at + len(kept_edges)
             u = _uniform(doc_keys[d] * U64(31) + U64(r + 1) + mix(at.astype(U64)))
             bound = _below(mass, value, u)
@@ -354,7 +381,9 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = 2, seed: in
     vocabulary = load_vocabulary(model)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        lat, decode = Lattices(vocabulary), Decoder(vocabulary)
+        lat, decode = per_worker(
+            ("lattices", hash(tuple(vocabulary.text))), lambda: (Lattices(vocabulary), Decoder(vocabulary))
+        )
         with np.errstate(over="ignore", divide="ignore"):
             for batch in batches:
                 for a in range(0, len(batch), BLOCK):
@@ -363,7 +392,7 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = 2, seed: in
     return documents_of(docs).mapInArrow(run, SAMPLES)
 
 
-BLOCK = 512  # documents that are sampled together
+BLOCK = 128  # documents that are sampled together
 
 
 def _encoded(lat: Lattices, decode: Decoder, batch: pa.RecordBatch, samples: int, seed: int) -> pa.RecordBatch:
@@ -381,9 +410,13 @@ def _encoded(lat: Lattices, decode: Decoder, batch: pa.RecordBatch, samples: int
     owner = np.array([row[0] for row in rows], np.int64)
     log = np.array([row[3] for row in rows])
     kappa = np.array([row[5] for row in rows])
-    data, borders = decode(flat, counts)
-    sources = [t.replace(SPACE, " ").encode("utf-8", "surrogatepass") for t in texts]
-    same = [data[borders[k] : borders[k + 1]].tobytes() == sources[d] for k, d in enumerate(owner)]
+    same: list[bool] = []
+    for a in range(0, len(rows), 64):  # the gathering takes many times the text's bytes
+        some, sizes = ids[a : a + 64], counts[a : a + 64]
+        data, borders = decode(np.concatenate(some), sizes)
+        for k, row in enumerate(rows[a : a + 64]):
+            source = texts[row[0]].replace(SPACE, " ").encode("utf-8", "surrogatepass")
+            same.append(data[borders[k] : borders[k + 1]].tobytes() == source)
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
