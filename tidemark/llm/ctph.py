@@ -190,7 +190,7 @@ def edited_with_next(docs: DataFrame) -> DataFrame:
         )
         copies = docs.drop("part").join(F.broadcast(firsts), "doc_id").withColumn("border", F.lit(True))
         docs = docs.unionByName(copies)
-    docs = docs.repartition(max(1, len(parts)), "part").sortWithinPartitions(
+    docs = docs.repartitionById(max(1, len(parts)), "part").sortWithinPartitions(
         "part", "border", F.desc("doc_id"), F.xxhash64("text")
     )
 

@@ -140,6 +140,7 @@ def drop_repeated_lines(
     found = suspects.distinct().groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")
     ).where(F.col("n") >= min_docs).drop("n")
+    found = settled(found)  # as a table of its own, so that Spark can split a hot key's join
     drops = suspects.join(found, "key").where("doc_id != keeper").groupBy("doc_id").agg(
         F.collect_set("key").alias("drop")
     )
