@@ -69,7 +69,7 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(text, byte_ids, -np.log(2.0 + rank))
 
 
-UNIT = re.compile(f"\\n|{SPACE}*[^{SPACE}\\n]+|{SPACE}+")
+UNIT = re.compile("\\n| *[^ \\n]+| +")
 
 
 class Lattices:
@@ -84,7 +84,7 @@ class Lattices:
         self.vocabulary = vocabulary
         self.longest = max(map(len, vocabulary.text))
         begun: list[dict[str, int]] = [{} for _ in range(self.longest)]
-        for i, text in enumerate(vocabulary.text):
+        for i, text in enumerate(t.replace(SPACE, " ") for t in vocabulary.text):
             for k in range(len(text)):
                 begun[k].setdefault(text[: k + 1], -1)
             if text:
@@ -240,7 +240,7 @@ class _Path(NamedTuple):
 
 def _sample_batch(lat: Lattices, texts: list[str], doc_keys: np.ndarray, samples: int) -> list[list[tuple]]:
     """Per document (edges, log probability, perturbed value, kappa) of its best segmentations."""
-    parts = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+    parts = [UNIT.findall(" " + t) if t else [] for t in texts]
     counts = np.array(list(map(len, parts)), np.int64)
     base = np.concatenate([[0], np.cumsum(counts)])
     starts = lat.nodes_of([u for p in parts for u in p])
@@ -396,7 +396,7 @@ BLOCK = 128  # documents that are sampled together
 
 
 def _encoded(lat: Lattices, decode: Decoder, batch: pa.RecordBatch, samples: int, seed: int) -> pa.RecordBatch:
-    texts = batch.column("text").to_pylist()
+    texts = [t.replace(SPACE, " ") for t in batch.column("text").to_pylist()]
     doc_id = batch.column("doc_id").to_numpy()
     keys = mix(mix(doc_id.astype(np.int64).view(U64)) + U64(seed))
     rows = [
@@ -415,7 +415,7 @@ def _encoded(lat: Lattices, decode: Decoder, batch: pa.RecordBatch, samples: int
         some, sizes = ids[a : a + 64], counts[a : a + 64]
         data, borders = decode(np.concatenate(some), sizes)
         for k, row in enumerate(rows[a : a + 64]):
-            source = texts[row[0]].replace(SPACE, " ").encode("utf-8", "surrogatepass")
+            source = texts[row[0]].encode("utf-8", "surrogatepass")
             same.append(data[borders[k] : borders[k + 1]].tobytes() == source)
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
