@@ -13,6 +13,7 @@ from tidemark.operators.profile import decorrelate
 from tidemark.plans.segments import attach, fill, numbered, planned, settle, windowed, with_stats
 from tidemark.plans.series import Series, numeric_columns, strip_tz
 
+# The lags, windows and statistics that make the feature names.
 LAGS = (1, 7, 14, 30)
 WINDOWS = (7, 14, 30)
 STATISTICS = ("mean", "std", "min", "max", "skew", "kurt")

@@ -30,7 +30,7 @@ BAR_SCHEMA = T.StructType(
         T.StructField("Volume", T.DoubleType()),
     ]
 )
-# Names that may hold the target, in order of preference.
+# Names that may hold the target, in order of preference.
 TARGET_FALLBACKS = ("Adj_Close", "Adjusted_Close", "Close")
 
 
