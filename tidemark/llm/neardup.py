@@ -8,9 +8,9 @@
 3. Inside a tile, pairs that share a band are compared ``STEP`` minima at a time: once the
    posterior probability of a similarity at the threshold falls below ``MISS``, the pair goes.
    Survivors are confirmed on their full sets. Only links that join something leave the tile.
-4. Components of those links. Tiles that still share a bucket but not a component are compared
-   with each other in the same way, pairs of one component left out: so no link between
-   different components is lost, and large groups that hang together cost no pairs.
+4. Components of those links. Nodes are dealt into new tiles, large components apart; tiles that
+   share a bucket but not a component are compared in the same way, pairs of one component left out:
+   so no link between different components is lost, and groups that hang together cost no pairs.
 """
 
 from __future__ import annotations
@@ -234,20 +234,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     first = settled(content.unionByName(visiting).groupBy("tile").applyInPandas(inside, PAIRS))
     comp = settled(components(first))
 
-    placed = homes.select("node", "tile").join(comp, "node", "left").select(
-        "node", "tile", F.coalesce("comp", "node").alias("comp")
+    placed = homes.select("node", "n", "pivot").join(comp, "node", "left").select(
+        "node", "n", "pivot", F.coalesce("comp", "node").alias("comp")
     )
+    # New tiles: a large component has its own, as its members need no comparison with each other.
+    large = placed.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= TILE_NODES / 4)
+    placed = placed.join(large, ["pivot", "comp"], "left").withColumn(
+        "kind", F.when(F.col("c").isNotNull(), F.col("comp")).otherwise(F.lit(0).cast("long"))
+    )
+    cuts = placed.groupBy("pivot", "kind").agg(
+        F.greatest(
+            F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)
+        ).alias("cuts")
+    )
+    tile = F.xxhash64("pivot", "kind", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("long"))
+    placed = settled(placed.join(cuts, ["pivot", "kind"]).select("node", "comp", tile.alias("tile")))
     spread = shared.select("band", "node").join(placed, "node").groupBy("band", "tile").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
     open_bands = spread.groupBy("band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi")
     spread = settled(spread.join(open_bands.select("band"), "band", "left_semi"))
     x, y = spread.alias("x"), spread.alias("y")
-    meet = x.join(y, F.expr("x.band = y.band AND x.tile < y.tile")).where(
+    meet = x.join(y, F.expr("x.band = y.band AND x.tile <= y.tile")).where(
         "least(x.lo, y.lo) != greatest(x.hi, y.hi)"
     ).select(F.col("x.tile").alias("tile_a"), F.col("y.tile").alias("tile_b")).distinct()
     meet = settled(meet)
-    loaded = content.join(placed.select("node", "comp"), "node")
+    loaded = content.drop("tile").join(placed, "node")
     sides = [
         meet.join(loaded.withColumnRenamed("tile", t), t).select(
             "tile_a", "tile_b", F.lit(t == "tile_a").alias("left"), "node", "comp", "n_shingles", "sig", "members"
