@@ -95,6 +95,38 @@ def test_labels_of_held_out_rows_change_nothing(spark, docs):
     assert scores[0] == scores[1]
 
 
+def test_terms_of_a_small_language_and_their_forms_are_learned(spark, docs):
+    rng = random.Random(8)
+    ends = ["le", "ment", "ou", "que", "ai", "oir", "ung", "ist", "am", "ers"]
+    plain = ["le", "mot", "doux", "arbre", "pierre", "vent"]
+    rows, labels = [], []
+    for i in range(2000):
+        kind = "own" if i % 40 == 0 else "en" if i % 5 == 1 else None
+        words = [rng.choice(plain) for _ in range(30)]
+        if kind == "own":  # a twentieth of the toxic rows, each with forms and a rare word
+            words[3], words[9] = "réeux" + ends[i // 40 % 10], "drecko"
+        elif kind == "en":
+            words[3] = words[9] = "idiot"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(kind is not None)))
+    rows += [(5000, "le mot drecko, réeuxle"), (5001, "le réeuxneu mot drekco"), (5002, "le mot doux")]
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    words, stems = tx.learn_terms(docs(rows).join(table, "doc_id"))
+    assert words == ("drecko", "idiot") and stems == ("réeu",)
+    out = {r["doc_id"]: r for r in tx.toxicity(docs(rows), table).collect()}
+    own = [i for i in range(0, 2000, 40)]
+    assert all(out[i]["predicted"] == 1 for i in own)
+    assert {(h["surface"], h["term"], h["distance"]) for h in out[5001]["hits"]} == {("réeuxneu", "réeu*", 0), ("drekco", "drecko", 1)}
+    assert out[5000]["predicted"] == 1 and out[5002]["predicted"] == 0 and not out[5002]["hits"]
+
+
+def test_chance_alone_teaches_no_word(spark, docs):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{''.join(rng.choices('abcdefgh', k=3))}x" for _ in range(12))) for i in range(400)]
+    table = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    assert tx.learn_terms(docs(rows).join(table, "doc_id")) == ((), ())
+
+
 @pytest.mark.parametrize("rated", [[], [(4, 1)], [(None, 1), (1, None), (4, 0), (5, 1)]])
 def test_awkward_rows(spark, awkward, empty, rated):
     labels = spark.createDataFrame(rated, "doc_id long, toxic int")

@@ -1,10 +1,11 @@
 """Toxicity: Levenshtein automata over a lexicon trie, and a score of each hit's context.
 
-The lexicon is a list of plain insults and what labelled rows add to it. All its terms form one
-trie. The trie intersected with the Levenshtein automaton of each term (one edit from
-``ONE_EDIT`` letters on, two from ``TWO_EDITS`` on; a swap of neighbours is one edit) is made
-deterministic once, on the driver, and its table sent to the tasks. There all words of a batch walk
-through the table together, one byte per step; most die after a few steps.
+The lexicon is a list of plain insults and what labelled rows add to it: words, and stems that
+stand for every word that begins with them. All its terms form one trie. The trie intersected with
+the Levenshtein automaton of each term (one edit from ``ONE_EDIT`` letters on, for insults two from
+``TWO_EDITS`` on, none for stems; a swap of neighbours is one edit) is made deterministic once, on
+the driver, and its table sent to the tasks. There all words of a batch walk through the table
+together, one byte per step; most die after a few steps.
 
 Around a hit, a window of ``WINDOW`` words tells quotation (an open quotation mark before and a
 closing one after it, or a word of reporting) from abuse (direct address). A fuzzy hit on a word
@@ -14,6 +15,7 @@ counts of such hits gives the score.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,12 +43,12 @@ ADDRESS = "you your you're youre yourself ur du dich dein deine tu te toi vous e
 
 ONE_EDIT, TWO_EDITS, WINDOW = 5, 9, 8
 SAMPLE_ROWS = 20_000  # labelled rows the model is fitted on; all of them where there are fewer
-LEXICON_TERMS = 200  # terms learned from labels, strongest first
-LEAST_ROWS, LEAST_SHARE, LEAST_LIFT = 8, 0.1, 10.0
+LEAST_ROWS, LEAST_LIFT = 8, 10.0  # of a learned term; how many there are has no bound
+SHORT_STEM, LONG_STEM, LEAST_FORMS = 4, 12, 3  # letters of a stem, and words that begin with it
 
 HIT = "start int, end int, term string, distance int, surface string, quoted boolean, direct boolean"
 HITS = f"doc_id long, n_words long, hits array<struct<{HIT.replace(' ', ':').replace(',:', ',')}>>"
-FEATURES = ["any_exact", "more_exact", "any_fuzzy", "more_fuzzy", "quoted", "direct"]
+FEATURES = ["any_exact", "more_exact", "any_fuzzy", "more_fuzzy", "any_learned", "more_learned", "quoted", "direct"]
 
 
 class Automaton(NamedTuple):
@@ -64,23 +66,29 @@ def allowed(term: str) -> int:
     return 2 if n >= TWO_EDITS else 1 if n >= ONE_EDIT else 0
 
 
-def build_automaton(terms: tuple[str, ...]) -> Automaton:
-    """Subset construction over (trie node, edits, byte still owed by a swap)."""
-    terms = tuple(sorted(set(terms)))
+def build_automaton(terms: tuple[str, ...], learned: tuple[str, ...] = (), stems: tuple[str, ...] = ()) -> Automaton:
+    """Subset construction over (trie node, edits, byte still owed by a swap).
+
+    ``learned`` words are accepted with one edit at most, ``stems`` as they are and with anything
+    after them; those are named with a star.
+    """
+    edits = {f"{t}*": 0 for t in stems} | {t: min(1, allowed(t)) for t in learned} | {t: allowed(t) for t in terms}
+    terms = tuple(sorted(edits))
     child: list[dict[int, int]] = [{}]
     ends: dict[int, int] = {}
+    open_ends: dict[int, int] = {}
     budget = [0]
     for t, term in enumerate(terms):
         node = 0
-        budget[0] = max(budget[0], allowed(term))
-        for byte in term.encode():
+        budget[0] = max(budget[0], edits[term])
+        for byte in term.rstrip("*").encode():
             if byte not in child[node]:
                 child.append({})
                 budget.append(0)
                 child[node][byte] = len(child) - 1
             node = child[node][byte]
-            budget[node] = max(budget[node], allowed(term))
-        ends[node] = t
+            budget[node] = max(budget[node], edits[term])
+        (open_ends if term.endswith("*") else ends)[node] = t
     letters = sorted({b for c in child for b in c})
     group = np.zeros(256, np.int64)
     group[letters] = np.arange(1, len(letters) + 1)
@@ -108,7 +116,7 @@ def build_automaton(terms: tuple[str, ...]) -> Automaton:
                 if owed == byte:
                     out.add((node, e, None))
                 continue
-            out.add((node, e + 1, None))
+            out.add((node, e + (node not in open_ends or e > 0), None))
             for b, n in child[node].items():
                 out.add((n, e + (b != byte), None))
                 if byte in child[n] and byte != b:
@@ -118,19 +126,29 @@ def build_automaton(terms: tuple[str, ...]) -> Automaton:
     start = closed({(0, 0, None)})
     number, rows, todo = {frozenset(): 0, start: 1}, [[0] * (len(letters) + 1)], [start]
     for states in todo:
-        row = []
-        for byte in [None, *letters]:
+        # Bytes that no state can use all lead where an unknown one does.
+        used = {owed for _, _, owed in states if owed is not None}
+        for node, _, owed in states:
+            if owed is None:
+                used.update(child[node])
+                used.update(*(child[n] for n in child[node].values()))
+        row: list[int] = []
+        for byte in [None, *sorted(used)]:
             after = step(states, byte)
             if after not in number:
                 number[after] = len(number)
                 todo.append(after)
-            row.append(number[after])
+            if byte is None:
+                row = [number[after]] * (len(letters) + 1)
+            else:
+                row[group[byte]] = number[after]
         rows.append(row)
     term, distance = np.full(len(rows), -1), np.zeros(len(rows), np.int64)
     for states, k in number.items():
-        done = [(e, ends[n]) for n, e, owed in states if owed is None and n in ends and e <= allowed(terms[ends[n]])]
+        done = [(e, 0, ends[n]) for n, e, owed in states if owed is None and n in ends and e <= edits[terms[ends[n]]]]
+        done += [(e, 1, open_ends[n]) for n, e, owed in states if owed is None and n in open_ends and e == 0]
         if done:
-            distance[k], term[k] = min(done)
+            distance[k], _, term[k] = min(done)
     return Automaton(group, np.array(rows, np.int32), term, distance, terms)
 
 
@@ -243,19 +261,65 @@ class Model(NamedTuple):
     intercept: float
 
 
-def learn_terms(sample: DataFrame) -> tuple[str, ...]:
-    """Words that many toxic rows have and clean ones hardly have, of at least four letters."""
+def _beyond_chance(pos: int, n: int, share: float, tested: int) -> float:
+    """Chernoff's bound on ``pos`` toxic rows among ``n`` by chance, as a log, less that of one in ``tested``."""
+    p = pos / n
+    apart = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if pos < n else 0.0)
+    return n * apart - math.log(max(tested, 1))
+
+
+def learn_terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Words and stems that toxic rows have and clean ones hardly have, of at least four letters.
+
+    A term stands in at least ``LEAST_ROWS`` toxic rows, ``LEAST_LIFT`` times as often as in clean
+    ones, and with so many tests chance alone would leave less than one. No share of all toxic rows
+    is asked for, so a language with few of them has its terms as well. A stem is the beginning of
+    ``LEAST_FORMS`` words in toxic rows, none of which makes up more than half of its rows; of stems
+    that begin with each other the most telling one stays, and words that it covers are left out.
+    """
     counts = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     toxic, clean = counts[0] or 0, counts[1] - (counts[0] or 0)
     if not toxic or not clean:
-        return ()
-    words = sample.select(
-        "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("word")
-    ).groupBy("word").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
-    lift = (F.col("pos") / toxic) / ((F.col("n") - F.col("pos") + 0.5) / clean)
-    strong = words.where((F.col("pos") >= LEAST_ROWS) & (F.col("pos") >= LEAST_SHARE * toxic) & (lift >= LEAST_LIFT))
-    best = strong.orderBy(lift.desc(), "word").limit(LEXICON_TERMS)
-    return tuple(r["word"] for r in best.select("word").collect())
+        return (), ()
+    rows = sample.select(
+        "toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("words")
+    )
+
+    def begun(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            flags, terms = [], []
+            for flag, own in zip(batch.column("toxic").to_pylist(), batch.column("words").to_pylist()):
+                stems = {w[:k] for w in own for k in range(SHORT_STEM, min(len(w), LONG_STEM) + 1)}
+                terms += stems
+                flags += [flag] * len(stems)
+            yield pa.RecordBatch.from_arrays([pa.array(flags, pa.int32()), pa.array(terms, pa.string())], ["toxic", "term"])
+
+    def counted(table: DataFrame) -> DataFrame:
+        return table.groupBy("term").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n")).where(f"pos >= {LEAST_ROWS}")
+
+    def told(table: DataFrame) -> dict[str, float]:
+        tested = table.count()
+        lift = (F.col("pos") / toxic) / ((F.col("n") - F.col("pos") + 0.5) / clean)
+        strong = {r["term"]: _beyond_chance(r["pos"], r["n"], toxic / (toxic + clean), tested) for r in table.where(lift >= LEAST_LIFT).collect()}
+        return {term: x for term, x in strong.items() if x > 0}
+
+    words = told(settled(counted(rows.select("toxic", F.explode("words").alias("term")))))
+    forms = rows.where("toxic = 1").select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("pos"))
+    length = F.explode(F.sequence(F.lit(SHORT_STEM), F.least(F.char_length("word"), F.lit(LONG_STEM)))).alias("k")
+    spread = forms.select("pos", "word", length).groupBy(F.substring("word", F.lit(1), F.col("k")).alias("term")).agg(
+        F.count(F.lit(1)).alias("forms"), F.max("pos").alias("most")
+    ).where(f"forms >= {LEAST_FORMS}")
+    begins = counted(rows.mapInArrow(begun, "toxic int, term string"))
+    begins = settled(begins.join(spread, "term").where("2 * most <= pos"))
+    stems: set[str] = set()
+    taken: set[str] = set()  # beginnings of stems
+    for stem, _ in sorted(told(begins).items(), key=lambda x: (-x[1], x[0])):
+        shorter = {stem[:k] for k in range(SHORT_STEM, len(stem) + 1)}
+        if stem not in taken and stems.isdisjoint(shorter):
+            stems.add(stem)
+            taken |= shorter
+    plain = {w for w in words if stems.isdisjoint(w[:k] for k in range(SHORT_STEM, LONG_STEM + 1))}
+    return tuple(sorted(plain)), tuple(sorted(stems))
 
 
 def features(hits: DataFrame, words: tuple[str, ...]) -> DataFrame:
@@ -267,12 +331,15 @@ def features(hits: DataFrame, words: tuple[str, ...]) -> DataFrame:
     def count(test) -> Column:
         return F.size(F.filter("hits", test)).cast("double")
 
-    exact = count(lambda h: (h["distance"] == 0) & ~h["quoted"])
+    listed = F.array(*map(F.lit, INSULTS))
+    exact = count(lambda h: (h["distance"] == 0) & ~h["quoted"] & F.array_contains(listed, h["term"]))
     fuzzy = count(lambda h: (h["distance"] > 0) & ~h["quoted"])
+    learned = count(lambda h: (h["distance"] == 0) & ~h["quoted"] & ~F.array_contains(listed, h["term"]))
     return hits.withColumns(
         {
             "any_exact": (exact > 0).cast("double"), "more_exact": F.log1p(F.greatest(exact - 1, F.lit(0.0))),
             "any_fuzzy": (fuzzy > 0).cast("double"), "more_fuzzy": F.log1p(F.greatest(fuzzy - 1, F.lit(0.0))),
+            "any_learned": (learned > 0).cast("double"), "more_learned": F.log1p(F.greatest(learned - 1, F.lit(0.0))),
             "quoted": F.log1p(count(lambda h: h["quoted"])),
             "direct": F.log1p(count(lambda h: h["direct"] & ~h["quoted"])),
         }
@@ -291,7 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = rated.where(in_training(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     chosen = settled(chosen)
     sample = settled(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"))
-    auto = build_automaton((*INSULTS, *learn_terms(sample)))
+    auto = build_automaton(INSULTS, *learn_terms(sample))
     hits = settled(find_hits(sample.select("doc_id", "text"), auto).join(F.broadcast(chosen), "doc_id"))
     clean = hits.where("toxic = 0").select(F.explode("hits").alias("h")).where("h.distance > 0")
     words = tuple(sorted(r[0] for r in clean.select("h.surface").distinct().collect()))
