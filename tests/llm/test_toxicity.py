@@ -127,6 +127,22 @@ def test_chance_alone_teaches_no_word(spark, docs):
     assert tx.learn_terms(docs(rows).join(table, "doc_id")) == ((), ())
 
 
+def test_one_clean_row_does_not_switch_a_spelling_off(spark, docs):
+    rows, labels = [], []
+    for i in range(800):
+        toxic = i % 4 == 0
+        extra = ("idi0t" if i % 8 == 0 else "idiot") if toxic else ""
+        if i in (1, 5, 9):  # a slip of the labels and two quotations
+            extra = "idi0t" if i == 1 else 'he said "you stupidd" again'
+        rows.append((i, f"some plain words {'mormon' if i % 3 == 0 else ''} {extra}"))
+        labels.append((i, int(toxic)))
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = tx.fit(tx.documents_of(docs(rows)), table)
+    assert model.words == ("mormon",)
+    out = {r["doc_id"]: r["predicted"] for r in tx.score(docs(rows), model).collect()}
+    assert all(out[i] == 1 for i in range(0, 800, 8))
+
+
 @pytest.mark.parametrize("rated", [[], [(4, 1)], [(None, 1), (1, None), (4, 0), (5, 1)]])
 def test_awkward_rows(spark, awkward, empty, rated):
     labels = spark.createDataFrame(rated, "doc_id long, toxic int")

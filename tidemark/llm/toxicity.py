@@ -9,7 +9,7 @@ together, one byte per step; most die after a few steps.
 
 Around a hit, a window of ``WINDOW`` words tells quotation (an open quotation mark before and a
 closing one after it, or a word of reporting) from abuse (direct address). A fuzzy hit on a word
-that clean labelled rows use as well is a word of its own and no hit. A logistic regression on
+that clean labelled rows use about as often as toxic ones is a word of its own and no hit. A logistic regression on
 counts of such hits gives the score.
 """
 
@@ -44,6 +44,7 @@ ADDRESS = "you your you're youre yourself ur du dich dein deine tu te toi vous e
 ONE_EDIT, TWO_EDITS, WINDOW = 5, 9, 8
 SAMPLE_ROWS = 20_000  # labelled rows the model is fitted on; all of them where there are fewer
 LEAST_ROWS, LEAST_LIFT = 8, 10.0  # of a learned term; how many there are has no bound
+OWN_LIFT = 3.0  # a spelling that toxic rows have less than so many times as often is a word of its own
 SHORT_STEM, LONG_STEM, LEAST_FORMS = 4, 12, 3  # letters of a stem, and words that begin with it
 
 HIT = "start int, end int, term string, distance int, surface string, quoted boolean, direct boolean"
@@ -322,6 +323,18 @@ def learn_terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     return tuple(sorted(plain)), tuple(sorted(stems))
 
 
+def own_words(hits: DataFrame, toxic: int, clean: int) -> tuple[str, ...]:
+    """Spellings near the lexicon whose share of clean rows is not far below that of toxic ones.
+
+    Only hits that are not quoted count, once a row.
+    """
+    near = F.filter("hits", lambda h: (h["distance"] > 0) & ~h["quoted"])
+    rows = hits.select("toxic", F.explode(F.array_distinct(F.transform(near, lambda h: h["surface"]))).alias("surface"))
+    counts = rows.groupBy("surface").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n")).where("n > pos")
+    own = counts.where(F.col("pos") * clean < OWN_LIFT * (F.col("n") - F.col("pos")) * toxic)
+    return tuple(sorted(r["surface"] for r in own.collect()))
+
+
 def features(hits: DataFrame, words: tuple[str, ...]) -> DataFrame:
     """Counts of hits per document, without fuzzy hits on ``words``."""
     known = F.array(*map(F.lit, words)).cast("array<string>")
@@ -360,10 +373,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = settled(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"))
     auto = build_automaton(INSULTS, *learn_terms(sample))
     hits = settled(find_hits(sample.select("doc_id", "text"), auto).join(F.broadcast(chosen), "doc_id"))
-    clean = hits.where("toxic = 0").select(F.explode("hits").alias("h")).where("h.distance > 0")
-    words = tuple(sorted(r[0] for r in clean.select("h.surface").distinct().collect()))
-    kinds = hits.select("toxic").distinct().count()
-    if kinds < 2:
+    toxic, clean = (hits.where(F.col("toxic") == k).count() for k in (1, 0))
+    words = own_words(hits, toxic, clean)
+    if not toxic or not clean:
         return Model(auto, words, tuple(4.0 if f == "any_exact" else 0.0 for f in FEATURES), -2.0)
     table = features(hits, words).select(
         array_to_vector(F.array(*FEATURES)).alias("features"), F.col("toxic").cast("double").alias("label")
