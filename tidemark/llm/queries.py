@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, secrets, tokencounts
+from tidemark.llm import decontam, quality, secrets, tokencounts
 from tidemark.llm.common import read, settled
 from tidemark.llm.ctph import edited_with_next
 from tidemark.llm.idfiles import read_ids, write_ids
@@ -208,3 +208,48 @@ def op5_token_rollups(spark, d):
 @query()
 def op9_repeated_passages(spark, d):
     return repeated_passages(read(spark, d, "documents"))
+
+
+# A rule's value as in quality.RULES; the cutoffs by sorted values and DuckDB's lgamma.
+_RULES = ", ".join(f"struct_pack(rule := {n}, v := {rule.value})" for n, rule in enumerate(quality.RULES))
+_P = quality.ALPHA / len(quality.RULES)
+_WORDS = r"[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']"
+_SOLID_LINES = rf"[x FOR x IN {_LINES} IF regexp_matches(x, '[^\x20\x09-\x0D]')]"
+OP13_SQL = rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS ws, {_SOLID_LINES} AS ls FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+w3 AS (SELECT doc_id, i, w, lead(w) OVER o AS x, lead(w, 2) OVER o AS y FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM w3 WHERE y IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, w, x, y) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) t(k) GROUP BY doc_id),
+c AS (SELECT doc_id, lang, text, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+             length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS n_symbols,
+             len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+             coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN covered USING (doc_id)),
+b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed,
+             unnest([{_RULES}], recursive := true) FROM c),
+marks AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+texts AS (SELECT lang, text, rule, min(good) AS good, min(v) AS v FROM b JOIN marks USING (doc_id)
+          WHERE NOT base_failed GROUP BY lang, text, rule),
+n AS (SELECT lang, rule, sum(good) AS n_good, sum(1 - good) AS n_poor FROM texts GROUP BY lang, rule),
+cut AS (SELECT DISTINCT lang, rule, v AS cutoff FROM texts),
+tried AS (SELECT cut.lang, cut.rule, cutoff, n_good, n_poor, count(*) FILTER (v > cutoff AND good = 1) AS k,
+              count(*) FILTER (v > cutoff AND good = 0) AS poor
+       FROM cut JOIN n ON n.lang IS NOT DISTINCT FROM cut.lang AND n.rule = cut.rule
+       JOIN texts t ON t.lang IS NOT DISTINCT FROM cut.lang AND t.rule = cut.rule GROUP BY ALL),
+p AS (SELECT *, list_sum([exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1)
+                              + j * ln({_P}) + (n_good - j) * ln(1 - {_P})) FOR j IN range(k + 1)]) AS p_value
+      FROM tried WHERE k < n_good * {_P}),
+best AS (SELECT * FROM p WHERE p_value <= {quality.DELTA} / (SELECT count(*) FROM n)
+         QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY cutoff) = 1),
+used AS (SELECT lang, rule, cutoff FROM best WHERE n_poor > 0 AND poor >= {quality.LIFT * _P} * n_poor)
+SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       bool_and(NOT base_failed AND NOT coalesce(v > cutoff, false)) AS kept
+FROM b LEFT JOIN used ON used.lang IS NOT DISTINCT FROM b.lang AND used.rule = b.rule GROUP BY ALL"""
+
+
+@query(OP13_SQL)
+def op13_quality_rules(spark, d):
+    out = quality.quality(read(spark, d, "documents"), read(spark, d, "labels"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
