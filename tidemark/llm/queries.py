@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, quality, secrets, tokencounts
+from tidemark.llm import decontam, merkle, quality, secrets, tokencounts
 from tidemark.llm.common import read, settled
 from tidemark.llm.ctph import edited_with_next
 from tidemark.llm.idfiles import read_ids, write_ids
@@ -17,6 +17,7 @@ from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.passages import repeated_passages
 from tidemark.llm.pieces import sample_segmentations
 from tidemark.llm.toxicity import in_training, toxicity
+from tidemark.llm.whitening import whiten
 from tidemark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,3 +254,66 @@ def op13_quality_rules(spark, d):
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def _leaf_sql(text: str) -> str:
+    values = [f"CAST({c} AS VARCHAR)" for c in merkle.COLUMNS[:-1]] + [text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')" for v in values) + ")"
+
+
+# Trees level by level; crc32 by its table, one character of the id at a time.
+OP11_SQL = f"""WITH RECURSIVE
+bits(i, v, k) AS (SELECT i::BIGINT, i::BIGINT, 0 FROM range(256) r(i) UNION ALL
+  SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bits WHERE k < 8),
+crc(doc_id, s, c) AS (SELECT DISTINCT doc_id, doc_id::VARCHAR, 4294967295 FROM documents WHERE doc_id IS NOT NULL UNION ALL
+  SELECT doc_id, s[2:], xor(v, c // 256) FROM crc JOIN bits ON k = 8 AND i = xor(c % 256, ascii(s[1])) WHERE s <> ''),
+even AS (SELECT doc_id FROM crc WHERE s = '' AND xor(c, 4294967295) % 2 = 0),
+leaves AS (SELECT doc_id, coalesce('v' || source, '') AS t, {_leaf_sql("text")} AS leaf,
+  CASE WHEN doc_id IN (SELECT doc_id FROM even) THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS now
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+nodes(t, lvl, pos, h, n) AS (SELECT t, 0, pos, leaf, count(*) OVER (PARTITION BY t) FROM placed UNION ALL
+  SELECT t, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM nodes WHERE n > 1 GROUP BY t, lvl, pos // 3),
+subs AS (SELECT t, h AS subroot, row_number() OVER (ORDER BY t) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(lvl, pos, h, n) AS (SELECT 0, pos, subroot, n FROM subs UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM tops WHERE n > 1 GROUP BY lvl, pos // 3),
+every AS (SELECT 'g' || t AS t, lvl, pos, h FROM nodes WHERE n > 1 UNION ALL SELECT 'top', lvl, pos, h FROM tops WHERE n > 1),
+steps AS (SELECT a.t, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+            coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM every a JOIN every b ON b.t = a.t AND b.lvl = a.lvl AND b.pos // 3 = a.pos // 3 GROUP BY ALL),
+climb(id, lvl, pos, proof, now, up) AS (
+  SELECT (t, pos), 0, pos, '', now, 'g' || t FROM placed UNION ALL
+  SELECT id, c.lvl + 1, c.pos // 3, proof || l || r, sha256(l || now || r), up
+  FROM climb c JOIN steps s ON s.t = c.up AND s.lvl = c.lvl AND s.pos = c.pos),
+half AS (SELECT id, proof, now FROM climb QUALIFY row_number() OVER (PARTITION BY id ORDER BY lvl DESC) = 1),
+climb2(id, lvl, pos, proof, now) AS (
+  SELECT p.id, 0, u.pos, p.proof, p.now FROM half p JOIN subs u ON u.t = p.id[1] UNION ALL
+  SELECT id, c.lvl + 1, c.pos // 3, proof || l || r, sha256(l || now || r)
+  FROM climb2 c JOIN steps s ON s.t = 'top' AND s.lvl = c.lvl AND s.pos = c.pos),
+whole AS (SELECT id, proof, now FROM climb2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY lvl DESC) = 1)
+SELECT p.doc_id, p.leaf, u.subroot, o.h AS root, sha256(w.proof) AS proof_sha256, w.now AS folded_root,
+       w.now = o.h AS verified
+FROM placed p JOIN whole w ON w.id[1] = p.t AND w.id[2] = p.pos JOIN subs u ON u.t = p.t JOIN tops o ON o.n = 1"""
+
+
+@query(OP11_SQL)
+def op11_merkle_manifest(spark, d):
+    """Rows of even checksum lose their line breaks afterwards and are folded with their old proofs."""
+    docs = read(spark, d, "documents")
+    values = [F.col(c) for c in merkle.COLUMNS]
+    loses = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(loses, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    out = merkle.manifest(docs.withColumn("now", merkle.leaf_hash(*values[:-1], text)), carry=("now",))
+    out = out.withColumn("folded_root", merkle.folded(F.col("now"), F.col("proof")))
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", merkle.siblings_hash(F.col("proof")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query()
+def op12_embedding_whitening(spark, d):
+    out = whiten(read(spark, d, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
