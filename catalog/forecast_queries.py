@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from catalog.datasets import (
-    BARS, REV, SEG, SHIP, SUPP, event_bars, rev_daily, seg_daily, ship_rows, supp_daily, table,
+    BARS, GAPPY, REV, SEG, SHIP, SUPP, event_bars, rev_daily, seg_daily, ship_rows, supp_daily, supp_gappy, table,
 )
 from catalog.registry import query, r, ts
 from tidemark.models import cv, design, ensemble, tune
@@ -377,29 +377,60 @@ def forecast_custom_season(spark, d):
 
 @query()
 def cross_validate(spark, d):
+    """Every fold of the year-on history: a cutoff each month, two months ahead."""
     s = seg_daily(spark, d)
-    cuts = cv.cv_cutoffs(s, "1500 days", "180 days", "60 days")
-    return tune.cross_validate(s, cuts)
+    return tune.cross_validate(s, cv.cv_cutoffs(s, "365 days", "30 days", "60 days"))
+
+
+FOLDS = CUT_SQL.format(cte=SEG, t="seg", h=60, i=365, p=30) + """, f AS (
+  SELECT key, count(*) AS n_folds FROM c GROUP BY 1)"""
+
+
+def _grid_sql(grid) -> str:
+    """Every combination, numbered with the last parameter fastest."""
+    values = {n: ", ".join(f"({v!r}{'' if isinstance(v, str) else '::DOUBLE'}, {i})" for i, v in enumerate(vs)) for n, vs in grid.items()}
+    tables = ", ".join(f"(VALUES {v}) t{n}({n}, i_{n})" for n, v in values.items())
+    number, size = "0", 1
+    for n, vs in reversed(grid.items()):
+        number, size = f"{number} + i_{n} * {size}", size * len(vs)
+    return f"g AS (SELECT ({number})::INTEGER AS param_id, {', '.join(grid)} FROM {tables})"
+
+
+def _scored(spark, d, grid):
+    s = seg_daily(spark, d)
+    cuts = cv.cv_cutoffs(s, "365 days", "30 days", "60 days")
+    scores, best = tune.grid_search(s, cuts, grid)
+    shown = scores.withColumn("has_score", F.col("rmse") > 0).select("key", "param_id", *grid, "n_folds", "has_score")
+    return shown, best
+
+
+@query(f"""{FOLDS}, {_grid_sql(cv.TRAINER_GRID)} SELECT key, param_id, {r('changepoint_prior_scale')} AS changepoint_prior_scale,
+{r('seasonality_prior_scale')} AS seasonality_prior_scale, {r('holidays_prior_scale')} AS holidays_prior_scale, seasonality_mode,
+n_folds, true AS has_score FROM f CROSS JOIN g""")
+def grid_search_scores(spark, d):
+    """The trainer's grid of 64 sets, each scored on every fold."""
+    return _scored(spark, d, cv.TRAINER_GRID)[0]
+
+
+@query(f"""{FOLDS}, {_grid_sql(cv.TUNER_GRID)} SELECT key, param_id, {r('changepoint_prior_scale')} AS changepoint_prior_scale,
+{r('seasonality_prior_scale')} AS seasonality_prior_scale, {r('holidays_prior_scale')} AS holidays_prior_scale, seasonality_mode,
+{r('changepoint_range')} AS changepoint_range, n_folds, true AS has_score FROM f CROSS JOIN g""")
+def tuner_grid_scores(spark, d):
+    """The tuner's grid of 512 sets, each scored on every fold."""
+    return _scored(spark, d, cv.TUNER_GRID)[0]
 
 
 @query()
 def grid_search(spark, d):
-    """Scores of eight parameter sets over rolling cutoffs, and the winner per key."""
-    s = seg_daily(spark, d)
-    grid = {
-        "changepoint_prior_scale": (0.01, 0.5), "seasonality_prior_scale": (0.1, 10.0),
-        "seasonality_mode": ("additive", "multiplicative"),
-    }
-    cuts = cv.cv_cutoffs(s, "1800 days", "240 days", "60 days")
-    _, best = tune.grid_search(s, cuts, grid)
-    return best
+    """The winner of the 64 sets per key, with its mean error."""
+    return _scored(spark, d, cv.TRAINER_GRID)[1]
 
 
 @query()
 def end_to_end_forecast(spark, d):
-    """Clean, fit on the first part, forecast and evaluate on the rest."""
+    """Clean, indicators, features, fit with them on the first part, forecast and evaluate on the rest."""
     s = supp_daily(spark, d)
-    return run_workflow(s, WorkflowConfig(with_features=False, periods=90))["metrics"]
+    return run_workflow(s, WorkflowConfig(periods=90))["metrics"]
 
 
 @query(f"""WITH {NSUPP} SELECT key, {ts('ds')} AS ds, 'yhat' AS component, {r('yhat')} AS value FROM nv
@@ -540,19 +571,22 @@ def random_forest(spark, d):
 
 @query()
 def ensemble_models(spark, d):
-    """Forecaster, smoothing and forest trained on one part, averaged on the rest, evaluated."""
+    """All base models trained on one part, averaged on the rest, evaluated."""
     train, test = _train_and_test(seg_daily(spark, d))
-    frame = test.on(test.df.select("key", "ds"))
-    models = {
-        "forecaster": predicting.predict(fitting.fit(train), frame),
-        "exp_smoothing": ensemble.exp_smoothing(train, test.df),
-        "random_forest": ensemble.tree_model(train, test, "forest"),
-    }
-    long = replace(train, df=ensemble.collect_models(models), keys=("key", "model"))
-    combined = ensemble.predict_ensemble(long, "simple_average")
+    combined = ensemble.predict_ensemble(ensemble.train_base_models(train, test), "simple_average")
     return metrics.evaluate_ensemble(metrics.with_actual(combined, test.df))
 
 
+@query(f"""WITH {SEG}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ds) AS i, count(*) OVER (PARTITION BY key) AS n FROM seg)
+SELECT key, {ts('ds')} AS ds, model, true AS answered FROM n, (VALUES ('forecaster'), ('exp_smoothing'), ('boosted'), ('forest')) m(model)
+WHERE i > floor(n * (1 - 0.2::DOUBLE))""")
+def base_models(spark, d):
+    """Every base model answers for every row of the test part."""
+    train, test = _train_and_test(seg_daily(spark, d))
+    out = ensemble.train_base_models(train, test, rounds=20)
+    return out.df.select("key", "ds", "model", (F.col("yhat").isNotNull() & ~F.isnan("yhat")).alias("answered"))
+
+
 @query()
 def feature_components(spark, d):
     """Principal components of the rolling features, summed up per component."""
@@ -565,6 +599,20 @@ def feature_components(spark, d):
     return out.groupBy("key").agg(*[F.stddev_pop(f"pc_{i}").alias(f"spread_{i}") for i in (1, 2, 3)])
 
 
+@query(f"""WITH {GAPPY}, v AS (SELECT key, ds, y, CASE WHEN volume > 20 THEN volume END AS volume FROM gappy),
+m AS (SELECT avg(y) AS my, stddev_samp(y) AS sy, avg(volume) AS mv, stddev_samp(volume) AS sv, sign(corr(y, volume)) AS r FROM v),
+z AS (SELECT key, ds, (y - my) / sy AS a, r * (volume - mv) / sv AS b FROM v, m)
+SELECT key, {ts('ds')} AS ds, {r('CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN (coalesce(a, 0) + coalesce(b, 0)) / sqrt(2) END')} AS pc_1,
+{r('CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN (coalesce(a, 0) - coalesce(b, 0)) / sqrt(2) END')} AS pc_2 FROM z""")
+def components_over_gaps(spark, d):
+    """Two columns with gaps have components in closed form, and every row keeps its place."""
+    from tidemark.operators.reduce import principal_components
+
+    s = supp_gappy(spark, d)
+    s = s.on(s.df.withColumn("volume", F.when(F.col("volume") > 20, F.col("volume"))))
+    return principal_components(s, ["y", "volume"], 2).select("key", "ds", "pc_1", "pc_2")
+
+
 @query(f"""WITH {BARS}, m AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP + INTERVAL 8400 DAY AS ds, sum(o_totalprice) AS macro FROM orders GROUP BY 1)
 SELECT b.key AS key, {ts('b.ds')} AS ds, {r('any_value(b."Close")')} AS "Close", {r('arg_max(m.macro, m.ds)')} AS macro
 FROM bars b LEFT JOIN m ON m.ds <= b.ds GROUP BY b.key, b.ds""")

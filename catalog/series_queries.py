@@ -442,6 +442,23 @@ def ema(spark, d):
     return out.df.select("key", "ds", "EMA")
 
 
+# Value by value: the weight of the last mean has aged by the rows between.
+EMA_GAPS = f"""WITH RECURSIVE {GAPPY}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ds) AS row FROM gappy),
+k AS (SELECT key, ds, y, row, row_number() OVER (PARTITION BY key ORDER BY ds) AS i,
+  pow(1 - 2.0::DOUBLE / 21, row - lag(row) OVER (PARTITION BY key ORDER BY ds)) AS w FROM n WHERE y IS NOT NULL),
+e AS (SELECT key, ds, i, y::DOUBLE AS e FROM k WHERE i = 1 UNION ALL
+  SELECT k.key, k.ds, k.i, (k.w * e.e + k.y * 2 / 21) / (k.w + 2.0::DOUBLE / 21) FROM e JOIN k ON k.key = e.key AND k.i = e.i + 1)
+SELECT n.key, {ts('n.ds')} AS ds, {r("CASE WHEN max(e.i) OVER w >= 20 THEN last_value(e.e IGNORE NULLS) OVER w END")} AS "EMA"
+FROM n LEFT JOIN e ON e.key = n.key AND e.ds = n.ds WINDOW w AS (PARTITION BY n.key ORDER BY n.ds)"""
+
+
+@query(EMA_GAPS)
+def ema_over_gaps(spark, d):
+    """Every day of a supplier's span: days without sales are NULL, keep the mean and age its weight."""
+    out = indicators.ema_frame(supp_gappy(spark, d), "y", {"EMA": 20})
+    return out.df.select("key", "ds", "EMA")
+
+
 RSI_SQL = f"""WITH {BARS}, dl AS (
   SELECT key, ds, "Close" - lag("Close") OVER (PARTITION BY key ORDER BY ds) AS dx FROM bars),
 l AS (

@@ -62,20 +62,49 @@ def test_logistic_stays_below_its_cap(world):
     assert (got.trend <= got.key.map(caps) + 1e-6).all()
 
 
-def test_long_fit_equals_grouped_fit(world):
-    o = design.ForecastOptions(seasonality_mode="additive")
-    grouped = {r["key"]: r for r in fit(world, o).collect()}
-    unbounded = series(world.df, segment_rows=200)
-    for r in fit_long(unbounded, o).collect():
+@pytest.mark.parametrize("growth", ["linear", "logistic"])
+@pytest.mark.parametrize("mode", ["additive", "multiplicative"])
+def test_long_fit_equals_grouped_fit(world, growth, mode):
+    o = design.ForecastOptions(growth=growth, seasonality_mode=mode, daily="auto", changepoints=10)
+    holes = world.df.withColumn("y", F.when(F.dayofmonth("ds") != 3, F.col("y")))
+    grouped = {r["key"]: r for r in fit(series(holes, max_rows=N), o).collect()}
+    rows = fit_long(series(holes, segment_rows=200), o).collect()
+    assert len(rows) == len(grouped) == 2
+    for r in rows:
         g = grouped[r["key"]]
+        assert (r["status"], r["n"], r["mode"], r["growth"]) == ("ok", g["n"], mode, growth)
         np.testing.assert_allclose(r["cps"], g["cps"], atol=1e-12)
-        np.testing.assert_allclose(r["trend"], g["trend"], atol=1e-5)
-        np.testing.assert_allclose(r["beta"], g["beta"], atol=1e-6)
-        assert r["sigma"] == pytest.approx(g["sigma"], rel=1e-5)
-    with pytest.raises(ValueError):
-        fit_long(unbounded, design.ForecastOptions())
+        np.testing.assert_allclose(r["trend"], g["trend"], atol=1e-4)
+        np.testing.assert_allclose(r["beta"], g["beta"], atol=1e-5)
+        assert r["cap"] == pytest.approx(g["cap"]) and r["sigma"] == pytest.approx(g["sigma"], rel=1e-4)
     with pytest.raises(ValueError):
-        fit(unbounded, o)
+        fit(series(holes, segment_rows=200), o)
+
+
+def test_long_fit_reports_what_it_cannot_fit(spark):
+    rows = [("ok", i, float(i % 7) + 1, 1.0 * i) for i in range(60)] + [("one", 1, 5.0, 1.0), ("none", 1, None, 1.0), ("none", 2, None, 2.0)]
+    rows += [("gap", i, float(i), None if i == 7 else 1.0 * i) for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, i int, y double, x double").selectExpr("key", "timestamp_seconds(i * 86400) AS ds", "y", "x")
+    o = design.ForecastOptions(yearly=False, daily=False, regressors=("x",))
+    got = {r["key"]: r["status"] for r in fit_long(series(df, segment_rows=20), o).collect()}
+    assert got.pop("ok") == "ok"
+    assert got == {"one": "failed: fewer than two known values", "none": "failed: fewer than two known values",
+                   "gap": "failed: a regressor is NULL where the target is known"}
+
+
+def test_prior_scales_share_designs(world):
+    """Sets fitted one after the other on one design equal fits of their own."""
+    pdf = rows_of(only(world, "multiplicative").df)
+    us = (DAY * 86_400_000_000).astype(np.int64)
+    x, y = np.zeros((N, 0)), pdf.y.to_numpy()
+    train = np.arange(N) < 700
+    grid = {"changepoint_prior_scale": (0.01, 0.5), "seasonality_mode": ("additive", "multiplicative"), "holidays_prior_scale": (0.1, 10.0)}
+    sets = [design.ForecastOptions(samples=20).with_params(p) for p in tune.grid_rows(grid)]
+    for param_id, (yhat, low, high) in tune._fold(us, y, x, train, ~train, sets, 1):
+        p = fit_arrays(us[train], y[train], x[train], sets[param_id])
+        alone, _, _ = tune.forecast_arrays(p, us[~train], x[~train], sets[param_id], 1)
+        np.testing.assert_allclose(yhat, alone, rtol=0.02)
+        assert (low <= yhat).all() and (yhat <= high).all()
 
 
 def test_column_forecast_equals_array_forecast(world):
@@ -269,6 +298,23 @@ def test_tree_models(world):
         assert metrics.evaluate_forecast(inside).join(spread, "key").filter("rmse < 0.6 * sd").count() == 2
 
 
+def test_base_models_in_one_call(world):
+    """Trees take the other columns: text, and numbers with gaps."""
+    late = F.when(F.dayofweek("ds") > 4, "late").otherwise("early")
+    s = world.on(world.df.drop("clean").withColumns({"part": late, "x": F.when(F.dayofmonth("ds") > 2, F.dayofmonth("ds"))}))
+    train = s.filtered(s.df.filter("ds < '2023-06-01'"))
+    test = s.filtered(s.df.filter("ds >= '2023-06-01'"))
+    assert ensemble.tree_features(train, test.df) == ["x", "part"]
+    out = ensemble.train_base_models(train, test, rounds=3)
+    assert out.keys == ("key", "model")
+    counts = {r["model"]: (r["n"], r["known"]) for r in out.df.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count("yhat").alias("known")).collect()}
+    n = test.df.count()
+    assert counts == {m: (n, n) for m in ensemble.BASE_MODELS}
+    assert ensemble.predict_ensemble(out, "simple_average").count() == n
+    with pytest.raises(ValueError):
+        ensemble.train_base_models(train, test, models=("loud",))
+
+
 # --- versions and workflow ---
 
 
@@ -312,4 +358,6 @@ def test_workflow(world):
     assert f.yhat.notna().all() and (f.yhat_lower <= f.yhat_upper).all()
     assert out["cv_metrics"].filter("rmse >= 0").count() > 0
     assert out["features"].filter("is_train").count() > 0
+    # The features are the model's regressors.
+    assert out["params"].filter("size(reg_beta) > 5 AND status = 'ok'").count() == 2
     assert out["nulls_after"].filter("nulls > 0").count() == 0

@@ -118,3 +118,41 @@ def test_without_long_keys_the_plain_way(spark):
         (F.col("id") % 100).cast("string").alias("key"), F.timestamp_seconds("id").alias("ds"), F.rand(1).alias("y")
     )
     assert planned(series(df, segment_rows=50)).bounded
+
+
+@pytest.mark.parametrize("seq", ["number", "text", "two"])
+def test_few_distinct_times_are_split_by_the_rest_of_the_order(spark, seq):
+    """20 times, each held by a tenth of a key or more: no segment exceeds its rows."""
+    n = 40_000
+    cols = {
+        "number": (F.col("id").alias("a"), F.lit(0).alias("b")),
+        "text": (F.lpad(F.col("id").cast("string"), 5, "0").alias("a"), F.lit(0).alias("b")),
+        "two": (F.floor(F.col("id") / 10_000).alias("a"), F.col("id").alias("b")),
+    }[seq]
+    time = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise((F.col("id") * 7919) % 20)
+    df = spark.range(n).select(
+        F.when(F.col("id") % 4 == 0, "cold").otherwise("hot").alias("key"), F.timestamp_seconds(time).alias("ds"), *cols,
+        (F.col("id") % 101).cast("double").alias("y"),
+    ).persist()
+    s = planned(series(df, seq=["a", "b"], segment_rows=1000))
+    seg = segment(s)
+    sizes = seg.df.filter("_home").groupBy(*seg.part).count()
+    assert sizes.agg(F.max("count"), F.sum("count")).first() == (sizes.agg(F.max("count")).first()[0], n)
+    assert sizes.agg(F.max("count")).first()[0] <= 1000
+    plain = series(df, seq=["a", "b"], max_rows=n)
+    order = ["key", "ds", "a", "b"]
+    build = lambda w: {"m": F.sum("y").over(w.rowsBetween(-30, 0)), "l": F.lag("y", 30).over(w)}
+    for mine, whole in ((windowed(s, 31, build), windowed(plain, 31, build)), (numbered(s), numbered(plain))):
+        mine, whole = rows_of(mine, *order), rows_of(whole, *order)
+        pd.testing.assert_frame_equal(mine[whole.columns.tolist()], whole)
+
+
+def test_times_that_are_null_come_first(spark):
+    df = spark.range(3000).select(
+        F.lit("k").alias("key"), F.when(F.col("id") % 3 > 0, F.timestamp_seconds("id")).alias("ds"), F.col("id").alias("seq"),
+        F.col("id").cast("double").alias("y"),
+    )
+    s = planned(series(df, seq=["seq"], segment_rows=200))
+    assert s.layout is not None
+    a, b = rows_of(numbered(s), "seq"), rows_of(numbered(series(df, seq=["seq"], max_rows=3000)), "seq")
+    assert (a["rn"] == b["rn"]).all()

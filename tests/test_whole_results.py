@@ -10,7 +10,7 @@ from tidemark.functions.calendar import add_holiday, holiday_table
 from tidemark.models import design, ensemble
 from tidemark.models.fit import fit, fit_long
 from tidemark.models.predict import predict
-from tidemark.operators import clean, metrics
+from tidemark.operators import clean, indicators, metrics, reduce
 from tidemark.operators.enrich import as_of
 from tidemark.operators.profile import correlated_columns, pairwise_correlations
 from tidemark.plans.series import series
@@ -136,3 +136,85 @@ def test_metrics_of_many_horizons(spark):
     first = out.first()
     assert out.count() == n - 19
     assert first["mae"] == pytest.approx(np.mean(np.arange(20))) and first["mdape"] == pytest.approx(9.5)
+
+
+@pytest.mark.parametrize("rows", [10_000, 300])
+def test_ema_over_gaps_is_the_library_rule(spark, rows):
+    """Missing values age the weight of the last mean, as pandas does without adjustment."""
+    rng = np.random.default_rng(8)
+    n = 2000
+    y = rng.normal(100, 5, n)
+    y[rng.random(n) < 0.4] = np.nan
+    y[:3], y[500:560], y[900:1500] = np.nan, np.nan, np.nan
+    pdf = pd.DataFrame({"key": "k", "i": range(n), "y": y})
+    df = spark.createDataFrame(pdf).selectExpr("key", "timestamp_seconds(i) AS ds", "CASE WHEN NOT isnan(y) THEN y END AS y")
+    s = series(df, segment_rows=rows)
+    got = rows_of(indicators.ema_frame(s, "y", {"a": 20, "b": 5}).df)
+    for name, span in (("a", 20), ("b", 5)):
+        want = pd.Series(y).ewm(span=span, min_periods=span, adjust=False).mean()
+        np.testing.assert_allclose(got[name].astype(float), want, rtol=1e-9)
+
+
+def test_metrics_of_twenty_thousand_horizons(spark):
+    """The rolling median slides; no window is laid out row by row."""
+    n = 20_000
+    ds = F.timestamp_seconds(F.col("id") % n + 1)
+    cv = spark.range(2 * n).select(
+        F.lit("k").alias("key"), ds.alias("ds"), F.timestamp_seconds(F.lit(0)).alias("cutoff"),
+        (F.lit(100.0) + F.pmod(F.col("id") * 7919, F.lit(997))).alias("y"), F.lit(100.0).alias("yhat"),
+    )
+    out = metrics.performance_metrics(cv)
+    assert out.count() == n - 2000 + 1
+    rows = cv.selectExpr("ds", "abs(y - yhat) / y AS e").toPandas().sort_values("ds", kind="stable")
+    want = {n: rows.e.iloc[-4000:].median(), 2000: rows.e.iloc[:4000].median(), 9000: rows.e.iloc[14_000:18_000].median()}
+    got = {r["horizon"]: r["mdape"] for r in out.collect()}
+    for second, value in want.items():
+        assert got[second * 1_000_000] == pytest.approx(value)
+
+
+def test_sliding_medians():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5, 50, 777):
+        v = np.round(rng.normal(size=n), 1)
+        v[rng.random(n) < 0.1] = np.nan
+        starts = np.sort(rng.integers(0, n, 30))
+        stops = np.maximum.accumulate(np.minimum(n, starts + rng.integers(1, n + 1, 30)))
+        want = [np.median(w) if len(w) else np.nan for w in (v[a:b][~np.isnan(v[a:b])] for a, b in zip(starts, stops))]
+        np.testing.assert_allclose(metrics.sliding_medians(v, starts, stops), want)
+
+
+def test_components_keep_rows_with_gaps(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)) @ np.array([[1, 0.8, 0.1], [0, 0.5, 0.2], [0, 0, 1.0]])
+    x[::7, 1] = np.nan
+    x[5] = np.nan
+    pdf = pd.DataFrame(x, columns=list("abc")).assign(key="k", i=range(300), one=1.0)
+    df = spark.createDataFrame(pdf).selectExpr("key", "timestamp_seconds(i) AS ds", "a AS y", "a", "b", "c", "one")
+    out = rows_of(reduce.principal_components(series(df, max_rows=300), ["a", "b", "c", "one"], 3))
+    frame = pd.DataFrame(x, columns=list("abc"))
+    values, vectors = np.linalg.eigh(frame.corr())
+    z = ((frame - frame.mean()) / frame.std()).fillna(0.0).to_numpy()
+    for j in range(3):
+        v = vectors[:, -1 - j]
+        score = z @ (v * np.sign(v[0]))
+        score[5] = np.nan
+        np.testing.assert_allclose(out[f"pc_{j + 1}"].astype(float), score, atol=1e-9)
+
+
+def test_trees_of_a_forest_draw_their_own_rows(spark, monkeypatch):
+    """Of a long key every tree has a sample of its own, and two trees share rows by chance alone."""
+    monkeypatch.setattr(clean, "TREES", 20)
+    n = 100_000
+    df = spark.range(n + 50).select(
+        F.when(F.col("id") < n, "long").otherwise("short").alias("key"), F.timestamp_seconds("id").alias("ds"), F.col("id").cast("double").alias("y")
+    )
+    pool = clean.forest_pool(series(df, segment_rows=20_000)).toPandas()
+    assert set(pool[pool.key == "short"].tree) == {-1} and (pool.key == "short").sum() == 50
+    drawn = pool[pool.key == "long"].sort_values("rank").groupby("tree").head(clean.TREE_ROWS)
+    sizes = drawn.groupby("tree").size()
+    assert len(sizes) == 20 and (sizes == clean.TREE_ROWS).all()
+    samples = [set(g.y) for _, g in drawn.groupby("tree")]
+    shared = [len(a & b) for i, a in enumerate(samples) for b in samples[:i]]
+    # 256 of 100,000 rows each: two thirds of a row in common on average, and no bias along the order.
+    assert np.mean(shared) < 2 and max(shared) <= 8
+    assert abs(drawn.y.mean() / n - 0.5) < 0.02

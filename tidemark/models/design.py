@@ -50,7 +50,7 @@ class ForecastOptions:
     regressors: tuple[str, ...] = ()
     interval_width: float = 0.95
     samples: int = 300
-    sweeps: int = 10
+    sweeps: int = 25  # most rounds of Gauss-Newton steps; they end sooner when nothing moves
 
     def __post_init__(self):
         if self.growth not in ("linear", "logistic"):

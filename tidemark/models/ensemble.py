@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.models.fit import key_schema, require_bounded
+from tidemark.models.design import ForecastOptions
+from tidemark.models.fit import fit, key_schema, require_bounded
+from tidemark.models.predict import predict
 from tidemark.operators.features import regressor_features
 from tidemark.plans.segments import attach, fill, windowed
-from tidemark.plans.series import Series
+from tidemark.plans.series import Series, numeric_columns, string_columns
+from tidemark.session import settled
+
+# The date parts that trees take.
+DATE_PARTS = ("year", "month", "day", "dayofweek", "quarter")
+MOST_TEXTS = 100  # texts of a column that trees tell apart, by frequency; others are one more case
 
 # --- base models ------------------------------------------------------------------------------------
 
@@ -87,37 +95,108 @@ def _pooled(s: Series, stats: DataFrame) -> DataFrame:
     return df.withColumn("_label", F.coalesce(F.try_divide(F.col(s.y) - F.col("_mean"), F.col("_sd")), F.lit(0.0)))
 
 
+def tree_features(train: Series, target: DataFrame) -> list[str]:
+    """All other numeric and text columns that both sides have: what trees take by default."""
+    shared = set(target.columns)
+    skip = (train.y, train.ds, *train.keys, *train.seq)
+    found = [*numeric_columns(train.df, skip), *string_columns(train.df, skip)]
+    return [c for c in found if c in shared and c not in DATE_PARTS]
+
+
+def _gaps(frames: Sequence[DataFrame], cols: Sequence[str]) -> list[str]:
+    """Columns with a NULL or NaN in any of the frames."""
+    found = set()
+    for df in frames if cols else ():
+        bad = {c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in cols}
+        row = df.agg(*[F.coalesce(F.bool_or(b), F.lit(False)).alias(c) for c, b in bad.items()]).first()
+        found |= {c for c in cols if row[c]}
+    return [c for c in cols if c in found]
+
+
 def tree_model(
     train: Series, target: Series, kind: str = "boosted", rounds: int = 100, depth: int = 5,
-    rate: float = 0.1, seed: int = 42, features: Sequence[str] = (),
+    rate: float = 0.1, seed: int = 42, features: Sequence[str] | None = None,
 ) -> DataFrame:
     """Boosted trees or a random forest over all keys, applied to the rows of ``target``.
 
-    A NULL feature counts as 0, rows without a target train nothing, and a key without training
-    rows has no scale, so its forecast is NULL. No row of ``target`` is lost.
+    Features are date parts, the key's mean and deviation, and ``features`` (by default all other
+    columns of both sides; text is numbered by frequency, at most ``MOST_TEXTS`` values). A column
+    with gaps has a second one that says where, so a missing value is a case of its own and no 0.
+    Rows without a target train nothing, and a key without training rows has no scale, so its
+    forecast is NULL. No row of ``target`` is lost.
     """
+    if kind not in ("boosted", "forest"):
+        raise ValueError("kind is 'boosted' or 'forest'")
     stats = train.df.groupBy(*train.keys).agg(
         F.avg(train.y).alias("_mean"), F.stddev_pop(train.y).alias("_sd")
     )
-    cols = ["year", "month", "day", "dayofweek", "quarter", *features, "_mean", "_sd"]
+    chosen = tree_features(train, target.df) if features is None else list(features)
+    texts = [c for c in string_columns(train.df) if c in chosen]
+    numbers = [c for c in chosen if c not in texts]
+    gaps = _gaps((train.df, target.df), numbers)
+    cols = [*DATE_PARTS, *numbers, *[f"_gap_{c}" for c in gaps], *[f"_text_{c}" for c in texts], "_mean", "_sd"]
+
+    def whole(df: DataFrame) -> DataFrame:
+        missing = {c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in gaps}
+        df = df.withColumns({f"_gap_{c}": m.cast("double") for c, m in missing.items()})
+        df = df.withColumns({c: F.when(~m, F.col(c).cast("double")).otherwise(0.0) for c, m in missing.items()})
+        df = df.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
+        return df.na.fill(0.0, ["_mean", "_sd"])
+
+    stages = []
+    for c in texts:
+        top = train.df.groupBy(F.coalesce(c, F.lit("")).alias("v")).count()
+        top = [r["v"] for r in top.orderBy(F.desc("count"), "v").limit(MOST_TEXTS).collect()]
+        stages.append(StringIndexerModel.from_labels(top, c, f"_text_{c}", "keep"))
     assemble = VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="error")
     shared = dict(featuresCol="_features", labelCol="_label", predictionCol="_z", maxDepth=depth, seed=seed)
+    if texts:
+        shared["maxBins"] = max(32, MOST_TEXTS + 1)
     if kind == "boosted":
         learner = GBTRegressor(maxIter=rounds, stepSize=rate, lossType="squared", **shared)
-    elif kind == "forest":
-        learner = RandomForestRegressor(numTrees=rounds, **shared)
     else:
-        raise ValueError("kind is 'boosted' or 'forest'")
+        learner = RandomForestRegressor(numTrees=rounds, **shared)
     known = train.filtered(train.df.filter(F.col(train.y).isNotNull()))
-    model = Pipeline(stages=[assemble, learner]).fit(_pooled(known, stats).na.fill(0.0, cols))
+    model = Pipeline(stages=[*stages, assemble, learner]).fit(whole(_pooled(known, stats)))
     rows = target.df if train.y in target.df.columns else target.df.withColumn(train.y, F.lit(0.0))
     pooled = _pooled(train.on(rows), stats)
     pooled = pooled.withColumns({"_scale": F.col("_sd"), "_middle": F.col("_mean")})
-    out = model.transform(pooled.na.fill(0.0, cols))
+    out = model.transform(whole(pooled))
     yhat = F.col("_z") * F.col("_scale") + F.col("_middle")
     return out.select(*train.keys, F.col(train.ds).alias("ds"), yhat.alias("yhat"))
 
 
+BASE_MODELS = ("forecaster", "exp_smoothing", "boosted", "forest")
+
+
+def train_base_models(
+    train: Series, target: Series, options: ForecastOptions = ForecastOptions(),
+    models: Sequence[str] = BASE_MODELS, period: int = 30, rounds: int = 100,
+) -> Series:
+    """All base models trained on ``train`` and applied to ``target``, aligned on key and time.
+
+    A long series of keys, model, ds, yhat: the input of ``predict_ensemble``. Trees take all other
+    columns that both sides have. Every model answers for every row of ``target``; a model without
+    an answer for a key has NULL there.
+    """
+    unknown = set(models) - set(BASE_MODELS)
+    if unknown or not models:
+        raise ValueError(f"unknown base models {sorted(unknown)}; some of {BASE_MODELS}")
+    found = {}
+    for name in models:
+        if name == "forecaster":
+            frame = target.on(target.df.select(*train.keys, train.ds, *options.regressors))
+            found[name] = predict(fit(train, options), frame, options).withColumnRenamed(train.ds, "ds")
+        elif name == "exp_smoothing":
+            found[name] = exp_smoothing(train, target.df, period)
+        else:
+            found[name] = tree_model(train, target, name, rounds)
+    # Fits are dear, and ensembles read the predictions several times.
+    long = settled(collect_models(found, train.keys))
+    bound = None if target.max_rows is None else target.max_rows
+    return replace(train, df=long, keys=(*train.keys, "model"), ds="ds", y="yhat", seq=(), max_rows=bound, splits=None, layout=None)
+
+
 def collect_models(models: Mapping[str, DataFrame], keys: Sequence[str] = ("key",)) -> DataFrame:
     """Long predictions of all models."""
     out = None
@@ -171,8 +250,6 @@ def dynamic_weights(
     every = predictions.df.join(actual, [*keys, "ds"], "left")
     by_model = predictions.on(every)
     if "model" not in by_model.keys:
-        from dataclasses import replace
-
         by_model = replace(by_model, keys=(*keys, "model"))
 
     def cols(w):

@@ -247,18 +247,20 @@ def _tree_steps(sample: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarra
 def _forest_steps(key_cols: list[str], seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def build(pool: pd.DataFrame) -> pd.DataFrame:
         # Sorted first: the pool arrives in shuffle order, and results must not depend on it.
-        x = np.sort(pool["y"].to_numpy(dtype=float))
         rng = np.random.default_rng(seed)
-        size = min(TREE_ROWS, len(x))
-        trees = [
-            _tree_steps(np.sort(rng.choice(x, size, replace=False)), rng) for _ in range(TREES)
-        ]
+        if pool["tree"].iloc[0] < 0:  # all rows of a short key: each tree chooses among them
+            x = np.sort(pool["y"].to_numpy(dtype=float))
+            samples = [rng.choice(x, min(TREE_ROWS, len(x)), replace=False) for _ in range(TREES)]
+        else:
+            drawn = pool.sort_values(["tree", "rank", "y"]).drop_duplicates(["tree", "rank"])
+            samples = [g["y"].to_numpy(dtype=float)[:TREE_ROWS] for _, g in drawn.groupby("tree")]
+        trees = [_tree_steps(np.sort(x), rng) for x in samples]
         edges = np.unique(np.concatenate([e for e, _ in trees]))
         depth = np.zeros(len(edges))
         for e, d in trees:
             depth += d[np.searchsorted(e, edges, side="right") - 1]
-        scale = max(float(_average_path(size)), 1e-12)
-        out = pd.DataFrame({"lo": edges, "score": -np.power(2.0, -depth / TREES / scale)})
+        scale = max(float(_average_path(max(map(len, samples)))), 1e-12)
+        out = pd.DataFrame({"lo": edges, "score": -np.power(2.0, -depth / len(trees) / scale)})
         for k in key_cols:
             out[k] = pool[k].iloc[0]
         return out
@@ -266,33 +268,63 @@ def _forest_steps(key_cols: list[str], seed: int) -> Callable[[pd.DataFrame], pd
     return build
 
 
+def _uniform(seed: int, *cols) -> Column:
+    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+
+
+def forest_pool(s: Series, seed: int = 42) -> DataFrame:
+    """Rows for the trees of each key: keys, ``y``, ``tree``, ``rank``.
+
+    A short key (at most ``TREES * TREE_ROWS`` known rows) sends all its rows, for tree -1. Of a long
+    key each tree has a sample of its own: a row is drawn a Poisson number of times, each time for a
+    random tree with a random rank, so trees draw independently and twice what they need, and each
+    takes its ``TREE_ROWS`` lowest ranks. That is about ``2 * TREES * TREE_ROWS`` rows a key, whatever
+    its length; a row that no tree draws costs one hash.
+    """
+    keys = list(s.keys)
+    known = s.df.filter(F.col(s.y).isNotNull())
+    counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rate = F.lit(2.0 * TREES * TREE_ROWS) / F.col("_n")
+    u = _uniform(seed, *s.order)
+    none = F.exp(-rate)
+    more = F.aggregate(
+        F.sequence(F.lit(1), F.lit(30)),
+        F.struct(none.alias("p"), none.alias("c"), F.lit(0).alias("m")),
+        lambda a, j: F.struct(
+            (a["p"] * rate / j).alias("p"), (a["c"] + a["p"] * rate / j).alias("c"),
+            (a["m"] + F.when(u > a["c"], 1).otherwise(0)).alias("m"),
+        ),
+        lambda a: a["m"],
+    )
+    times = F.when(F.col("_n") <= TREES * TREE_ROWS, F.lit(-1)).when(u <= none, F.lit(0)).otherwise(more)
+    # A short key's rows go out once, as draw 0.
+    draws = F.when(F.col("_n") <= TREES * TREE_ROWS, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), times))
+    rows = attach(s.on(known), counts).withColumn("_times", times).where("_times != 0").withColumn("_draw", F.explode(draws))
+    tree = F.floor(_uniform(seed + 1, "_draw", *s.order) * TREES).cast("int")
+    return rows.select(
+        *keys, F.col(s.y).cast("double").alias("y"), F.when(F.col("_draw") == 0, F.lit(-1)).otherwise(tree).alias("tree"),
+        F.xxhash64(F.lit(seed + 2), "_draw", *s.order).alias("rank"),
+    )
+
+
 def forest_scores(s: Series, seed: int = 42) -> Series:
     """Isolation score of every row (lower is more isolated).
 
-    In one dimension a forest is a step function. It is grown per key from a pool of rows with
-    the smallest hashes, about 100 x 256 of them whatever the key's length. Rows then find
-    their step by an as-of fill over the value order.
+    In one dimension a forest is a step function. It is grown per key from the rows that its trees
+    draw, a bounded number. Rows then find their step by an as-of fill over the value order.
     """
     keys = list(s.keys)
-    pool_rows = TREES * TREE_ROWS
-    share = F.lit(float(pool_rows)) / F.greatest(F.col("_n"), F.lit(pool_rows))
-    unit = F.pmod(F.xxhash64(F.lit(seed), *s.order), F.lit(1 << 30)) / F.lit(float(1 << 30))
     known = s.df.filter(F.col(s.y).isNotNull())
-    counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    pool = attach(s.on(known), counts).filter(unit < share)
     kinds = {f.name: f.dataType.simpleString() for f in s.df.schema.fields}
     schema = "lo double, score double, " + ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    steps = (
-        pool.select(*keys, F.col(s.y).cast("double").alias("y"))
-        .groupBy(*keys)
-        .applyInPandas(_forest_steps(keys, seed), schema)
-    )
+    steps = forest_pool(s, seed).groupBy(*keys).applyInPandas(_forest_steps(keys, seed), schema)
     # Values are scored once per distinct value, then joined back on (key, value).
     points = known.groupBy(*keys, F.col(s.y).cast("double").alias("v")).agg(F.lit(1).alias("side"))
     marks = steps.select(*keys, F.col("lo").alias("v"), F.lit(0).alias("side"), "score")
     marks = marks.unionByName(points.withColumn("score", F.lit(None).cast("double")))
+    # A tree has fewer steps than rows.
     line = s.reordered(
-        marks, "v", ("side",), max_rows=s.max_rows + pool_rows if s.bounded else None
+        marks, "v", ("side",), max_rows=s.max_rows + TREES * TREE_ROWS if s.bounded else None
     )
     scored = fill(line, {"score": F.col("score")}).filter("side = 1").select(*keys, "v", "score")
     df = s.df.withColumn("v", F.col(s.y).cast("double")).join(scored, [*keys, "v"], "left").drop("v")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,7 +178,7 @@ def forecast_drift(joined: DataFrame, version: str = "version", keys: Sequence[s
 
 
 def performance_metrics(
-    cv: DataFrame, rolling_window: float = 0.1, keys: Sequence[str] = ("key",)
+    cv: DataFrame, rolling_window: float = 0.1, keys: Sequence[str] = ("key",), median: bool = True
 ) -> DataFrame:
     """Metrics by horizon over a trailing window of all cross-validation rows.
 
@@ -239,29 +241,82 @@ def performance_metrics(
     out["mape"] = F.when(~F.col("_anyzero"), out["mape"])
     table = cum.withColumns(out).withColumn("rmse", F.sqrt("mse"))
     names = ["mse", "rmse", "mae", "mape", "mdape", "smape"] + (["coverage"] if has_bounds else [])
+    if not median:  # the one metric that is no mean
+        return table.select(*keys, "horizon", *[n for n in names if n != "mdape"])
     table = table.join(_rolling_median(rows, parts["mape"], cum, keys), [*keys, "horizon"], "left")
     table = table.withColumn("mdape", F.when(~F.col("_anyzero"), F.col("mdape")))
     return table.select(*keys, "horizon", *names)
 
 
 def _rolling_median(rows: DataFrame, ape: Column, cum: DataFrame, keys: list[str]) -> DataFrame:
-    """Median error at each horizon: its own rows, and the rows just before until w are in."""
+    """Median error at each horizon: its own rows, and the rows just before until w are in.
+
+    Rows are numbered along the horizon and cut into blocks as long as the longest window, so a
+    window lies in the block of its end and the one before: every row goes to two blocks, whatever
+    the number of windows that hold it. A task slides over its two blocks.
+    """
     # Rows per key are cutoffs x horizon steps of one cross-validation, not the key's history.
-    order = Window.partitionBy(*keys).orderBy("horizon", "ds")
-    ranked = rows.select(*keys, "horizon", "ds", ape.alias("_ape"))
-    ranked = ranked.withColumn("_rn", F.row_number().over(order)).select(*keys, "_rn", "_ape")
-    spans = cum.select(
-        *keys, "horizon",
-        F.least(F.col("_cn") - F.col("_n") + 1, F.col("_cn") - F.col("_w") + 1).alias("_from"),
-        F.col("_cn").alias("_to"),
-    )
-    # Each row meets only the spans that hold it: an equality join on exploded row numbers.
-    wanted = spans.withColumn("_rn", F.explode(F.sequence("_from", "_to")))
-    return (
-        wanted.join(ranked, [*keys, "_rn"])
-        .groupBy(*keys, "horizon")
-        .agg(F.percentile("_ape", F.lit(0.5)).alias("mdape"))
+    whole = Window.partitionBy(*keys)
+    spans = cum.select(*keys, "horizon", "_cn", F.greatest("_n", "_w").alias("_long"))
+    spans = spans.withColumn("_block", F.max("_long").over(whole))
+    sizes = spans.groupBy(*keys).agg(F.first("_block").alias("_block"))
+    ranked = rows.select(*keys, ape.alias("_ape"), F.row_number().over(whole.orderBy("horizon", "ds")).cast("long").alias("_to"))
+    ranked = ranked.join(sizes, keys).withColumn("_part", F.floor((F.col("_to") - 1) / F.col("_block")))
+    held = ranked.select(*keys, F.explode(F.array("_part", F.col("_part") + 1)).alias("_part"), "_to", "_ape")
+    asks = spans.select(
+        *keys, F.floor((F.col("_cn") - 1) / F.col("_block")).alias("_part"), F.col("_cn").alias("_to"), "horizon",
+        (F.col("_cn") - F.col("_long") + 1).alias("_from"),
     )
+    both = held.unionByName(asks, allowMissingColumns=True)
+
+    def slide(part: pd.DataFrame) -> pd.DataFrame:
+        asked = part["_from"].notna()
+        windows = part[asked].sort_values("_to")
+        line = part[~asked].sort_values("_to")
+        out = windows[[*keys, "horizon"]].copy()
+        out["horizon"] = out["horizon"].astype("int64")
+        start = int(line["_to"].iloc[0]) if len(line) else 0
+        out["mdape"] = sliding_medians(
+            line["_ape"].to_numpy(float), windows["_from"].to_numpy(np.int64) - start, windows["_to"].to_numpy(np.int64) - start + 1
+        )
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", horizon bigint, mdape double"
+    return both.groupBy(*keys, "_part").applyInPandas(slide, schema)
+
+
+def sliding_medians(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Median of ``values[start:stop]`` for windows whose ends never go back; NaN is no value.
+
+    The window is a set of ranks, counted by blocks of about the square root of all: a row in or
+    out is one count, and a median is found by its block, then inside it.
+    """
+    rank = np.empty(len(values), np.int64)
+    order = np.argsort(values, kind="stable")
+    rank[order] = np.arange(len(values))
+    known = np.isfinite(values)
+    shift = max(1, int(np.log2(max(len(values), 2)) / 2) + 1)
+    blocks = np.zeros((len(values) >> shift) + 1, np.int64)
+    present = np.zeros(len(blocks) << shift, bool)
+    out = np.full(len(starts), np.nan)
+    low = high = 0
+    for i, (start, stop) in enumerate(zip(starts.tolist(), stops.tolist())):
+        for lo, hi, here in ((high, stop, True), (low, start, False)):
+            moved = rank[lo:hi][known[lo:hi]]
+            present[moved] = here
+            np.add.at(blocks, moved >> shift, 1 if here else -1)
+        low, high = start, stop
+        upto = np.cumsum(blocks)
+        count = int(upto[-1])
+        if count:
+            middle = []
+            for k in {(count - 1) // 2, count // 2}:
+                b = int(np.searchsorted(upto, k, "right"))
+                inside = np.flatnonzero(present[b << shift : (b + 1) << shift])
+                middle.append(values[order[(b << shift) + inside[k - (upto[b] - blocks[b])]]])
+            out[i] = sum(middle) / len(middle)
+    return out
 
 
 def param_importance(results: DataFrame, params: Sequence[str], metric: str = "rmse", keys: Sequence[str] = ()) -> DataFrame:

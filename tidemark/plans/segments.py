@@ -4,8 +4,10 @@ A plain window ``partitionBy(key)`` sorts all rows of a key in one task. That is
 with a proven bound and wrong for a key that holds a third of the table. For unbounded series
 the rows of long keys are split into *segments* of about ``segment_rows`` consecutive rows:
 
-1. The order column is cut into cells of equal frequency over the whole table. The splits come
-   from a quantile sketch, so no (key, cell) group exceeds about 1/cells of all rows.
+1. The order is cut into cells of about equal frequency over the whole table: the first order column
+   by a quantile sketch and, where one value of it holds too many rows of a key, by the next order
+   column among the rows of that value, and so on. So only rows that tie in the whole order can
+   make a (key, cell) group longer than a quarter of a segment.
 2. One narrow partial aggregation counts rows per (key, cell). Running sums over that small
    table give the number of rows before each cell, hence the segment of each cell.
 3. A finite frame that looks back ``lookback`` rows needs the rows just before its segment:
@@ -19,10 +21,10 @@ Short keys keep segment 0 and are not copied. All results equal the plain window
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import Bucketizer, QuantileDiscretizer
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +35,7 @@ from tidemark.session import settled
 
 CELL, SEG, HOME, BASE = "_cell", "_seg", "_home", "_base"
 MAX_CELLS = 50_000
-CELLS_PER_SEGMENT = 8  # a copied cell is about this fraction of a segment
+CELLS_PER_SEGMENT = 8  # a copied cell is about this fraction of a segment, twice that at most
 SKETCH_ROWS = 2_000_000
 
 
@@ -55,60 +57,140 @@ class Segments:
 
 
 def _position(df: DataFrame, col: str) -> Column:
+    """An order column as a double that never falls where the column rises; NULL comes first."""
     kind = df.schema[col].dataType
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(F.col(col)).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(col)).cast("double")
-    return F.col(col).cast("double")
+        place = F.unix_micros(F.col(col).cast("timestamp"))
+    elif isinstance(kind, T.TimestampType):
+        place = F.unix_micros(F.col(col))
+    elif isinstance(kind, T.DateType):
+        place = F.unix_date(F.col(col))
+    elif isinstance(kind, (T.StringType, T.BinaryType)):
+        # The first six bytes, as a number.
+        place = F.conv(F.rpad(F.hex(F.substring(F.col(col).cast("binary"), 1, 6)), 12, "0"), 16, 10)
+    else:
+        place = F.col(col)
+    return F.coalesce(place.cast("double"), F.lit(float("-inf")))
+
+
+@dataclass(frozen=True)
+class Level:
+    """Cuts of one order column: of all rows, or of the rows in the cells ``heavy`` alone."""
+
+    col: str
+    splits: tuple[float, ...]
+    heavy: tuple[int, ...] = ()
+    low: float = 0.0
+    high: float = 0.0
+
+
+def _bucket(df: DataFrame, col: str, out: str, splits: Sequence[float]) -> DataFrame:
+    return Bucketizer(splits=list(splits), inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
+
+
+def _placed(df: DataFrame, level: Level) -> DataFrame:
+    """``_q``: the position that a level cuts; NULL outside its heavy cells, whose number it starts with."""
+    place = _position(df, level.col)
+    if not level.heavy:
+        return df.withColumn("_q", place)
+    edges = [float("-inf"), *(e for c in level.heavy for e in (float(c), float(c + 1))), float("inf")]
+    edges = [e for i, e in enumerate(edges) if i == 0 or e != edges[i - 1]]
+    place_of = {e: i for i, e in enumerate(edges)}
+    number = {place_of[float(c)]: i for i, c in enumerate(level.heavy)}
+    df = _bucket(df.withColumn("_at", F.col(CELL).cast("double")), "_at", "_at_bucket", edges)
+    # Positions among the edges and numbers of heavy cells are both small arrays of the plan.
+    numbers = F.array(*[F.lit(number.get(i)).cast("double") for i in range(len(edges))])
+    width = max(level.high - level.low, 1e-300) * (1 + 1e-9)
+    share = (F.greatest(place, F.lit(level.low)) - level.low) / width
+    return df.withColumn("_q", F.get(numbers, F.col("_at_bucket").cast("int")) + share).drop("_at", "_at_bucket")
+
+
+def _in_cells(s: Series, levels: Sequence[Level]) -> DataFrame:
+    df = s.df.withColumn(CELL, F.lit(0).cast("long"))
+    for level in levels:
+        df = _bucket(_placed(df, level), "_q", "_b", level.splits)
+        inner = F.when(F.col("_q").isNotNull(), F.col("_b").cast("long")).otherwise(F.lit(0))
+        df = df.withColumn(CELL, F.col(CELL) * (len(level.splits) + 1) + inner).drop("_q", "_b")
+    return df
+
+
+def _quantiles(df: DataFrame, col: str, rows: int, n: int) -> list[float]:
+    """Values that cut ``rows`` rows into about ``n`` parts; one that fills parts is cut off on both sides."""
+    if rows > SKETCH_ROWS:
+        df = df.sample(fraction=SKETCH_ROWS / rows, seed=7)
+    found = df.where(F.abs(col) < float("inf")).approxQuantile(col, [i / n for i in range(1, n)], 0.25 / n)
+    often = {a for a, b in zip(found, found[1:]) if a == b}
+    return sorted({*found, *(math.nextafter(v, math.inf) for v in often)})
+
+
+def _cut(s: Series, total: int, limit: int) -> tuple[list[Level], DataFrame]:
+    """Levels that leave no (key, cell) above ``limit`` rows but ties; and rows per key and cell."""
+    keys, order, at = list(s.keys), list(s.order), 0
+    first = s.df.select(_position(s.df, order[0]).alias("_q"))
+    splits = _quantiles(first, "_q", total, max(2, min(MAX_CELLS, math.ceil(2 * total / limit))))
+    levels = [Level(order[0], (float("-inf"), *splits, float("inf")))]
+    while True:
+        place = _position(s.df, order[at])
+        cells = settled(_in_cells(s, levels).groupBy(*keys, CELL).agg(
+            F.count(F.lit(1)).alias("_n"), F.min(place).alias("_lo"), F.max(place).alias("_hi")
+        ))
+        # At most total / limit cells are heavy.
+        heavy = cells.where(F.col("_n") > limit).groupBy(CELL).agg(
+            F.min("_lo").alias("lo"), F.max("_hi").alias("hi")
+        ).collect()
+        mixed = [r for r in heavy if r["lo"] != r["hi"]]
+        if not mixed:  # whole values: the next order column takes over
+            at += 1
+        if not heavy or at == len(order) or len(levels) > 2 * len(order):
+            return levels, cells.drop("_lo", "_hi")
+        chosen = tuple(sorted(r[CELL] for r in (mixed or heavy)))
+        rows = _in_cells(s, levels).where(F.col(CELL).isin(list(chosen))).select(
+            CELL, *dict.fromkeys(order)
+        )
+        known = _position(rows, order[at])
+        ends = rows.where(F.abs(known) < float("inf")).agg(F.min(known), F.max(known), F.count(F.lit(1))).first()
+        level = Level(order[at], (), chosen, ends[0] or 0.0, ends[1] or 0.0)
+        parts = math.ceil(2 * (ends[2] or 1) / limit) + len(chosen)
+        inner = _quantiles(_placed(rows, level).select("_q"), "_q", ends[2] or 0, max(2, min(MAX_CELLS, parts)))
+        splits = sorted({*inner, *(float(i) for i in range(1, len(chosen)))})
+        levels.append(replace(level, splits=(float("-inf"), *splits, float("inf"))))
 
 
 def planned(s: Series) -> Series:
     """Look at an unbounded series once, so that several operators can share the findings.
 
-    Counts the rows and, if they exceed one segment, fits a quantile sketch on at most about
-    ``SKETCH_ROWS`` sampled order values (the sample only places cell borders; every row is
-    kept) and lays out the segments of the long keys. The layout has at most
-    ``CELLS_PER_SEGMENT`` rows for each segment's worth of table rows; it is written to the
-    shared folder, so later operators neither count again nor grow each other's plans. Without
-    long keys the series is bounded, and operators take the plain way.
+    Counts the rows and, if they exceed one segment, cuts the order into cells (a sample of at most
+    about ``SKETCH_ROWS`` rows places their borders; every row is kept) and lays out the segments of
+    the long keys, none longer than ``segment_rows`` (of a table beyond ``MAX_CELLS`` cells, than its
+    share). The layout has about ``CELLS_PER_SEGMENT`` rows for each segment's worth of table
+    rows; it is written to the shared folder, so later operators neither count again nor grow each
+    other's plans. Without long keys the series is bounded, and operators take the plain way.
     """
     if s.bounded or s.layout is not None:
         return s
     total = s.df.count()
     if total <= s.segment_rows:
         return replace(s, max_rows=total)
-    cells = max(2, min(MAX_CELLS, math.ceil(CELLS_PER_SEGMENT * total / s.segment_rows)))
-    sketch = s.df.select(_position(s.df, s.ds).alias("_pos"))
-    if total > SKETCH_ROWS:
-        sketch = sketch.sample(fraction=SKETCH_ROWS / total, seed=7)
-    model = QuantileDiscretizer(
-        numBuckets=cells, inputCol="_pos", outputCol=CELL, relativeError=0.25 / cells,
-        handleInvalid="keep",
-    ).fit(sketch)
-    splits = tuple(model.getSplits())
-    rows = max(s.segment_rows, math.ceil(CELLS_PER_SEGMENT * total / (len(splits) - 1)))
+    most = max(s.segment_rows, math.ceil(CELLS_PER_SEGMENT * total / MAX_CELLS))
+    limit = max(1, 2 * most // CELLS_PER_SEGMENT)
+    levels, cells = _cut(s, total, limit)
+    rows = max(1, most - limit)  # a segment ends with the cell that reaches this many
     keys = list(s.keys)
     # At most one row per key and cell, whatever the key's length.
     per_key = Window.partitionBy(*keys)
     earlier = per_key.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     layout = (
-        _in_cells(s, splits)
-        .groupBy(*keys, CELL)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        cells.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .withColumn("_all", F.sum("_n").over(per_key))
-        .filter(F.col("_all") > rows)
+        .filter(F.col("_all") > most)
         .withColumn("_own", F.floor(F.col("_before") / rows))
         .withColumn(BASE, F.min("_before").over(Window.partitionBy(*keys, "_own")))
         .select(*keys, CELL, "_before", "_own", BASE)
     )
     layout = settled(layout)
     if layout.isEmpty():
-        return replace(s, max_rows=rows, segment_rows=rows)
-    return replace(s, splits=splits, layout=layout)
+        return replace(s, max_rows=most, segment_rows=most)
+    return replace(s, splits=tuple(levels), layout=layout)
 
 
 def settle(s: Series) -> Series:
@@ -116,12 +198,6 @@ def settle(s: Series) -> Series:
     return s if s.bounded else s.on(settled(s.df))
 
 
-def _in_cells(s: Series, splits: tuple[float, ...]) -> DataFrame:
-    cut = Bucketizer(splits=list(splits), inputCol="_pos", outputCol=CELL, handleInvalid="keep")
-    placed = cut.transform(s.df.withColumn("_pos", _position(s.df, s.ds)))
-    return placed.withColumn(CELL, F.col(CELL).cast("int")).drop("_pos")
-
-
 def segment(s: Series, lookback: int = 0) -> Segments:
     """Split long keys so that any frame of ``lookback`` preceding rows is whole."""
     s = planned(s)

@@ -30,9 +30,9 @@ class Series:
     seq: tuple[str, ...] = ()
     max_rows: int | None = None
     segment_rows: int = SEGMENT_ROWS
-    # Cell borders of the order column and the segments of long keys, once `planned` has
-    # looked at an unbounded series.
-    splits: tuple[float, ...] | None = None
+    # How the order is cut into cells and the segments of long keys, once `planned` has looked at
+    # an unbounded series.
+    splits: tuple | None = None
     layout: DataFrame | None = None
 
     @property

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.models.cv import cv_cutoffs, data_driven_cutoffs, future_frame
+from tidemark.models.cv import carry_regressors, cv_cutoffs, data_driven_cutoffs, future_frame
 from tidemark.models.design import ForecastOptions
 from tidemark.models.fit import fit
 from tidemark.models.predict import predict
@@ -18,7 +18,8 @@ from tidemark.operators.features import prepare, split_train_test
 from tidemark.operators.indicators import calculate_indicators
 from tidemark.operators.metrics import evaluate_forecast, forecast_summary, performance_metrics, with_actual
 from tidemark.operators.profile import null_profile, validate_series, value_profile
-from tidemark.plans.series import Series
+from tidemark.plans.series import Series, regressor_columns
+from tidemark.session import settled
 from tidemark.sources.bars import target_to_close
 
 
@@ -37,14 +38,18 @@ class WorkflowConfig:
     period: str = "30 days"
     horizon: str = "60 days"
     with_features: bool = True
+    # Regressors of the forecaster among the prepared features; None takes all that qualify.
+    regressors: Sequence[str] | None = None
     cross_validate: bool = False
 
 
 def run_workflow(s: Series, config: WorkflowConfig = WorkflowConfig()) -> dict[str, DataFrame]:
     """Quality, cleaning, indicators, features, fit, validation, forecast and evaluation.
 
-    Every value of the result is a lazy table; nothing is computed for tables nobody reads
-    (except the feature drop list, which one small matrix decides).
+    With ``with_features`` the models are trained on the prepared features: their split, and their
+    columns as regressors, whose last known values go on into the future. Without, on the cleaned
+    target alone. Tables of the result are computed when they are read, but building them runs jobs:
+    preparation writes the features and a grid search the folds' forecasts.
     """
     out: dict[str, DataFrame] = {
         "validation": validate_series(s),
@@ -56,12 +61,16 @@ def run_workflow(s: Series, config: WorkflowConfig = WorkflowConfig()) -> dict[s
     out["values_after"] = value_profile(cleaned.df, keys=s.keys)
     charted = calculate_indicators(cleaned.on(target_to_close(cleaned.df)), config.indicators)
     out["indicators"] = charted.df
+    regressors: tuple[str, ...] = ()
     if config.with_features:
-        prepared, _ = prepare(charted, config.test_ratio)
-        out["features"] = prepared.df
-
-    split = split_train_test(cleaned, config.test_ratio)
-    train = cleaned.filtered(split.df.filter("is_train").drop("is_train"))
+        split, _ = prepare(charted, config.test_ratio)
+        out["features"] = split.df
+        found = [c for c in regressor_columns(split) if c not in ("Open", "High", "Low", "Close")]
+        regressors = tuple(found if config.regressors is None else config.regressors)
+    else:
+        split = split_train_test(cleaned, config.test_ratio)
+    options = replace(config.options, regressors=(*config.options.regressors, *regressors))
+    train = split.filtered(split.df.filter("is_train").drop("is_train"))
     test = split.df.filter(~F.col("is_train")).select(*s.keys, F.col(s.ds).alias("ds"), F.col(s.y).alias("y"))
     if config.grid or config.cross_validate:
         if config.initial:
@@ -69,21 +78,25 @@ def run_workflow(s: Series, config: WorkflowConfig = WorkflowConfig()) -> dict[s
         else:
             cutoffs = data_driven_cutoffs(train)
     if config.grid:
-        scores, best = grid_search(train, cutoffs, config.grid, config.options)
+        scores, best = grid_search(train, cutoffs, config.grid, options)
         out["scores"], out["best"] = scores, best
-        params = fit_best(train, best, config.grid, config.options)
+        params = fit_best(train, best, config.grid, options)
     else:
-        params = fit(train, config.options)
+        params = fit(train, options)
     out["params"] = params
     if config.cross_validate:
-        cv = cross_validate(train, cutoffs, config.options)
+        cv = settled(cross_validate(train, cutoffs, options))
         out["cv"] = cv
         good = cv.filter(F.col("error").isNull())
         out["cv_metrics"] = performance_metrics(good, keys=s.keys)
 
-    rows = future_frame(train, config.periods, include_history=config.include_history)
+    rows = future_frame(train, config.periods, include_history=False).drop("is_future")
+    if options.regressors:
+        rows = carry_regressors(train, rows, options.regressors)
+    if config.include_history:
+        rows = train.df.select(*s.keys, s.ds, *options.regressors).unionByName(rows)
     frame = s.reordered(rows, s.ds, max_rows=(s.max_rows or 0) + config.periods if s.bounded else None)
-    forecast = predict(params, frame, config.options)
+    forecast = predict(params, frame, options)
     out["forecast"] = forecast
     last = train.df.groupBy(*s.keys).agg(F.max(s.ds).alias("_last"))
     future = forecast.join(last, list(s.keys)).filter(F.col(s.ds) > F.col("_last")).drop("_last")
