@@ -8,14 +8,16 @@
 3. Inside a tile, pairs that share a band are compared ``STEP`` minima at a time: once the
    posterior probability of a similarity at the threshold falls below ``MISS``, the pair goes.
    Survivors are confirmed on their full sets. Only links that join something leave the tile.
-4. Components of those links. Nodes are dealt into new tiles, large components apart; tiles that
-   share a bucket but not a component are compared in the same way, pairs of one component left out:
-   so no link between different components is lost, and groups that hang together cost no pairs.
+4. Components of those links. Nodes are dealt into new tiles by pivot and size of their sets, large
+   components apart. Tiles of one pivot meet once, tiles of different pivots where they share a
+   bucket, both only if their sizes allow a link and they are not all one component. They are
+   compared in the same way, pairs of one component left out: so no link between different
+   components is lost, and groups that hang together cost no pairs.
 """
 
 from __future__ import annotations
 
-import functools
+import math
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textvec
-from tidemark.llm.common import documents_of, settled
+from tidemark.llm.common import documents_of, forget, settled
 from tidemark.llm.graph import components
 
 BANDS, ROWS, STEP = 25, 5, 25
@@ -71,6 +73,7 @@ def _sets(batch: pa.RecordBatch, size: int):
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
+        forget()
         for batch in batches:
             out = [
                 (len(own), node, _bands(_signature(own))[0] if len(own) else [])
@@ -117,7 +120,6 @@ def contents(docs: DataFrame, homes: DataFrame, size: int) -> DataFrame:
     )
 
 
-@functools.cache
 def least_matches(share: float, miss: float) -> tuple[int, ...]:
     """Matches needed after each step: with fewer, P(similarity >= share) is below ``miss``.
 
@@ -135,12 +137,12 @@ def least_matches(share: float, miss: float) -> tuple[int, ...]:
     return tuple(need)
 
 
-def confirm(left, right, comp_left, comp_right, percent: int, same: bool) -> list[tuple[int, int]]:
+def confirm(left, right, comp_left, comp_right, percent: int, need: tuple[int, ...], same: bool) -> list[tuple[int, int]]:
     """Links (positions) that join different components, among pairs of two tiles' rows.
 
-    ``left`` and ``right`` are (sizes, signatures, sets); ``same`` says they are one tile.
+    ``left`` and ``right`` are (sizes, signatures, sets); ``same`` says they are one tile; ``need``
+    are the ``least_matches``.
     """
-    need = least_matches(percent / 100, MISS)
     parent: dict[int, int] = {}
 
     def top(c):
@@ -198,6 +200,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     columns are ignored; an empty table gives an empty result.
     """
     docs = documents_of(docs)
+    need = least_matches(percent / 100, MISS)  # on the driver: tasks get the numbers
     each = settled(sketch(docs, size))
     nodes = each.where("n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("label"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")
@@ -229,7 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     def inside(rows: pd.DataFrame) -> pd.DataFrame:
         side, own = _unpacked(rows), rows["node"].to_numpy()
         with np.errstate(over="ignore"):
-            return _links(rows, rows, confirm(side, side, own, own, percent, True))
+            return _links(rows, rows, confirm(side, side, own, own, percent, need, True))
 
     first = settled(content.unionByName(visiting).groupBy("tile").applyInPandas(inside, PAIRS))
     comp = settled(components(first))
@@ -242,24 +245,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     placed = placed.join(large, ["pivot", "comp"], "left").withColumn(
         "kind", F.when(F.col("c").isNotNull(), F.col("comp")).otherwise(F.lit(0).cast("long"))
     )
-    cuts = placed.groupBy("pivot", "kind").agg(
+    # Sets of linked nodes are at most two of these steps apart in size.
+    width = max(math.log(100 / percent) / 2 * (1 + 1e-9), 1e-7)
+    placed = placed.withColumn("step", F.floor(F.ln("n") / width))
+    cuts = placed.groupBy("pivot", "kind", "step").agg(
         F.greatest(
             F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)
         ).alias("cuts")
     )
-    tile = F.xxhash64("pivot", "kind", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("long"))
-    placed = settled(placed.join(cuts, ["pivot", "kind"]).select("node", "comp", tile.alias("tile")))
-    spread = shared.select("band", "node").join(placed, "node").groupBy("band", "tile").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    )
-    open_bands = spread.groupBy("band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi")
-    spread = settled(spread.join(open_bands.select("band"), "band", "left_semi"))
-    x, y = spread.alias("x"), spread.alias("y")
-    meet = x.join(y, F.expr("x.band = y.band AND x.tile <= y.tile")).where(
-        "least(x.lo, y.lo) != greatest(x.hi, y.hi)"
-    ).select(F.col("x.tile").alias("tile_a"), F.col("y.tile").alias("tile_b")).distinct()
+    tile = F.xxhash64("pivot", "kind", "step", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("long"))
+    placed = settled(placed.join(cuts, ["pivot", "kind", "step"]).select("node", "comp", "pivot", "step", tile.alias("tile")))
+
+    def tiles(rows: DataFrame, *by: str) -> DataFrame:
+        ends = [F.first("pivot").alias("pivot"), F.first("step").alias("step"), F.min("comp").alias("lo"), F.max("comp").alias("hi")]
+        return rows.groupBy(*by, "tile").agg(*ends)
+
+    def pairs_of(rows: DataFrame, on: str, order: str) -> DataFrame:
+        """Pairs of tiles that meet on ``on``, where a pair of different components can be linked."""
+        open_ones = rows.groupBy(on).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi")
+        rows = settled(rows.join(open_ones.select(on), on, "left_semi"))
+        x, y = rows.alias("x"), rows.alias("y")
+        fits = "abs(x.step - y.step) <= 2 AND least(x.lo, y.lo) != greatest(x.hi, y.hi)"
+        return x.join(y, F.expr(f"x.{on} = y.{on} AND x.{order} AND {fits}")).select(
+            F.col("x.tile").alias("tile_a"), F.col("y.tile").alias("tile_b")
+        )
+
+    own = tiles(placed)
+    spread = tiles(shared.select("band", "node").join(placed, "node"), "band")
+    several = spread.groupBy("band").agg(F.min("pivot").alias("a"), F.max("pivot").alias("b")).where("a != b")
+    spread = spread.join(several.select("band"), "band", "left_semi")
+    meet = pairs_of(own, "pivot", "tile <= y.tile").unionByName(pairs_of(spread, "band", "pivot < y.pivot")).distinct()
     meet = settled(meet)
-    loaded = content.drop("tile").join(placed, "node")
+    loaded = content.drop("tile").join(placed.select("node", "comp", "tile"), "node")
     sides = [
         meet.join(loaded.withColumnRenamed("tile", t), t).select(
             "tile_a", "tile_b", F.lit(t == "tile_a").alias("left"), "node", "comp", "n_shingles", "sig", "members"
@@ -271,7 +288,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         a, b = rows[rows["left"]], rows[~rows["left"]]
         with np.errstate(over="ignore"):
             found = confirm(
-                _unpacked(a), _unpacked(b), a["comp"].to_numpy(), b["comp"].to_numpy(), percent, False
+                _unpacked(a), _unpacked(b), a["comp"].to_numpy(), b["comp"].to_numpy(), percent, need, False
             )
         return _links(a, b, found)
 
