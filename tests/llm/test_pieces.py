@@ -39,7 +39,7 @@ def test_samples_follow_gumbel_top_k(text):
     lat = P.Lattices(VOCABULARY)
     first, second, total = Counter(), Counter(), 0.0
     for row in P._sample_batch(lat, [text] * n, P.mix(np.arange(n, dtype=np.uint64) + np.uint64(5)), k):
-        found = [tuple(P.ids_of(lat, e).tolist()) for e, *_ in row]
+        found = [tuple(P.ids_of(lat, e, np.array([len(e)]))[0].tolist()) for e, *_ in row]
         assert len(set(found)) == len(found) == min(k, len(p))
         values = [v for _, _, v, _ in row]
         assert values == sorted(values, reverse=True) and values[-1] >= row[0][3]
@@ -93,4 +93,23 @@ def test_decoding_agrees_with_the_library():
         ids = np.array(model.encode(text))
         data, _ = decode(ids, np.array([len(ids)]))
         assert data.tobytes().decode() == text == model.decode(ids.tolist())
-    assert re.fullmatch(P.UNIT, "  word")
+
+
+def test_units_are_words_with_the_blanks_before_them():
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "\n", "a", "  word", "a  b\n\n c ", "é 日本 😀\t x", *("".join(rng.choice(list("ab  \n é"), 40)) for _ in range(200))]
+    u = P.split_units(texts)
+    found = u.texts(np.arange(len(u.start)))
+    for k, t in enumerate(texts):
+        wanted = re.findall("\n| *[^ \n]+| +", " " + t) if t else []
+        assert found[u.first[k] : u.first[k + 1]] == wanted
+    same = {}
+    for text, h in zip(found, u.hash.tolist()):
+        assert same.setdefault(text, h) == h
+    assert len(set(same.values())) == len(same)
+
+
+def test_a_text_that_does_not_come_back_says_so(docs):
+    """The vocabulary writes blanks as U+2581, so one in a text becomes a blank."""
+    rows = P.sample_segmentations(docs({1: "a\u2581b c", 2: "a b c"}), PIECES).collect()
+    assert {r["doc_id"]: r["round_trip"] for r in rows} == {1: False, 2: True}

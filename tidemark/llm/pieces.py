@@ -35,6 +35,7 @@ from tidemark.llm.textvec import U64, mix
 
 SPACE = "▁"  # fixed value: how the vocabulary writes a blank
 CACHE_NODES = 700_000  # nodes that a worker keeps, about 70 MB
+NEAR = 1 << 19
 SEEN_SLOTS, ADD = 1 << 22, 8192  # units whose lattices are built together
 LEAST_MASS = -60.0
 SAMPLES = (
@@ -69,7 +70,35 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(text, byte_ids, -np.log(2.0 + rank))
 
 
-UNIT = re.compile("\\n| *[^ \\n]+| +")
+class Units(NamedTuple):
+    """Units of some texts: a line break, or blanks with the word after them; ``first`` per text."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    first: np.ndarray  # one entry more than texts
+
+    def texts(self, which: np.ndarray) -> list[str]:
+        raw = self.data.tobytes() if len(which) > 64 else None
+        spans = zip(self.start[which].tolist(), self.end[which].tolist())
+        if raw is None:
+            return [self.data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in spans]
+        return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in spans]
+
+
+def split_units(texts: list[str]) -> Units:
+    """A blank is put before every text that is not empty."""
+    raw = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    base = np.concatenate([[0], np.cumsum(list(map(len, raw)), dtype=np.int64)])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    blank, line = data == 32, data == 10
+    begin = line.copy()
+    begin[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+    begin[base[:-1][np.diff(base) > 0]] = True
+    start = np.flatnonzero(begin)
+    end = np.append(start[1:], len(data)) if len(start) else start
+    return Units(data, start, end, textvec.run_hashes(data, start, end), np.searchsorted(start, base))
 
 
 class Lattices:
@@ -96,47 +125,57 @@ class Lattices:
             for c in range(k + 1):
                 key = mix(key + joined[:, c].astype(U64))
             order = np.argsort(key)
-            self.keys.append((key[order], np.array(list(known.values()), np.int64)[order]))
+            held = np.zeros(NEAR, bool)  # by low bits: turns most other keys away before the search
+            held[(key & U64(NEAR - 1)).astype(np.int64)] = True
+            self.keys.append((key[order], np.array(list(known.values()), np.int64)[order], held))
         self.clear()
 
     def clear(self) -> None:
         self.room: dict[str, np.ndarray] = {}
-        self.start: dict[str, int] = {}
+        self.start: dict[int, int] = {}  # by hash
         self.first = np.zeros(2, np.int64)  # per node; one entry more than nodes
         self.next, self.id, self.source = (np.zeros(0, np.int32) for _ in range(3))
         self.log, self.sum = np.zeros(0), np.zeros(0)
         self.seen = bytearray(SEEN_SLOTS)  # units that came once, by hash
-        self.once: list[str] = []
+        self.once: list[int] = []
         self.kept = 1, 0  # nodes (with the end) and edges that stay
 
-    def nodes_of(self, units: list[str]) -> np.ndarray:
+    def nodes_of(self, units: Units) -> np.ndarray:
+        """First node of every unit. Units are told apart by their 64-bit hashes."""
         nodes, edges = self.kept
         self.first = self.first[: nodes + 1]
         for name in ("next", "id", "source", "log", "sum"):
             setattr(self, name, getattr(self, name)[:edges])
+        seen, mask = self.seen, SEEN_SLOTS - 1
         for unit in self.once:
             del self.start[unit]
-            self.seen[hash(unit) % SEEN_SLOTS] = 1
+            seen[unit & mask] = 1
         self.once = []
-        known = list(map(self.start.get, units))
-        new = [k for k, node in enumerate(known) if node is None]
-        if new:
-            missing = list(dict.fromkeys([units[k] for k in new]))
-            room = nodes < CACHE_NODES
-            again = [u for u in missing if room and self.seen[hash(u) % SEEN_SLOTS]]
-            for a in range(0, len(again), ADD):
-                self._add(again[a : a + ADD])
+        different, at, inverse = np.unique(units.hash, return_index=True, return_inverse=True)
+        keys = different.tolist()
+        known = list(map(self.start.get, keys))
+        missing = [k for k, node in enumerate(known) if node is None]
+        if missing:
+            again, once = [], missing
+            if nodes < CACHE_NODES:
+                came = [seen[keys[k] & mask] for k in missing]
+                again = [k for k, c in zip(missing, came) if c]
+                once = [k for k, c in zip(missing, came) if not c]
+
+            def add(some: list[int]) -> None:
+                for a in range(0, len(some), ADD):
+                    part = some[a : a + ADD]
+                    self._add([keys[k] for k in part], units.texts(at[part]))
+
+            add(again)
             self.kept = len(self.first) - 1, len(self.next)
-            self.once = [u for u in missing if not (room and self.seen[hash(u) % SEEN_SLOTS])]
-            for a in range(0, len(self.once), ADD):
-                self._add(self.once[a : a + ADD])
-            for k in new:
-                known[k] = self.start[units[k]]
-        return np.array(known, np.int64)
-
-    def _add(self, units: list[str]) -> None:
-        if not units:
-            return
+            self.once = [keys[k] for k in once]
+            add(once)
+            for k in missing:
+                known[k] = self.start[keys[k]]
+        return np.array(known, np.int64)[inverse]
+
+    def _add(self, keys: list[int], units: list[str]) -> None:
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array(list(map(len, units)), np.int64)
         borders = np.concatenate([[0], np.cumsum(sizes)])
@@ -144,10 +183,14 @@ class Lattices:
         source, size, ids = [], [], []
         at, key = np.arange(len(points)), np.zeros(len(points), U64)
         single = np.zeros(len(points), bool)
-        for k, (known, known_ids) in enumerate(self.keys):
+        for k, (known, known_ids, held) in enumerate(self.keys):
             live = left[at] > k
             at, key = at[live], key[live]
+            if not len(at):
+                break
             key = mix(key + points[at + k].astype(U64))
+            near = held[(key & U64(NEAR - 1)).astype(np.int64)]
+            at, key = at[near], key[near]
             place = np.minimum(np.searchsorted(known, key), len(known) - 1)
             hit = known[place] == key
             at, key, found = at[hit], key[hit], known_ids[place[hit]]
@@ -197,7 +240,7 @@ class Lattices:
                 room[: len(old)] = old
             room[len(old) : n] = new
             setattr(self, name, room[:n])
-        self.start.update(zip(units, (offset + borders[:-1]).tolist()))
+        self.start.update(zip(keys, (offset + borders[:-1]).tolist()))
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A sampled edge sequence from each node to its unit's end: edges, first of each node."""
@@ -240,10 +283,8 @@ class _Path(NamedTuple):
 
 def _sample_batch(lat: Lattices, texts: list[str], doc_keys: np.ndarray, samples: int) -> list[list[tuple]]:
     """Per document (edges, log probability, perturbed value, kappa) of its best segmentations."""
-    parts = [UNIT.findall(" " + t) if t else [] for t in texts]
-    counts = np.array(list(map(len, parts)), np.int64)
-    base = np.concatenate([[0], np.cumsum(counts)])
-    starts = lat.nodes_of([u for p in parts for u in p])
+    units = split_units(texts)
+    base, starts = units.first, lat.nodes_of(units)
     paths: list[list[_Path]] = [[] for _ in texts]
     heaps: list[list] = [[] for _ in texts]
     forced: list[tuple] = [(0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0)] * len(texts)
@@ -330,18 +371,23 @@ def _sample_batch(lat: Lattices, texts: list[str], doc_keys: np.ndarray, samples
     return out
 
 
-def ids_of(lat: Lattices, edges: np.ndarray) -> np.ndarray:
-    """Ids of edges; a code point outside the vocabulary becomes the ids of its bytes."""
+def ids_of(lat: Lattices, edges: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of sequences of ``counts`` edges, and their numbers of ids.
+
+    A code point outside the vocabulary becomes the ids of its bytes.
+    """
     ids = lat.id[edges]
     odd = np.flatnonzero(ids < 0)
     if not len(odd):
-        return ids
-    pieces, last = [], 0
+        return ids, counts
+    size, pieces, last = np.ones(len(ids), np.int64), [], 0
     for at in odd:
         raw = chr(-1 - int(ids[at])).encode("utf-8", "surrogatepass")
+        size[at] = len(raw)
         pieces += [ids[last:at], lat.vocabulary.byte_ids[list(raw)].astype(np.int32)]
         last = at + 1
-    return np.concatenate([*pieces, ids[last:]])
+    borders = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+    return np.concatenate([*pieces, ids[last:]]), np.diff(borders)
 
 
 class Decoder:
@@ -374,7 +420,8 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = 2, seed: in
     ``inclusion`` and ``round_trip`` (the ids decode to the text). A text with fewer segmentations
     gives all of them, each with inclusion 1.
 
-    A NULL or empty text has one segmentation, of no piece. U+2581 in a text reads as a blank.
+    A NULL or empty text has one segmentation, of no piece. U+2581 in a text reads as a blank, so such
+    a text does not come back as it was and ``round_trip`` is false.
     Rows with a NULL doc_id stay out; rows that repeat a doc_id are sampled one by one, with the
     same random values. Extra columns are ignored; an empty table gives an empty result.
     """
@@ -396,7 +443,8 @@ BLOCK = 128  # documents that are sampled together
 
 
 def _encoded(lat: Lattices, decode: Decoder, batch: pa.RecordBatch, samples: int, seed: int) -> pa.RecordBatch:
-    texts = [t.replace(SPACE, " ") for t in batch.column("text").to_pylist()]
+    stored = batch.column("text").to_pylist()
+    texts = [t.replace(SPACE, " ") for t in stored]
     doc_id = batch.column("doc_id").to_numpy()
     keys = mix(mix(doc_id.astype(np.int64).view(U64)) + U64(seed))
     rows = [
@@ -404,20 +452,19 @@ def _encoded(lat: Lattices, decode: Decoder, batch: pa.RecordBatch, samples: int
         for d, paths in enumerate(_sample_batch(lat, texts, keys, samples))
         for r, found in enumerate(paths)
     ]
-    ids = [ids_of(lat, row[2]) for row in rows]
-    counts = np.array(list(map(len, ids)), np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    edges = np.concatenate([row[2] for row in rows]) if rows else np.zeros(0, np.int64)
+    flat, counts = ids_of(lat, edges, np.array([len(row[2]) for row in rows], np.int64))
     owner = np.array([row[0] for row in rows], np.int64)
     log = np.array([row[3] for row in rows])
     kappa = np.array([row[5] for row in rows])
     same: list[bool] = []
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     for a in range(0, len(rows), 64):  # the gathering takes many times the text's bytes
-        some, sizes = ids[a : a + 64], counts[a : a + 64]
-        data, borders = decode(np.concatenate(some), sizes)
+        sizes = counts[a : a + 64]
+        data, borders = decode(flat[offsets[a] : offsets[a] + sizes.sum()], sizes)
         for k, row in enumerate(rows[a : a + 64]):
-            source = texts[row[0]].encode("utf-8", "surrogatepass")
+            source = stored[row[0]].encode("utf-8", "surrogatepass")
             same.append(data[borders[k] : borders[k + 1]].tobytes() == source)
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(doc_id[owner]), pa.array([row[1] for row in rows], pa.int32()),

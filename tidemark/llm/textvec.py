@@ -80,6 +80,24 @@ def words(column: pa.Array, lower: bool = True) -> Iterator[Words]:
         row = stop
 
 
+_powers: list[np.ndarray] = []  # of the step and its inverse, as far as needed so far
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes; equal runs get equal hashes in every process."""
+    n = len(data)
+    if not _powers or len(_powers[0]) < n + 1:
+        size = max(n + 1, 1 << 20)
+        _powers[:] = [np.full(size, U64(x)) for x in (_STEP, _BACK)]
+        for p in _powers:
+            p[0] = 1
+            np.cumprod(p, out=p)
+    up, back = _powers
+    total = np.zeros(n + 1, U64)
+    np.cumsum(seeds(256, 7)[data] * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * back[start] + U64(0x51ED27))
+
+
 def _block(data, base, rows, table, solid, up, back) -> Words:
     inside = solid[data]
     edge = np.zeros(len(data) + 1, bool)
