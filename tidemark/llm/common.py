@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import configure, settled
 
-__all__ = ["documents_of", "per_worker", "read", "settled", "tuned"]
+__all__ = ["blocks_of", "documents_of", "forget", "per_worker", "read", "settled", "tuned"]
 
 # Arrow batches are bounded by bytes as well as rows, so a run of long texts does not pile up.
 BATCH_CONF = {
@@ -44,6 +48,18 @@ def documents_of(docs: DataFrame, *extra: str, null_text: str | None = "") -> Da
     )
 
 
+def blocks_of(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows of at most about ``most`` bytes of a column: arrays over them stay small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(batch):
+        reach = (ends[at - 1] if at else 0) + most
+        stop = max(at + 1, int(np.searchsorted(ends, reach, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
     """An object that a Python worker keeps from task to task: for caches of bounded size alone.
 
@@ -51,5 +67,16 @@ def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
     """
     held = sys.modules.setdefault("tidemark_worker", types.ModuleType("tidemark_worker")).__dict__
     if key not in held:
+        forget()
         held[key] = make()
     return held[key]
+
+
+def forget() -> None:
+    """Give back what earlier tasks of this Python worker keep, before work that needs room of its own."""
+    held = sys.modules.get("tidemark_worker")
+    kept = [k for k in held.__dict__ if isinstance(k, tuple)] if held else []
+    for key in kept:
+        del held.__dict__[key]
+    if kept and sys.platform == "linux":  # freed blocks go back to the system as well
+        ctypes.CDLL(None).malloc_trim(0)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textvec
-from tidemark.llm.common import documents_of, settled
+from tidemark.llm.common import documents_of, forget, settled
 
 BLANKS = textvec.BLANKS.decode()
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -62,6 +62,7 @@ def twice_seen(lines: DataFrame, bits: int) -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]):
         once, twice = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
         some = False
+        forget()
         with np.errstate(over="ignore"):
             for batch in batches:
                 got, n = np.unique(batch.column("hashes").flatten().to_numpy(), return_counts=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ def op1_benchmark_decontamination(spark, d):
     return decontam.contaminated(read(spark, d, "documents"), read(spark, d, "benchmark"))
 
 
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query()
@@ -159,7 +160,7 @@ def op6_fingerprints(spark, d):
     return edited_with_next(read(spark, d, "documents"))
 
 
-BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @query()

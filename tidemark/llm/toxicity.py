@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textvec
-from tidemark.llm.common import documents_of, settled
+from tidemark.llm.common import blocks_of, documents_of, forget, settled
 
 # Plain insults, words of reporting, words of address.
 INSULTS = (
@@ -210,7 +210,8 @@ def find_hits(docs: DataFrame, auto: Automaton) -> DataFrame:
         }
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        forget()
+        for batch in (block for batch in batches for block in blocks_of(batch)):
             raw, at = textvec.utf8(batch.column("text"))
             data = raw[at[0] : at[-1]]
             base = at - at[0]
