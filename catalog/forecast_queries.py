@@ -694,6 +694,15 @@ def features_fallback(spark, d):
     return store.load_latest_features()
 
 
+@query(f"WITH {SUPP} SELECT key, {ts('ds')} AS ds, {r('lag(y, 1) OVER w')} AS y_lag_1, {r('lag(y, 7) OVER w')} AS y_lag_7 FROM supp WINDOW w AS (PARTITION BY key ORDER BY ds)")
+def save_and_load_features(spark, d):
+    """Lag features are saved by kind and read back."""
+    store = _store(spark)
+    lagged = features.add_lags(supp_daily(spark, d), (1, 7), drop_rows=False)
+    version = store.save_features(lagged.df.select("key", "ds", "y_lag_1", "y_lag_7"), "lag")
+    return store.load("data", "features", version=version)
+
+
 @query()
 def save_and_load_model(spark, d):
     """Fitted parameters survive the round trip and still forecast."""

@@ -15,6 +15,7 @@ from catalog.registry import query, ts
 from tidemark.models import cv, design, ensemble
 from tidemark.models import fit as fitting
 from tidemark.models import predict as predicting
+from tidemark.plans.segments import numbered, planned
 from tidemark.plans.series import Series
 
 DAY = "datediff({ds}, DATE '1995-01-01')"
@@ -195,3 +196,18 @@ def tree_regressor_recovered(spark, d):
     text = F.when(k >= 6, "late").otherwise("early")
     s = s.on(s.df.select("key", "ds", "y", F.when(k != 3, k).cast("double").alias("x"), text.alias("part")))
     return whole(ensemble.tree_model(s, s))
+
+
+def by_row(i: str) -> str:
+    return f"1000 + 2 * {i} + {_by_weekday(STEPS, i)}"
+
+
+@query(f"""SELECT l_returnflag AS key, {ts('max(l_shipdate) + j * INTERVAL 1 DAY')} AS ds, CAST({by_row('(any_value(n) + j - 1)')} AS BIGINT) AS yhat
+FROM (SELECT l_returnflag, l_shipdate, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem), generate_series(1, 30) g(j)
+GROUP BY l_returnflag, j""")
+def exp_smoothing_long_recovered(spark, d):
+    """Raw line items of three hot keys, in segments: a line with a season of seven rows goes on."""
+    s = planned(ship_rows(spark, d))
+    rows = numbered(s, "i").withColumn("i", F.col("i") - 1)
+    s = s.on(rows.withColumn("y", F.expr(by_row("i")).cast("double")).drop("i"))
+    return whole(ensemble.exp_smoothing(s, ahead(s).df, period=7))

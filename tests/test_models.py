@@ -146,6 +146,22 @@ def test_interval_widens_and_ignores_batching():
     np.testing.assert_allclose(part[0], low[:7])
 
 
+def test_interval_covers_a_simulated_world():
+    """Worlds whose slope changes as the model assumes stay inside 95 % intervals 95 % of the time."""
+    rate, change, sigma, worlds = 20.0, 0.2, 0.03, 4000
+    t = np.array([1.05, 1.2, 1.5])
+    rng = np.random.default_rng(17)
+    inside = np.zeros(len(t))
+    for w in range(worlds):
+        number = rng.poisson(rate * 0.5)
+        at, size = 1 + 0.5 * rng.random(number), rng.laplace(0, change, number)
+        truth = (size[:, None] * np.maximum(t - at[:, None], 0)).sum(axis=0) + rng.normal(0, sigma, len(t))
+        if w % 100 == 0:  # intervals of forty seeds
+            low, high = simulate_deviation(t, rate, change, sigma, np.ones(len(t)), design.ForecastOptions().samples, 0.95, w)
+        inside += (low <= truth) & (truth <= high)
+    assert np.abs(inside / worlds - 0.95).max() < 0.02
+
+
 def test_regressor_helps_and_is_carried(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(0, 1, 300)
@@ -285,6 +301,26 @@ def test_smoothing_follows_a_season():
         ensemble.smooth_arrays(y[:50], 5)
 
 
+def test_smoothing_in_segments_equals_the_recursion(spark):
+    rng = np.random.default_rng(5)
+    n = 1500
+    y = 20 + 0.05 * np.arange(n) + 4 * np.sin(2 * np.pi * np.arange(n) / 12) + rng.normal(0, 1, n)
+    rows = [("long", i, float(v)) for i, v in enumerate(y)] + [("long", n, None), ("short", 0, 1.0), ("mid", 1, None)]
+    rows += [("mid", i + 2, float(v)) for i, v in enumerate(y[:100])]
+    df = spark.createDataFrame(rows, "key string, i int, y double").selectExpr("key", "timestamp_seconds(i) AS ds", "y")
+    target = spark.createDataFrame([(k, i) for k in ("long", "mid", "short", "new") for i in range(5000, 5020)], "key string, i int")
+    target = target.selectExpr("key", "timestamp_seconds(i) AS ds")
+    got = rows_of(ensemble.exp_smoothing(series(df, segment_rows=200), target, period=12))
+    for key, values in (("long", y), ("mid", y[:100])):
+        part = got[got.key == key]
+        np.testing.assert_allclose(part.yhat, ensemble.smooth_arrays(values, 20, 12), rtol=1e-9)
+        assert set(part.status) == {"ok"}
+    assert got[got.key.isin(["short", "new"])].yhat.isna().all() and len(got) == 80
+    assert set(got[got.key == "short"].status) == {"needs 24 rows, got 1"}
+    whole = rows_of(ensemble.exp_smoothing(series(df, max_rows=n + 1), target, period=12))
+    np.testing.assert_allclose(got.yhat, whole.yhat, rtol=1e-9)
+
+
 def test_tree_models(world):
     s = world.on(world.df.drop("clean"))
     train = s.filtered(s.df.filter("ds < '2023-06-01'"))

@@ -49,7 +49,7 @@ class ForecastOptions:
     holidays_prior_scale: float = 10.0
     regressors: tuple[str, ...] = ()
     interval_width: float = 0.95
-    samples: int = 300
+    samples: int = 1000
     sweeps: int = 25  # most rounds of Gauss-Newton steps; they end sooner when nothing moves
 
     def __post_init__(self):

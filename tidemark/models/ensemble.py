@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.models.design import ForecastOptions
-from tidemark.models.fit import fit, key_schema, require_bounded
+from tidemark.models.fit import fit, key_schema
 from tidemark.models.predict import predict
 from tidemark.operators.features import regressor_features
-from tidemark.plans.segments import attach, fill, windowed
+from tidemark.plans.segments import BASE, SEG, attach, fill, planned, segment, windowed
 from tidemark.plans.series import Series, numeric_columns, string_columns
 from tidemark.session import settled
 
@@ -36,47 +36,89 @@ SMOOTHING_GRID = {
 }
 
 
-def smooth_arrays(y: np.ndarray, steps: int, period: int = 30) -> np.ndarray:
-    """Holt-Winters with additive trend and season; all smoothing factors advance together."""
-    if len(y) < 2 * period:
-        raise ValueError(f"exponential smoothing needs {2 * period} rows, got {len(y)}")
-    a, b, g = (np.array(v) for v in zip(*itertools.product(*SMOOTHING_GRID.values())))
-    first, second = y[:period].mean(), y[period : 2 * period].mean()
+def _factors() -> tuple[np.ndarray, ...]:
+    """Level, trend and season factors of all combinations, which advance together."""
+    return tuple(np.array(v) for v in zip(*itertools.product(*SMOOTHING_GRID.values())))
+
+
+def start_smoothing(head: np.ndarray, period: int) -> np.ndarray:
+    """Level, slope and the season's waves before the first row, from the first two periods."""
+    first, second = head[:period].mean(), head[period : 2 * period].mean()
     step = (second - first) / period
     line = first + step * (np.arange(2 * period) - (period - 1) / 2)
-    waves = (y[: 2 * period] - line).reshape(2, period).mean(axis=0)
-    level = np.full(len(a), line[0] - step)
-    slope = np.full(len(a), step)
-    season = np.tile(waves[:, None], (1, len(a)))
+    waves = (head[: 2 * period] - line).reshape(2, period).mean(axis=0)
+    return np.concatenate([[line[0] - step, step], waves])
+
+
+def run_smoothing(y: np.ndarray, start: int, state: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared errors and end states of all combinations over ``y``, whose first row is number ``start``.
+
+    ``state`` has one row per combination: level, slope, waves.
+    """
+    a, b, g = _factors()
+    level, slope, season = state[:, 0], state[:, 1], state[:, 2:].T.copy()
     sse = np.zeros(len(a))
-    for i, value in enumerate(y):
+    for i, value in enumerate(y, start):
         wave = season[i % period]
         sse += (value - (level + slope + wave)) ** 2
         old = level
         level = a * (value - wave) + (1 - a) * (level + slope)
         slope = b * (level - old) + (1 - b) * slope
         season[i % period] = g * (value - level) + (1 - g) * wave
-    best = int(np.argmin(sse))
+    return sse, np.column_stack([level, slope, season.T])
+
+
+def smoothing_maps(y: np.ndarray, start: int, period: int) -> np.ndarray:
+    """The end state as an affine map of the state before ``y``: (combinations, state, state + 1).
+
+    Each part of the state is kept as a row of weights on the state at the beginning and 1, so a
+    step changes three such rows, whatever the period.
+    """
+    a, b, g = (v[:, None] for v in _factors())
+    size = period + 2
+    rows = np.broadcast_to(np.eye(size, size + 1)[:, None, :], (size, len(a), size + 1)).copy()
+    for i, value in enumerate(y, start):
+        at = 2 + i % period
+        wave, old = rows[at], rows[0]
+        level = (1 - a) * (old + rows[1]) - a * wave
+        level[:, -1:] += a * value
+        rows[1] = b * (level - old) + (1 - b) * rows[1]
+        rows[0] = level
+        rows[at] = (1 - g) * wave - g * level
+        rows[at][:, -1:] += g * value
+    return rows.transpose(1, 0, 2)
+
+
+def smooth_arrays(y: np.ndarray, steps: int, period: int = 30) -> np.ndarray:
+    """Holt-Winters with additive trend and season; all smoothing factors advance together."""
+    if len(y) < 2 * period:
+        raise ValueError(f"exponential smoothing needs {2 * period} rows, got {len(y)}")
+    head = start_smoothing(y, period)
+    sse, states = run_smoothing(y, 0, np.tile(head, (len(_factors()[0]), 1)), period)
+    best = states[int(np.argmin(sse))]
     ahead = np.arange(1, steps + 1)
-    waves = season[(len(y) + ahead - 1) % period, best]
-    return level[best] + ahead * slope[best] + waves
+    return best[0] + ahead * best[1] + best[2:][(len(y) + ahead - 1) % period]
 
 
 def exp_smoothing(train: Series, target: DataFrame, period: int = 30) -> DataFrame:
     """Forecast the rows of ``target`` (keys, ds) in their order after the training rows.
 
     Every row comes back: a key with too short a history has NULL forecasts and says so in status.
+    A key of a bounded series is smoothed by one task; long ones by segments, with the same result.
     """
-    require_bounded(train, "exp_smoothing")
     keys = list(train.keys)
-    rows = train.df.select(*keys, F.col(train.ds).alias("ds"), F.col(train.y).cast("double").alias("y"))
     ahead = target.select(*keys, F.col(train.ds).alias("ds"))
+    known = planned(train.filtered(train.df.where(F.col(train.y).isNotNull())))
+    if not known.bounded:
+        return _smooth_long(known, ahead, period)
+    rows = known.df.select(*keys, F.struct(*known.order).alias("at"), F.col(train.y).cast("double").alias("y"))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).drop("at")
     # Both sides may come from one table: fresh column ids keep the cogroup's keys apart.
     ahead = ahead.toDF(*ahead.columns)
 
     def run(rows: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
         out = ahead.sort_values("ds").reset_index(drop=True)
-        y = rows.sort_values("ds")["y"].dropna().to_numpy()
+        y = rows.sort_values("i")["y"].to_numpy()
         if len(y) < 2 * period:
             return out.assign(yhat=np.nan, status=f"needs {2 * period} rows, got {len(y)}")
         return out.assign(yhat=smooth_arrays(y, len(out), period), status="ok")
@@ -86,6 +128,72 @@ def exp_smoothing(train: Series, target: DataFrame, period: int = 30) -> DataFra
     return rows.groupBy(*keys).cogroup(ahead.groupBy(*keys)).applyInPandas(run, schema)
 
 
+def _smooth_long(known: Series, ahead: DataFrame, period: int) -> DataFrame:
+    """Smoothing of keys of any length: their segments' affine maps, chained in order.
+
+    A task turns a segment into one map per combination of factors, of a size that the period alone
+    sets; maps of a key chain to the states at which its segments begin. From there each segment
+    runs plainly for its squared errors, and the best combination's end state forecasts.
+    """
+    keys = list(known.keys)
+    names = key_schema(known.df, keys)
+    seg = segment(known)
+    by = list(seg.part)
+    place = F.col(BASE) + F.row_number().over(seg.window()) - 1
+    rows = settled(seg.df.select(*by, place.cast("long").alias("i"), F.col(known.y).cast("double").alias("y")))
+    heads = rows.where(F.col("i") < 2 * period).groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "y"))), lambda r: r["y"]).alias("head")
+    )
+
+    def maps(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("i")
+        found = smoothing_maps(part["y"].to_numpy(), int(part["i"].iloc[0]), period)
+        out = pd.DataFrame({"combo": range(len(found)), "map": [m.ravel() for m in found]})
+        return out.assign(**{k: part[k].iloc[0] for k in by})
+
+    composed = rows.groupBy(*by).applyInPandas(maps, f"{names}, {SEG} long, combo int, map array<double>")
+
+    def chain(part: pd.DataFrame) -> pd.DataFrame:
+        """States at which the segments of a key begin, for one combination."""
+        part = part.sort_values(SEG)
+        states = []
+        if len(part["head"].iloc[0]) >= 2 * period:
+            state = start_smoothing(np.asarray(part["head"].iloc[0]), period)
+            for m in part["map"]:
+                states.append(state)
+                state = np.asarray(m).reshape(period + 2, period + 3) @ np.append(state, 1.0)
+        out = part[[*keys, SEG, "combo"]].iloc[: len(states)].copy()
+        out["state"] = pd.Series(states, out.index, dtype=object)
+        return out
+
+    begun = composed.join(heads, keys).groupBy(*keys, "combo").applyInPandas(
+        chain, f"{names}, {SEG} long, combo int, state array<double>"
+    )
+    begun = begun.toDF(*begun.columns)
+
+    def run(part: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        columns = [*keys, SEG, "combo", "sse", "state"]
+        if part.empty or states.empty:
+            return pd.DataFrame(columns=columns)
+        part, states = part.sort_values("i"), states.sort_values("combo")
+        sse, ends = run_smoothing(part["y"].to_numpy(), int(part["i"].iloc[0]), np.stack(states["state"]), period)
+        return states.assign(sse=sse, state=list(ends))[columns]
+
+    done = rows.groupBy(*by).cogroup(begun.groupBy(*by)).applyInPandas(
+        run, f"{names}, {SEG} long, combo int, sse double, state array<double>"
+    )
+    total = done.groupBy(*keys, "combo").agg(F.sum("sse").alias("sse"), F.max_by("state", SEG).alias("state"))
+    best = total.groupBy(*keys).agg(F.min_by("state", F.struct("sse", "combo")).alias("_state"))
+    best = settled(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(best, keys, "left"))
+    step = F.row_number().over(Window.partitionBy(*keys).orderBy("ds"))
+    out = ahead.withColumn("_k", step).join(best, keys, "left")
+    wave = F.get("_state", (2 + (F.col("_n") + F.col("_k") - 1) % period).cast("int"))
+    yhat = F.get("_state", F.lit(0)) + F.col("_k") * F.get("_state", F.lit(1)) + wave
+    short = F.concat(F.lit(f"needs {2 * period} rows, got "), F.coalesce("_n", F.lit(0)).cast("string"))
+    status = F.when(F.col("_state").isNotNull(), F.lit("ok")).otherwise(short)
+    return out.select(*keys, "ds", yhat.alias("yhat"), status.alias("status"))
+
+
 def _pooled(s: Series, stats: DataFrame) -> DataFrame:
     """Features for one model over all keys: date parts, other columns, and the key's scale.
 

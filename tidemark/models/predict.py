@@ -19,6 +19,7 @@ from tidemark.models.fit import key_schema
 from tidemark.plans.segments import attach
 from tidemark.plans.series import Series
 
+PATH_TIMES = 1024  # times whose simulated paths are held together
 FORECAST_COLUMNS = ("yhat", "yhat_lower", "yhat_upper", "trend", "yearly", "weekly", "daily")
 
 
@@ -93,16 +94,20 @@ def simulate_deviation(
     which other times are asked for.
     """
     noise = np.random.default_rng([seed, 0]).normal(0, sigma, samples)
-    bend = np.zeros((samples, len(t)))
-    at, last, j = np.ones(samples), float(t.max()), 0
+    jumps, at, last, j = [], np.ones(samples), float(t.max(initial=1.0)), 0
     while rate > 0 and (at < last).any():
         j += 1
         rng = np.random.default_rng([seed, j])
         at = at + rng.exponential(1 / rate, samples)
-        size = rng.laplace(0, change + 1e-8, samples)
-        bend += size[:, None] * np.maximum(t[None, :] - at[:, None], 0.0)
-    spread = bend * lift[None, :] + noise[:, None]
-    low, high = np.quantile(spread, [0.5 - width / 2, 0.5 + width / 2], axis=0)
+        jumps.append((at, rng.laplace(0, change + 1e-8, samples)))
+    low, high = np.empty(len(t)), np.empty(len(t))
+    for a in range(0, len(t), PATH_TIMES):  # the paths of some times, whatever the horizon
+        part = slice(a, a + PATH_TIMES)
+        bend = np.zeros((samples, len(t[part])))
+        for start, size in jumps:
+            bend += size[:, None] * np.maximum(t[part][None, :] - start[:, None], 0.0)
+        spread = bend * lift[part][None, :] + noise[:, None]
+        low[part], high[part] = np.quantile(spread, [0.5 - width / 2, 0.5 + width / 2], axis=0)
     return np.minimum(low, 0.0), np.maximum(high, 0.0)
 
 
