@@ -1,4 +1,5 @@
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -77,6 +78,16 @@ def test_findings_of_a_broken_scan_are_not_read(spark, docs, tmp_path):
     table = docs(TEXTS).select(F.sha2("text", 256).alias("blob"), "text")
     scan(table, ledger)
     whole = findings(spark, ledger).count()
-    broken = spark.createDataFrame([("lost", "b", "hex", 1, 0, 30)], secrets.FINDINGS)
-    broken.write.mode("append").parquet(f"{ledger}/findings")
+    broken = spark.createDataFrame([("b", "hex", 1, 0, 30, "lost")], secrets.FINDINGS).drop("batch")
+    broken.write.parquet(f"{ledger}/findings/batch=lost")
     assert findings(spark, ledger).count() == whole > 0
+
+
+def test_scans_at_the_same_time(docs, tmp_path):
+    """Three scans of one ledger all end, and what more than one of them found counts once."""
+    ledger = str(tmp_path / "ledger")
+    with ThreadPoolExecutor(3) as pool:
+        results = list(pool.map(lambda _: got(find_secrets(docs(TEXTS), ledger)), range(3)))
+    want = sorted((i, brute(t)) for i, t in TEXTS)
+    assert results == [want] * 3
+    assert got(find_secrets(docs(TEXTS), ledger)) == want

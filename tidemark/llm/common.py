@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import configure, settled
 
-__all__ = ["blocks_of", "documents_of", "forget", "per_worker", "read", "settled", "tuned"]
+__all__ = ["blocks_of", "documents_of", "folder", "forget", "per_worker", "read", "settled", "tuned"]
 
 # Arrow batches are bounded by bytes as well as rows, so a run of long texts does not pile up.
 BATCH_CONF = {
@@ -48,6 +48,12 @@ def documents_of(docs: DataFrame, *extra: str, null_text: str | None = "") -> Da
     )
 
 
+def folder(spark: SparkSession, path: str):
+    """The file system that holds ``path``, and the path as it takes it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def blocks_of(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of whole rows of at most about ``most`` bytes of a column: arrays over them stay small."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

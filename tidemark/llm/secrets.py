@@ -1,15 +1,17 @@
 """Secrets: an incremental ledger of scanned blobs, in DataFrame functions only.
 
 A blob is a text, addressed by its SHA-256; every version of every document is one row of paths.
-The ledger is a folder of three tables, all of them only appended to:
+The ledger is a folder of two tables, both with a folder per batch:
 
 * ``findings``  batch, blob, rule, version, start, stop (code points, end exclusive)
 * ``scans``     batch, blob, rule, version: what has been looked at
 
 A scan takes the distinct blobs with rule versions that ``scans`` does not hold and applies those
-rules alone, so copies, unchanged documents and known rules cost no scan. It writes the findings
-first and the scans last; findings of a batch without scans are those of a broken run and not read.
-Findings reach all paths of a blob by a join.
+rules alone, so copies, unchanged documents and known rules cost no scan, and their texts are not
+moved. It writes both tables aside and renames their folders, the findings first and the scans last;
+findings of a batch without scans are those of a broken run and not read. Scans at the same time do
+not disturb each other; what two of them look at is found twice and counts once. Findings reach all
+paths of a blob by a join.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents_of, settled
+from tidemark.llm.common import documents_of, folder, settled
 from tidemark.session import shared_dir
 
-FINDINGS = "batch string, blob string, rule string, version int, start long, stop long"
-SCANS = "batch string, blob string, rule string, version int"
+FINDINGS = "blob string, rule string, version int, start long, stop long, batch string"
+SCANS = "blob string, rule string, version int, batch string"
 
 
 class Rule(NamedTuple):
@@ -53,9 +55,20 @@ RULES = (
 
 
 def _table(spark: SparkSession, ledger: str, name: str, schema: str) -> DataFrame:
-    path = f"{ledger}/{name}"
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)  # makes it exist
-    return spark.read.schema(schema).parquet(path)
+    """All batches of a table; empty before the first one."""
+    files, where = folder(spark, f"{ledger}/{name}")
+    if not files.exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{ledger}/{name}")
+
+
+def _commit(rows: DataFrame, ledger: str, name: str, batch: str) -> None:
+    staging = f"{ledger}/staging-{name}-{batch}"
+    rows.write.parquet(staging)
+    files, final = folder(rows.sparkSession, f"{ledger}/{name}/batch={batch}")
+    files.mkdirs(final.getParent())
+    if not files.rename(folder(rows.sparkSession, staging)[1], final):
+        raise OSError(f"cannot rename {staging} to {final}")
 
 
 def _parts(rule: Rule) -> Column:
@@ -80,10 +93,12 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:
     for rule in rules:
         wanted |= (F.col("rule") == rule.name) & (F.col("version") == rule.version)
     seen = _table(spark, ledger, "scans", SCANS).where(wanted).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    fresh = docs.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left")
-    fresh = fresh.withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-    fresh = fresh.where(F.size("seen") < len(rules))
-    batch = uuid.uuid4().hex
+    # Hashes first: only texts with something to look for are moved, one of each blob.
+    unseen = docs.select("blob").distinct().join(seen, "blob", "left")
+    unseen = unseen.withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
+    unseen = settled(unseen.where(F.size("seen") < len(rules)))
+    fresh = docs.join(unseen, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("seen").alias("seen"))
+    batch = "b" + uuid.uuid4().hex
     looked = F.array(*[
         F.when(~F.array_contains("seen", r.name), F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")))
         for r in rules
@@ -101,12 +116,10 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:
     so_far = Window.partitionBy("blob", "rule").orderBy("i")
     stop = F.sum(F.col("p.gap") + F.coalesce("p.size", F.lit(0))).over(so_far)
     placed = parts.withColumn("stop", stop.cast("long")).where("p.size IS NOT NULL AND p.value >= least")
-    placed.select(
-        F.lit(batch).alias("batch"), "blob", "rule", "version", (F.col("stop") - F.col("p.size")).alias("start"), "stop"
-    ).write.mode("append").parquet(f"{ledger}/findings")
-    passed.select("blob", F.explode("looked").alias("l")).select(
-        F.lit(batch).alias("batch"), "blob", "l.rule", "l.version"
-    ).write.mode("append").parquet(f"{ledger}/scans")
+    found = placed.select("blob", "rule", "version", (F.col("stop") - F.col("p.size")).alias("start"), "stop")
+    _commit(found, ledger, "findings", batch)
+    looked = passed.select("blob", F.explode("looked").alias("l")).select("blob", "l.rule", "l.version")
+    _commit(looked, ledger, "scans", batch)
 
 
 def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -116,7 +129,7 @@ def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES)
         lambda a, b: a | b, [(F.col("rule") == r.name) & (F.col("version") == r.version) for r in rules]
     )
     rows = _table(spark, ledger, "findings", FINDINGS).where(wanted)
-    return rows.join(whole, "batch", "left_semi").select("blob", "rule", "start", "stop")
+    return rows.join(whole, "batch", "left_semi").select("blob", "rule", "start", "stop").distinct()
 
 
 def find_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
