@@ -65,6 +65,7 @@ def test_components_equal_brute_force(docs, size, percent):
 
 def test_many_small_tiles_lose_nothing(docs, monkeypatch):
     monkeypatch.setattr(neardup, "TILE_NODES", 4)
+    monkeypatch.setattr(neardup, "APART", 1)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(150)]
     rows = []

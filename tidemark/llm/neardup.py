@@ -32,7 +32,9 @@ from tidemark.llm.graph import components
 BANDS, ROWS, STEP = 25, 5, 25
 HASHES = BANDS * ROWS
 MISS = 1e-7
-TILE_NODES, TILE_SHINGLES = 256, 200_000
+# Tiles of n nodes are loaded n / TILE_NODES times each if all must meet, so they are as large as a task
+# holds with ease: two of 8 MB.
+TILE_NODES, TILE_SHINGLES, APART = 1024, 1_000_000, 64
 BROADCAST_NODES = 1_000_000  # of 24 bytes; beyond it the join is shuffled
 
 SKETCH = "doc_id long, n_shingles long, node long, bands array<long>"
@@ -241,7 +243,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         "node", "n", "pivot", F.coalesce("comp", "node").alias("comp")
     )
     # New tiles: a large component has its own, as its members need no comparison with each other.
-    large = placed.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= TILE_NODES / 4)
+    large = placed.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= APART)
     placed = placed.join(large, ["pivot", "comp"], "left").withColumn(
         "kind", F.when(F.col("c").isNotNull(), F.col("comp")).otherwise(F.lit(0).cast("long"))
     )
