@@ -8,11 +8,11 @@
 3. Inside a tile, pairs that share a band are compared ``STEP`` minima at a time: once the
    posterior probability of a similarity at the threshold falls below ``MISS``, the pair goes.
    Survivors are confirmed on their full sets. Only links that join something leave the tile.
-4. Components of those links. Nodes are dealt into new tiles by pivot and size of their sets, large
-   components apart. Tiles of one pivot meet once, tiles of different pivots where they share a
-   bucket, both only if their sizes allow a link and they are not all one component. They are
-   compared in the same way, pairs of one component left out: so no link between different
-   components is lost, and groups that hang together cost no pairs.
+4. Components of those links. Then the nodes of every pivot, home or not, meet where they are not all one
+   component: each pair that shares a bucket shares its pivot, and a pivot's nodes are far fewer than its
+   buckets' entries. A group beyond one tile is cut by size of the sets, large components apart, and tiles
+   meet only if their sizes allow a link. Pairs of one component are left out, so no link between
+   different components is lost, and groups that hang together cost no pairs.
 """
 
 from __future__ import annotations
@@ -239,58 +239,51 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     first = settled(content.unionByName(visiting).groupBy("tile").applyInPandas(inside, PAIRS))
     comp = settled(components(first))
 
-    placed = homes.select("node", "n", "pivot").join(comp, "node", "left").select(
+    members = votes.select("node", "n", "pivot").join(comp, "node", "left").select(
         "node", "n", "pivot", F.coalesce("comp", "node").alias("comp")
     )
-    # New tiles: a large component has its own, as its members need no comparison with each other.
-    large = placed.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= APART)
-    placed = placed.join(large, ["pivot", "comp"], "left").withColumn(
-        "kind", F.when(F.col("c").isNotNull(), F.col("comp")).otherwise(F.lit(0).cast("long"))
-    )
+    cuts = [F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)]
+    groups = members.groupBy("pivot").agg(
+        F.greatest(*cuts).alias("parts"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    ).where("lo != hi")
+    members = settled(members.join(groups.select("pivot", "parts"), "pivot"))
+    # A large component has tiles of its own, as its members need no comparison with each other.
+    large = members.where("parts > 1").groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= APART)
     # Sets of linked nodes are at most two of these steps apart in size.
     width = max(math.log(100 / percent) / 2 * (1 + 1e-9), 1e-7)
-    placed = placed.withColumn("step", F.floor(F.ln("n") / width))
-    cuts = placed.groupBy("pivot", "kind", "step").agg(
-        F.greatest(
-            F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)
-        ).alias("cuts")
+    many, zero = F.col("parts") > 1, F.lit(0).cast("long")
+    members = members.join(large, ["pivot", "comp"], "left").select(
+        "node", "n", "pivot", "comp", F.when(F.col("c").isNotNull(), F.col("comp")).otherwise(zero).alias("kind"),
+        F.when(many, F.floor(F.ln("n") / width)).otherwise(zero).alias("step"),
     )
+    dealt = members.groupBy("pivot", "kind", "step").agg(F.greatest(*cuts).alias("cuts"))
     tile = F.xxhash64("pivot", "kind", "step", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("long"))
-    placed = settled(placed.join(cuts, ["pivot", "kind", "step"]).select("node", "comp", "pivot", "step", tile.alias("tile")))
-
-    def tiles(rows: DataFrame, *by: str) -> DataFrame:
-        ends = [F.first("pivot").alias("pivot"), F.first("step").alias("step"), F.min("comp").alias("lo"), F.max("comp").alias("hi")]
-        return rows.groupBy(*by, "tile").agg(*ends)
-
-    def pairs_of(rows: DataFrame, on: str, order: str) -> DataFrame:
-        """Pairs of tiles that meet on ``on``, where a pair of different components can be linked."""
-        open_ones = rows.groupBy(on).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi")
-        rows = settled(rows.join(open_ones.select(on), on, "left_semi"))
-        x, y = rows.alias("x"), rows.alias("y")
-        fits = "abs(x.step - y.step) <= 2 AND least(x.lo, y.lo) != greatest(x.hi, y.hi)"
-        return x.join(y, F.expr(f"x.{on} = y.{on} AND x.{order} AND {fits}")).select(
+    placed = settled(
+        members.join(dealt, ["pivot", "kind", "step"]).select("node", "comp", "pivot", "step", tile.alias("tile"))
+    )
+    tiles = settled(placed.groupBy("pivot", "step", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    fits = "abs(x.step - y.step) <= 2 AND least(x.lo, y.lo) != greatest(x.hi, y.hi)"
+    meet = settled(
+        tiles.alias("x").join(tiles.alias("y"), F.expr(f"x.pivot = y.pivot AND x.tile <= y.tile AND {fits}")).select(
             F.col("x.tile").alias("tile_a"), F.col("y.tile").alias("tile_b")
         )
-
-    own = tiles(placed)
-    spread = tiles(shared.select("band", "node").join(placed, "node"), "band")
-    several = spread.groupBy("band").agg(F.min("pivot").alias("a"), F.max("pivot").alias("b")).where("a != b")
-    spread = spread.join(several.select("band"), "band", "left_semi")
-    meet = pairs_of(own, "pivot", "tile <= y.tile").unionByName(pairs_of(spread, "band", "pivot < y.pivot")).distinct()
-    meet = settled(meet)
+    )
     loaded = content.drop("tile").join(placed.select("node", "comp", "tile"), "node")
     sides = [
-        meet.join(loaded.withColumnRenamed("tile", t), t).select(
-            "tile_a", "tile_b", F.lit(t == "tile_a").alias("left"), "node", "comp", "n_shingles", "sig", "members"
+        meet.where("tile_a != tile_b OR left").join(loaded.withColumnRenamed("tile", t), t).select(
+            "tile_a", "tile_b", "left", "node", "comp", "n_shingles", "sig", "members"
         )
-        for t in ("tile_a", "tile_b")
+        for t, meet in (("tile_a", meet.withColumn("left", F.lit(True))), ("tile_b", meet.withColumn("left", F.lit(False))))
     ]
 
     def across(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = rows[rows["left"]], rows[~rows["left"]]
+        same = b.empty  # a tile that meets itself comes once
+        b = a if same else b
+        left = _unpacked(a)
         with np.errstate(over="ignore"):
             found = confirm(
-                _unpacked(a), _unpacked(b), a["comp"].to_numpy(), b["comp"].to_numpy(), percent, need, False
+                left, left if same else _unpacked(b), a["comp"].to_numpy(), b["comp"].to_numpy(), percent, need, same
             )
         return _links(a, b, found)
 
