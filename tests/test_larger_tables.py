@@ -5,10 +5,22 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from catalog import datasets
+from tidemark.models import ensemble
 from tidemark.operators import features
 from tidemark.plans.series import series
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def same_rows(a, b):
+    assert a.columns == b.columns
+    left, right = (sorted(map(repr, d.collect())) for d in (a, b))
+    assert left == right
+
+
 def test_rolling_frames_equal_the_window_functions(spark):
     """Gaps, short keys, constant stretches, NULL keys and frames across Arrow batches."""
     rows = [(k, i, None if i % 7 == 3 else float((i * i * 37) % 101 if i % 50 < 30 else 5.1)) for k in ("a", "b", None) for i in range(130)]
@@ -35,3 +47,53 @@ def test_rolling_columns_are_not_summed_frame_by_frame(spark):
     s = series(spark.range(9).selectExpr("'a' AS key", "timestamp'2024-01-01' + make_interval(0, 0, 0, CAST(id AS INT)) AS ds", "CAST(id AS DOUBLE) AS y"), max_rows=9)
     plan = features.rolling_columns(s, (3,)).df._jdf.queryExecution().optimizedPlan().toString()
     assert "kurtosis" not in plan and "MapInArrow" in plan
+
+
+def test_days_without_sales_need_no_join(spark, tmp_path):
+    """Days up to the next sale come from the sale's own row; a NULL supplier has no known sales, as before."""
+    rows = [(k, d, float(q), 10.0 * q, 0.1) for k in (1, 2, None) for d, q in ((1, 1), (1, 2), (4, 3), (9, 4))] + [(3, 7, 1.0, 5.0, 0.0)]
+    df = spark.createDataFrame(rows, "l_suppkey long, d int, l_quantity double, l_extendedprice double, l_discount double")
+    df = df.withColumn("l_shipdate", F.expr("timestamp_ntz'2024-01-01 05:00:00' + make_interval(0, 0, 0, d)")).drop("d")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    sold = datasets.supp_daily(spark, str(tmp_path)).df
+    spans = sold.groupBy("key").agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
+    dense = spans.select("key", F.explode(F.expr("sequence(lo, hi, INTERVAL 1 DAY)")).alias("ds"))
+    new = datasets.supp_gappy(spark, str(tmp_path)).df
+    same_rows(new, dense.join(sold, ["key", "ds"], "left"))
+    assert new.count() == 28 and "Join" not in plan_of(new)
+
+
+def _predictions(spark, bounded):
+    rows = [(k, i, m, float((i * p) % 11)) for k in ("a", "b", None) for i in range(12) for m, p in (("x", 3), ("z", 5))]
+    df = spark.createDataFrame(rows, "key string, i int, model string, yhat double").withColumn("ds", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, i)"))
+    actual = df.where("model = 'x' AND i NOT IN (3, 4, 11)").select("key", "ds", (F.col("i") % 5).cast("double").alias("y"))
+    return series(df.drop("i"), ("key", "model"), y="yhat", max_rows=12 if bounded else None, segment_rows=1_000), actual
+
+
+def test_weights_of_bounded_series_move_rows_to_their_key_once(spark):
+    found = []
+    for bounded in (True, False):
+        long, actual = _predictions(spark, bounded)
+        out = ensemble.dynamic_weights(long, actual, 3).withColumn("weight", F.round("weight", 9))
+        found.append(out)
+    assert plan_of(found[0]).count("hashpartitioning") <= 3  # both sides of the join, and the key
+    assert found[0].count() == 72
+    # An unbounded series of few rows is counted and then taken as bounded: the plain windows are the other form.
+    long, actual = _predictions(spark, True)
+    every = long.df.join(actual.withColumn("_known", F.lit(True)), ["key", "ds"], "left")
+    own = Window.partitionBy("key", "model").orderBy("ds")
+    known = every.where("_known").withColumns({
+        "_mae": F.avg(F.abs(F.col("yhat") - F.col("y"))).over(own.rowsBetween(-3, -1)), "_seen": F.count(F.lit(1)).over(own.rowsBetween(-3, -1)),
+    })
+    weight = F.when(F.col("_seen") < 3, F.lit(0.5)).otherwise(ensemble._inverse_error(F.col("_mae"), ["key", "ds"]))
+    both = known.withColumn("_w", weight).select(*every.columns, "_w").unionByName(every.where("_known IS NULL").withColumn("_w", F.lit(None).cast("double")))
+    want = both.withColumn("weight", F.round(F.coalesce(F.last("_w", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.5)), 9))
+    for out in found:
+        same_rows(out, want.select("key", "ds", "model", "yhat", "y", "weight"))
+
+
+def test_models_are_aligned_in_one_aggregation(spark):
+    long, _ = _predictions(spark, True)
+    new = ensemble.wide(long.df, ["x", "z", "none"])
+    assert plan_of(new).count("hashpartitioning") == 1
+    same_rows(new, long.df.groupBy("key", "ds").pivot("model", ["x", "z", "none"]).agg(F.first("yhat")))
