@@ -466,7 +466,9 @@ def _base_predictions(s: Series) -> Series:
             "mean": F.avg("y").over(w.rowsBetween(-14, -1)),
         },
     ).filter("week IS NOT NULL")
-    long = df.select("key", "ds", "y", "last", "week", "mean").unpivot(["key", "ds", "y"], ["last", "week", "mean"], "model", "yhat")
+    # An array of the models leaves rows with their key; an unpivot would forget where they are.
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("yhat")) for m in ("last", "week", "mean")])
+    long = df.select("key", "ds", "y", F.inline(each))
     return replace(s, df=long, keys=("key", "model"))
 
 

@@ -316,7 +316,9 @@ def collect_models(models: Mapping[str, DataFrame], keys: Sequence[str] = ("key"
 
 def wide(predictions: DataFrame, models: Sequence[str], keys: Sequence[str] = ("key",)) -> DataFrame:
     """One column per model, aligned on key and time."""
-    return predictions.groupBy(*keys, "ds").pivot("model", list(models)).agg(F.first("yhat"))
+    # One aggregation; a pivot makes two, the first of which keeps a row per model of every point.
+    cols = [F.first(F.when(F.col("model") == m, F.col("yhat")), ignorenulls=True).alias(m) for m in models]
+    return predictions.groupBy(*keys, "ds").agg(*cols)
 
 
 # --- combination ----------------------------------------------------------------------------------------
@@ -360,6 +362,9 @@ def dynamic_weights(
     if "model" not in by_model.keys:
         by_model = replace(by_model, keys=(*keys, "model"))
 
+    if by_model.bounded and keys:
+        return _weights_by_key(by_model, keys, window)
+
     def cols(w):
         before = w.rowsBetween(-window, -1)
         return {
@@ -378,6 +383,28 @@ def dynamic_weights(
     return out.select(*keys, "ds", "model", "yhat", "y", "weight")
 
 
+def _weights_by_key(by_model: Series, keys: list[str], window: int) -> DataFrame:
+    """Weights of bounded series: rows move to their key once, and every window after that is local.
+
+    Rows with and without an actual value are two partitions of a model's first window. A point
+    has either all or none of its rows known, so weights at a point need no further distinction.
+    """
+    own = [*keys, "model"]
+    rows = by_model.df.repartition(*keys)
+    before = Window.partitionBy(*own, "_known").orderBy(*by_model.order).rowsBetween(-window, -1)
+    rows = rows.withColumns({
+        "_mae": F.avg(F.abs(F.col("yhat") - F.col("y"))).over(before), "_seen": F.count(F.lit(1)).over(before),
+    })
+    equal = 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*keys, "ds"))
+    inverse = _inverse_error(F.col("_mae"), [*keys, "ds"])
+    rows = rows.withColumns({"_equal": equal, "_inverse": inverse})
+    found = F.when(F.col("_seen") < window, F.col("_equal")).otherwise(F.col("_inverse"))
+    rows = rows.withColumn("_weight", F.when(F.col("_known"), found))
+    upto = Window.partitionBy(*own).orderBy(*by_model.order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("weight", F.coalesce(F.last("_weight", ignorenulls=True).over(upto), "_equal"))
+    return rows.select(*keys, "ds", "model", "yhat", "y", "weight")
+
+
 def weighted(weights: DataFrame, keys: Sequence[str] = ("key",), z: float = 1.96) -> DataFrame:
     """Weighted forecast, with the spread across models as its interval."""
     return _with_interval(
