@@ -97,3 +97,38 @@ def test_models_are_aligned_in_one_aggregation(spark):
     new = ensemble.wide(long.df, ["x", "z", "none"])
     assert plan_of(new).count("hashpartitioning") == 1
     same_rows(new, long.df.groupBy("key", "ds").pivot("model", ["x", "z", "none"]).agg(F.first("yhat")))
+
+
+@pytest.mark.parametrize("rows,start,period", [(5, 3, 7), (7, 0, 7), (500, 11, 7), (2000, 4, 30)])
+def test_blocks_of_a_segment_smooth_as_one(rows, start, period):
+    rng = np.random.default_rng(rows)
+    y = rng.normal(100, 30, rows)
+    combos = len(ensemble._factors()[0])
+    state = rng.normal(size=(combos, period + 2))
+    sse, ends = ensemble.run_smoothing(y, start, state, period)
+    m = ensemble.smoothing_maps(y, start, period)
+    np.testing.assert_allclose((m[..., :-1] @ state[..., None])[..., 0] + m[..., -1], ends, rtol=1e-8, atol=1e-7)
+    both = ensemble.run_segment(y, start, state, period)
+    np.testing.assert_allclose(both[0], sse, rtol=1e-8)
+    np.testing.assert_allclose(both[1], ends, rtol=1e-8, atol=1e-7)
+    assert ensemble._parts(y, period)[0].shape[1] <= ensemble.BLOCKS
+
+
+def test_rows_of_one_time_meet_before_the_rounds(spark, monkeypatch):
+    """Rounds read one row per key and time, and the fit is that of all rows."""
+    from tidemark.models import design, fit
+
+    df = spark.range(4000).selectExpr(
+        "CASE id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS key", "id",
+        "timestamp'2024-01-01' + make_interval(0, 0, 0, CAST(id DIV 40 AS INT)) AS ds", "100.0D + id * 0.05 + (id * 7919) % 13 AS y",
+    )
+    read, plain = [], fit.attach
+    monkeypatch.setattr(fit, "attach", lambda s, stats: (read.append(s.df.count()), plain(s, stats))[1])
+    o = design.ForecastOptions(yearly=False, daily=False)
+    got = {r.key: r for r in fit.fit_long(series(df, seq=["id"], segment_rows=300), o).collect()}
+    want = {r.key: r for r in fit.fit(series(df, seq=["id"], max_rows=4000), o).collect()}
+    assert read and set(read) == {200}
+    for k in want:
+        assert got[k].status == "ok" and got[k].n == want[k].n == 2000
+        assert got[k].sigma == pytest.approx(want[k].sigma, rel=1e-3)
+        assert got[k].trend[0] == pytest.approx(want[k].trend[0], rel=1e-2)

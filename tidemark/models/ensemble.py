@@ -18,7 +18,7 @@ from tidemark.models.design import ForecastOptions
 from tidemark.models.fit import fit, key_schema
 from tidemark.models.predict import predict
 from tidemark.operators.features import regressor_features
-from tidemark.plans.segments import BASE, SEG, attach, fill, planned, segment, windowed
+from tidemark.plans.segments import BASE, SEG, attach, fill, planned, segment, settle, windowed
 from tidemark.plans.series import Series, numeric_columns, string_columns
 from tidemark.session import settled
 
@@ -53,11 +53,12 @@ def start_smoothing(head: np.ndarray, period: int) -> np.ndarray:
 def run_smoothing(y: np.ndarray, start: int, state: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
     """Squared errors and end states of all combinations over ``y``, whose first row is number ``start``.
 
-    ``state`` has one row per combination: level, slope, waves.
+    ``state`` has one row per combination: level, slope, waves. With blocks beside each other, ``y`` has
+    a column and ``state`` a second index for each.
     """
-    a, b, g = _factors()
-    level, slope, season = state[:, 0], state[:, 1], state[:, 2:].T.copy()
-    sse = np.zeros(len(a))
+    a, b, g = (v.reshape(-1, *[1] * (state.ndim - 2)) for v in _factors())
+    level, slope, season = state[..., 0], state[..., 1], np.moveaxis(state[..., 2:], -1, 0).copy()
+    sse = np.zeros(level.shape)
     for i, value in enumerate(y, start):
         wave = season[i % period]
         sse += (value - (level + slope + wave)) ** 2
@@ -65,28 +66,62 @@ def run_smoothing(y: np.ndarray, start: int, state: np.ndarray, period: int) ->
         level = a * (value - wave) + (1 - a) * (level + slope)
         slope = b * (level - old) + (1 - b) * slope
         season[i % period] = g * (value - level) + (1 - g) * wave
-    return sse, np.column_stack([level, slope, season.T])
+    return sse, np.concatenate([level[..., None], slope[..., None], np.moveaxis(season, 0, -1)], axis=-1)
 
 
-def smoothing_maps(y: np.ndarray, start: int, period: int) -> np.ndarray:
-    """The end state as an affine map of the state before ``y``: (combinations, state, state + 1).
+BLOCKS = 64  # parts of a segment that advance together
+
+
+def _parts(y: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of whole periods beside each other, (rows, blocks), and the rest."""
+    length = period * max(1, -(-len(y) // (period * BLOCKS)))
+    whole = len(y) // length * length
+    return y[:whole].reshape(-1, length).T, y[whole:]
+
+
+def _block_maps(y: np.ndarray, start: int, period: int) -> np.ndarray:
+    """The end state of each block as an affine map of its first: (blocks, combinations, state, state + 1).
 
     Each part of the state is kept as a row of weights on the state at the beginning and 1, so a
     step changes three such rows, whatever the period.
     """
-    a, b, g = (v[:, None] for v in _factors())
+    a, b, g = (v[:, None, None] for v in _factors())
     size = period + 2
-    rows = np.broadcast_to(np.eye(size, size + 1)[:, None, :], (size, len(a), size + 1)).copy()
+    rows = np.broadcast_to(np.eye(size, size + 1)[:, None, None, :], (size, len(a), y.shape[1], size + 1)).copy()
     for i, value in enumerate(y, start):
         at = 2 + i % period
         wave, old = rows[at], rows[0]
         level = (1 - a) * (old + rows[1]) - a * wave
-        level[:, -1:] += a * value
+        level[..., -1] += a[..., 0] * value
         rows[1] = b * (level - old) + (1 - b) * rows[1]
         rows[0] = level
         rows[at] = (1 - g) * wave - g * level
-        rows[at][:, -1:] += g * value
-    return rows.transpose(1, 0, 2)
+        rows[at][..., -1] += g[..., 0] * value
+    return rows.transpose(2, 1, 0, 3)
+
+
+def smoothing_maps(y: np.ndarray, start: int, period: int) -> np.ndarray:
+    """The end state as an affine map of the state before ``y``: (combinations, state, state + 1)."""
+    blocks, rest = _parts(y, period)
+    size = period + 2
+    whole = np.broadcast_to(np.eye(size, size + 1), (len(_factors()[0]), size, size + 1))
+    for m in [*_block_maps(blocks, start, period), *_block_maps(rest[:, None], start, period)]:
+        whole = m[..., :size] @ whole + np.pad(m[..., size:], [(0, 0), (0, 0), (size, 0)])
+    return whole
+
+
+def run_segment(y: np.ndarray, start: int, state: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``run_smoothing`` gives over a segment, whose blocks begin at the states that their maps chain to."""
+    blocks, rest = _parts(y, period)
+    begun = []
+    for m in _block_maps(blocks, start, period):
+        begun.append(state)
+        state = (m[..., :-1] @ state[..., None])[..., 0] + m[..., -1]
+    sse = np.zeros(len(state))
+    if begun:
+        sse += run_smoothing(blocks, start, np.stack(begun, axis=1), period)[0].sum(axis=1)
+    last, state = run_smoothing(rest, start, state, period)
+    return sse + last, state
 
 
 def smooth_arrays(y: np.ndarray, steps: int, period: int = 30) -> np.ndarray:
@@ -108,7 +143,7 @@ def exp_smoothing(train: Series, target: DataFrame, period: int = 30) -> DataFra
     """
     keys = list(train.keys)
     ahead = target.select(*keys, F.col(train.ds).alias("ds"))
-    known = planned(train.filtered(train.df.where(F.col(train.y).isNotNull())))
+    known = planned(settle(train.filtered(train.df.where(F.col(train.y).isNotNull()))))
     if not known.bounded:
         return _smooth_long(known, ahead, period)
     rows = known.df.select(*keys, F.struct(*known.order).alias("at"), F.col(train.y).cast("double").alias("y"))
@@ -176,7 +211,7 @@ def _smooth_long(known: Series, ahead: DataFrame, period: int) -> DataFrame:
         if part.empty or states.empty:
             return pd.DataFrame(columns=columns)
         part, states = part.sort_values("i"), states.sort_values("combo")
-        sse, ends = run_smoothing(part["y"].to_numpy(), int(part["i"].iloc[0]), np.stack(states["state"]), period)
+        sse, ends = run_segment(part["y"].to_numpy(), int(part["i"].iloc[0]), np.stack(states["state"]), period)
         return states.assign(sse=sse, state=list(ends))[columns]
 
     done = rows.groupBy(*by).cogroup(begun.groupBy(*by)).applyInPandas(

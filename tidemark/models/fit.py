@@ -331,10 +331,15 @@ def fit_long(s: Series, options: ForecastOptions) -> DataFrame:
     width = n_trend + n_season + n_reg
     names = key_schema(s.df, keys)
     linear = options.growth == "linear" and options.seasonality_mode == "additive"
-    rows = known.on(known.df.select(
-        *keys, *[c for c in known.order if c not in keys], F.unix_micros(F.col(s.ds).cast("timestamp")).alias("_us"),
-        F.col(s.y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_r{i}") for i, c in enumerate(regs)],
-    ))
+    # Rows of one time and equal regressors share their row of the design: they meet as a weight, a mean
+    # and squares about it before the rounds, so that no round pays for them again.
+    rows = known.df.select(
+        *keys, F.unix_micros(F.col(s.ds).cast("timestamp")).alias("_us"), F.col(s.y).cast("double").alias("_y"),
+        *[F.col(c).cast("double").alias(f"_r{i}") for i, c in enumerate(regs)],
+    ).groupBy(*keys, "_us", *[f"_r{i}" for i in range(n_reg)]).agg(
+        F.count(F.lit(1)).alias("_w"), F.avg("_y").alias("_y"), (F.var_pop("_y") * F.count(F.lit(1))).alias("_within")
+    )
+    rows = known.reordered(settled(rows), "_us", max_rows=known.max_rows)
 
     def products(batches):
         held: dict[tuple, np.ndarray] = {}
@@ -360,7 +365,9 @@ def fit_long(s: Series, options: ForecastOptions) -> DataFrame:
                 trial = np.asarray(head["trial"], float)
                 with np.errstate(over="ignore", invalid="ignore"):
                     d = linearised(a, x, part["_y"].to_numpy() / head["y_scale"], trial[:n_trend], trial[n_trend:], options, head["cap"])
-                    held[key] = held.get(key, 0.0) + d.T @ d
+                    m = (d * part["_w"].to_numpy(float)[:, None]).T @ d
+                    m[-1, -1] += part["_within"].sum() / head["y_scale"] ** 2
+                    held[key] = held.get(key, 0.0) + m
             if len(held) >= FLUSH_KEYS:
                 yield flush()
         if held:
@@ -371,7 +378,7 @@ def fit_long(s: Series, options: ForecastOptions) -> DataFrame:
         wanted = scales.join(state.select(*keys, "trial"), keys).select(
             *keys, "t0", "t1", "y_scale", "cps", "reg_mean", "reg_std", "cap", "on", "trial"
         )
-        parts = attach(rows, wanted).where("trial IS NOT NULL").drop(*[c for c in known.order if c not in keys])
+        parts = attach(rows, wanted).where("trial IS NOT NULL")
         parts = parts.mapInPandas(products, f"{names}, products array<double>")
         return parts.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector("products"))).alias("measured"))
 
