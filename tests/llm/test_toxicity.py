@@ -149,3 +149,21 @@ def test_awkward_rows(spark, awkward, empty, rated):
     rows = tx.toxicity(awkward, labels).collect()
     assert len(rows) == 10 and all(0 <= r["score"] <= 1 for r in rows)
     assert tx.toxicity(empty, labels).count() == 0
+
+
+def test_beginnings_of_words_give_back_what_a_worker_keeps():
+    """Caches of an earlier stage would lie beside the fit's tables until the first text is scored."""
+    import sys
+
+    import pyarrow as pa
+
+    from tidemark.llm import common
+
+    common.per_worker(("pieces", 1), lambda: bytearray(1 << 20))
+    words = [["idiots", "idiotic"], ["tree"]] * 250
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 0] * 250, pa.int32()), pa.array(words)], ["toxic", "words"])
+    parts = list(tx._begun(iter([batch])))
+    assert not any(isinstance(k, tuple) for k in sys.modules["tidemark_worker"].__dict__)
+    got = [(r["toxic"], r["term"]) for p in parts for r in p.to_pylist()]
+    assert max(map(len, parts)) < len(got) and got.count((1, "idio")) == 250 == got.count((0, "tree"))
+    assert set(got) == {(0, "tree"), *((1, t) for t in ("idio", "idiot", "idiots", "idioti", "idiotic"))}

@@ -270,6 +270,23 @@ def _beyond_chance(pos: int, n: int, share: float, tested: int) -> float:
     return n * apart - math.log(max(tested, 1))
 
 
+def _begun(batches: Iterator[pa.RecordBatch]):
+    """Beginnings of each row's words, once a row."""
+    forget()
+    for batch in (block for batch in batches for block in _rows_of(batch)):
+        flags, terms = [], []
+        for flag, own in zip(batch.column("toxic").to_pylist(), batch.column("words").to_pylist()):
+            stems = {w[:k] for w in own for k in range(SHORT_STEM, min(len(w), LONG_STEM) + 1)}
+            terms += stems
+            flags += [flag] * len(stems)
+        yield pa.RecordBatch.from_arrays([pa.array(flags, pa.int32()), pa.array(terms, pa.string())], ["toxic", "term"])
+
+
+def _rows_of(batch: pa.RecordBatch, most: int = 200) -> Iterator[pa.RecordBatch]:
+    """Runs of at most ``most`` rows."""
+    return (batch.slice(at, most) for at in range(0, len(batch), most))
+
+
 def learn_terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """Words and stems that toxic rows have and clean ones hardly have, of at least four letters.
 
@@ -287,15 +304,6 @@ def learn_terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
         "toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("words")
     )
 
-    def begun(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            flags, terms = [], []
-            for flag, own in zip(batch.column("toxic").to_pylist(), batch.column("words").to_pylist()):
-                stems = {w[:k] for w in own for k in range(SHORT_STEM, min(len(w), LONG_STEM) + 1)}
-                terms += stems
-                flags += [flag] * len(stems)
-            yield pa.RecordBatch.from_arrays([pa.array(flags, pa.int32()), pa.array(terms, pa.string())], ["toxic", "term"])
-
     def counted(table: DataFrame) -> DataFrame:
         return table.groupBy("term").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n")).where(f"pos >= {LEAST_ROWS}")
 
@@ -311,7 +319,7 @@ def learn_terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     spread = forms.select("pos", "word", length).groupBy(F.substring("word", F.lit(1), F.col("k")).alias("term")).agg(
         F.count(F.lit(1)).alias("forms"), F.max("pos").alias("most")
     ).where(f"forms >= {LEAST_FORMS}")
-    begins = counted(rows.mapInArrow(begun, "toxic int, term string"))
+    begins = counted(rows.mapInArrow(_begun, "toxic int, term string"))
     begins = settled(begins.join(spread, "term").where("2 * most <= pos"))
     stems: set[str] = set()
     taken: set[str] = set()  # beginnings of stems
