@@ -113,3 +113,24 @@ def test_a_text_that_does_not_come_back_says_so(docs):
     """The vocabulary writes blanks as U+2581, so one in a text becomes a blank."""
     rows = P.sample_segmentations(docs({1: "a\u2581b c", 2: "a b c"}), PIECES).collect()
     assert {r["doc_id"]: r["round_trip"] for r in rows} == {1: False, 2: True}
+
+
+def test_units_that_came_once_are_known_in_their_batch_alone():
+    """No entry is made and taken back for each of them; the second time one stays."""
+    lat = P.Lattices(VOCABULARY)
+    one, two = P.split_units(["rare words here"]), P.split_units(["rare words here", "and others"])
+    with np.errstate(over="ignore", divide="ignore"):
+        first = lat.nodes_of(one)
+        assert len(first) == 3 and (first > 0).all() and not lat.start
+        again = lat.nodes_of(two)
+    assert set(lat.start) == set(one.hash.tolist()) and len(set(again.tolist())) == 5
+    assert [lat.start[h] for h in one.hash.tolist()] == again[:3].tolist()
+
+
+def test_code_points_outside_the_vocabulary_become_their_bytes():
+    lat = P.Lattices(VOCABULARY)
+    lat.id = np.array([5, -1 - 0x10FFFF, 6, -1 - 0x7F, -1 - 0x7FF, -1 - 0xFFFD, -1 - 0x10FFFF], np.int32)
+    ids, counts = P.ids_of(lat, np.arange(7), np.array([2, 0, 5]))
+    b = lat.vocabulary.byte_ids
+    far, mid, low = (b[list(chr(c).encode())].tolist() for c in (0x10FFFF, 0xFFFD, 0x7FF))
+    assert ids.tolist() == [5, *far, 6, b[0x7F], *low, *mid, *far] and counts.tolist() == [5, 0, 1 + 1 + 2 + 3 + 4]

@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -136,8 +137,8 @@ class Lattices:
         self.first = np.zeros(2, np.int64)  # per node; one entry more than nodes
         self.next, self.id, self.source = (np.zeros(0, np.int32) for _ in range(3))
         self.log, self.sum = np.zeros(0), np.zeros(0)
-        self.seen = bytearray(SEEN_SLOTS)  # units that came once, by hash
-        self.once: list[int] = []
+        self.seen = np.zeros(SEEN_SLOTS, bool)  # units that came once, by hash
+        self.once = np.zeros(0, U64)
         self.kept = 1, 0  # nodes (with the end) and edges that stay
 
     def nodes_of(self, units: Units) -> np.ndarray:
@@ -146,36 +147,30 @@ class Lattices:
         self.first = self.first[: nodes + 1]
         for name in ("next", "id", "source", "log", "sum"):
             setattr(self, name, getattr(self, name)[:edges])
-        seen, mask = self.seen, SEEN_SLOTS - 1
-        for unit in self.once:
-            del self.start[unit]
-            seen[unit & mask] = 1
-        self.once = []
+        mask = U64(SEEN_SLOTS - 1)
+        self.seen[self.once & mask] = True
         different, at, inverse = np.unique(units.hash, return_index=True, return_inverse=True)
         keys = different.tolist()
-        known = list(map(self.start.get, keys))
-        missing = [k for k, node in enumerate(known) if node is None]
-        if missing:
-            again, once = [], missing
-            if nodes < CACHE_NODES:
-                came = [seen[keys[k] & mask] for k in missing]
-                again = [k for k, c in zip(missing, came) if c]
-                once = [k for k, c in zip(missing, came) if not c]
-
-            def add(some: list[int]) -> None:
-                for a in range(0, len(some), ADD):
-                    part = some[a : a + ADD]
-                    self._add([keys[k] for k in part], units.texts(at[part]))
-
-            add(again)
-            self.kept = len(self.first) - 1, len(self.next)
-            self.once = [keys[k] for k in once]
-            add(once)
-            for k in missing:
-                known[k] = self.start[keys[k]]
-        return np.array(known, np.int64)[inverse]
-
-    def _add(self, keys: list[int], units: list[str]) -> None:
+        known = np.fromiter(map(self.start.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(known < 0)
+        came = self.seen[different[missing] & mask] & (nodes < CACHE_NODES)
+
+        def add(some: np.ndarray) -> None:
+            for a in range(0, len(some), ADD):
+                part = some[a : a + ADD]
+                known[part] = self._add(units.texts(at[part]))
+
+        again, once = missing[came], missing[~came]
+        add(again)
+        self.start.update(zip(different[again].tolist(), known[again].tolist()))
+        self.kept = len(self.first) - 1, len(self.next)
+        # Units that came once are known in this batch alone.
+        self.once = different[once]
+        add(once)
+        return known[inverse]
+
+    def _add(self, units: list[str]) -> np.ndarray:
+        """Lattices of units; the first node of each."""
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array(list(map(len, units)), np.int64)
         borders = np.concatenate([[0], np.cumsum(sizes)])
@@ -240,7 +235,7 @@ class Lattices:
                 room[: len(old)] = old
             room[len(old) : n] = new
             setattr(self, name, room[:n])
-        self.start.update(zip(keys, (offset + borders[:-1]).tolist()))
+        return offset + borders[:-1]
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A sampled edge sequence from each node to its unit's end: edges, first of each node."""
@@ -380,14 +375,20 @@ def ids_of(lat: Lattices, edges: np.ndarray, counts: np.ndarray) -> tuple[np.nda
     odd = np.flatnonzero(ids < 0)
     if not len(odd):
         return ids, counts
-    size, pieces, last = np.ones(len(ids), np.int64), [], 0
-    for at in odd:
-        raw = chr(-1 - int(ids[at])).encode("utf-8", "surrogatepass")
-        size[at] = len(raw)
-        pieces += [ids[last:at], lat.vocabulary.byte_ids[list(raw)].astype(np.int32)]
-        last = at + 1
-    borders = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-    return np.concatenate([*pieces, ids[last:]]), np.diff(borders)
+    points, which = np.unique(-1 - ids[odd], return_inverse=True)
+    raw = [chr(p).encode("utf-8", "surrogatepass") for p in points.tolist()]
+    width = np.array(list(map(len, raw)), np.int64)
+    table = np.zeros((len(raw), 4), np.int32)
+    for k, x in enumerate(raw):
+        table[k, : len(x)] = lat.vocabulary.byte_ids[list(x)]
+    size = np.ones(len(ids), np.int64)
+    size[odd] = width[which]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = np.repeat(ids, size)
+    for byte in range(4):
+        long = width[which] > byte
+        out[ends[odd[long]] + byte] = table[which[long], byte]
+    return out, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
 
 class Decoder:
