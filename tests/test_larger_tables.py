@@ -132,3 +132,39 @@ def test_rows_of_one_time_meet_before_the_rounds(spark, monkeypatch):
         assert got[k].status == "ok" and got[k].n == want[k].n == 2000
         assert got[k].sigma == pytest.approx(want[k].sigma, rel=1e-3)
         assert got[k].trend[0] == pytest.approx(want[k].trend[0], rel=1e-2)
+
+
+def test_series_smoothed_together_are_those_smoothed_alone():
+    rng = np.random.default_rng(3)
+    ys = [rng.normal(50, 9, n) for n in (24, 25, 90, 61, 24, 300)]
+    ys[3][40] = np.nan
+    steps = [3, 1, 30, 5, 0, 40]
+    for got, y, n in zip(ensemble.smooth_together(ys, steps, 12), ys, steps, strict=True):
+        np.testing.assert_array_equal(got, ensemble.smooth_arrays(y, n, 12))
+
+
+def test_keys_are_smoothed_beside_each_other(spark, monkeypatch):
+    """No Python call per key; keys across batches and chunks, short, NULL and unknown ones, NULL times to forecast."""
+    monkeypatch.setattr(ensemble, "SMOOTHED_ROWS", 40)
+    sizes = {"a": 70, "b": 13, "c": 33, None: 41, "d": 30, "idle": 50}
+    rows = [(k, i, float((i * i * 31) % 17 + i)) for k, n in sizes.items() for i in range(n)] + [("c", 99, None)]
+    ahead = [(k, i) for k in ("a", "b", "c", None, "d", "new") for i in (205, 203, None, 204)]
+    at = F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, i)").alias("ds")
+    train = series(spark.createDataFrame(rows, "key string, i int, y double").select("key", at, "y"), max_rows=100)
+    target = spark.createDataFrame(ahead, "key string, i int").select("key", at)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = ensemble.exp_smoothing(train, target, 12)
+        got = {(r.key, r.ds and r.ds.day): (r.yhat, r.status) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = plan_of(out)
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+    want = {}
+    for k in ("a", "b", "c", None, "d", "new"):
+        y = np.array([v for key, i, v in rows if key == k and v is not None])
+        short = len(y) < 24
+        found = [None] * 4 if short else ensemble.smooth_arrays(y, 4, 12).tolist()
+        days = [*(r.day for r in spark.sql("SELECT explode(array(203, 204, 205)) AS i").select(F.dayofmonth(at).alias("day")).collect()), None]
+        want |= {(k, d): (v, f"needs 24 rows, got {len(y)}" if short else "ok") for d, v in zip(days, found)}
+    assert got == want

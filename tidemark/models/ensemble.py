@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -19,7 +20,7 @@ from tidemark.models.fit import fit, key_schema
 from tidemark.models.predict import predict
 from tidemark.operators.features import regressor_features
 from tidemark.plans.segments import BASE, SEG, attach, fill, planned, segment, settle, windowed
-from tidemark.plans.series import Series, numeric_columns, string_columns
+from tidemark.plans.series import Series, numeric_columns, string_columns, whole_keys
 from tidemark.session import settled
 
 # The date parts that trees take.
@@ -135,32 +136,96 @@ def smooth_arrays(y: np.ndarray, steps: int, period: int = 30) -> np.ndarray:
     return best[0] + ahead * best[1] + best[2:][(len(y) + ahead - 1) % period]
 
 
+SMOOTHED_ROWS = 200_000  # rows of whole keys that a task smooths at a time; a longer key makes more
+BESIDE, PADDED = 256, 1_000_000  # series that advance together at most, and values of their array
+
+
+def smooth_together(ys: Sequence[np.ndarray], steps: Sequence[int], period: int = 30) -> list[np.ndarray]:
+    """What ``smooth_arrays`` gives for each series, the same to the last bit; all advance together.
+
+    The longest come first, so a series that ends is cut off the right side of the arrays.
+    """
+    order = sorted(range(len(ys)), key=lambda k: -len(ys[k]))
+    out: list = [None] * len(ys)
+    a, b, g = (v[:, None] for v in _factors())
+    while order:
+        width = max(1, min(BESIDE, PADDED // max(len(ys[order[0]]), 1)))
+        part, order = order[:width], order[width:]
+        lengths = np.array([len(ys[k]) for k in part])
+        active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # series with a row at each place
+        y = np.zeros((lengths[0], len(part)))
+        for j, k in enumerate(part):
+            y[: lengths[j], j] = ys[k]
+        start = np.stack([start_smoothing(ys[k], period) for k in part], axis=1)
+        sse, level, slope = (np.repeat(v[None], len(a), axis=0) for v in (np.zeros(len(part)), start[0], start[1]))
+        season = np.repeat(start[2:, None], len(a), axis=1)
+        for i, n in enumerate(active.tolist()):
+            value, wave = y[i, :n], season[i % period, :, :n]
+            old, down = level[:, :n].copy(), slope[:, :n]
+            sse[:, :n] += (value - (old + down + wave)) ** 2
+            new = a * (value - wave) + (1 - a) * (old + down)
+            level[:, :n] = new
+            slope[:, :n] = b * (new - old) + (1 - b) * down
+            season[i % period, :, :n] = g * (value - new) + (1 - g) * wave
+        best = np.argmin(sse, axis=0)
+        for j, k in enumerate(part):
+            ahead, c = np.arange(1, steps[k] + 1), best[j]
+            out[k] = level[c, j] + ahead * slope[c, j] + season[(lengths[j] + ahead - 1) % period, c, j]
+    return out
+
+
+def _smoothed(period: int, shown: Sequence[str]):
+    """Forecasts of whole keys: ``_place`` numbers a key's rows, the known ones first."""
+
+    def forecast(rows: pa.Table) -> pa.Table:
+        known = rows.column("_known").to_numpy()
+        head = np.flatnonzero(rows.column("_place").to_numpy() == 1)
+        n = np.add.reduceat(known.astype(np.int64), head)
+        ahead = np.diff(np.append(head, len(known))) - n
+        y = rows.column("_y").to_numpy()
+        asked = [k for k in range(len(head)) if ahead[k] and n[k] >= 2 * period]
+        found = smooth_together([y[head[k] : head[k] + n[k]] for k in asked], [int(ahead[k]) for k in asked], period)
+        yhat = np.full(len(known), np.nan)
+        for k, v in zip(asked, found):
+            yhat[head[k] + n[k] : head[k] + n[k] + ahead[k]] = v
+        told = pa.array(["ok" if c >= 2 * period else f"needs {2 * period} rows, got {c}" for c in n.tolist()], pa.string())
+        status = told.take(pa.array(np.repeat(np.arange(len(head)), n + ahead)))
+        out = rows.select(list(shown)).append_column("yhat", pa.array(yhat, mask=np.isnan(yhat))).append_column("status", status)
+        return out.filter(pa.array(~known))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for rows in whole_keys(batches, SMOOTHED_ROWS):
+            yield from forecast(rows).to_batches()
+
+    return run
+
+
 def exp_smoothing(train: Series, target: DataFrame, period: int = 30) -> DataFrame:
     """Forecast the rows of ``target`` (keys, ds) in their order after the training rows.
 
     Every row comes back: a key with too short a history has NULL forecasts and says so in status.
-    A key of a bounded series is smoothed by one task; long ones by segments, with the same result.
+    A key of a bounded series is smoothed by one task, many keys beside each other; long ones by
+    segments, with the same result.
     """
     keys = list(train.keys)
     ahead = target.select(*keys, F.col(train.ds).alias("ds"))
     known = planned(settle(train.filtered(train.df.where(F.col(train.y).isNotNull()))))
     if not known.bounded:
         return _smooth_long(known, ahead, period)
-    rows = known.df.select(*keys, F.struct(*known.order).alias("at"), F.col(train.y).cast("double").alias("y"))
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).drop("at")
-    # Both sides may come from one table: fresh column ids keep the cogroup's keys apart.
-    ahead = ahead.toDF(*ahead.columns)
-
-    def run(rows: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
-        out = ahead.sort_values("ds").reset_index(drop=True)
-        y = rows.sort_values("i")["y"].to_numpy()
-        if len(y) < 2 * period:
-            return out.assign(yhat=np.nan, status=f"needs {2 * period} rows, got {len(y)}")
-        return out.assign(yhat=smooth_arrays(y, len(out), period), status="ok")
-
+    # Both kinds of rows stream past in order: a key's training rows, then those to forecast. A target column
+    # comes along unread, so that two parts of one table share its scan and shuffle.
+    at = {f"_at{i}": F.col(c) for i, c in enumerate(known.order)}
+    value = F.col(train.y).cast("double").alias("_y")
+    rows = known.df.select(*keys, F.lit(True).alias("_known"), *[c.alias(n) for n, c in at.items()], value)
+    asked = target.select(
+        *keys, F.lit(False).alias("_known"), F.col(train.ds).alias("ds"), *([value] if train.y in target.columns else [])
+    )
+    place = Window.partitionBy(*keys).orderBy(F.desc("_known"), *at, F.asc_nulls_last("ds"))
+    rows = rows.unionByName(asked, allowMissingColumns=True).withColumn("_place", F.row_number().over(place))
+    rows = rows.select(*keys, "ds", "_known", "_y", "_place")
     kinds = {f.name: f.dataType.simpleString() for f in ahead.schema.fields}
     schema = f"{key_schema(train.df, keys)}, ds {kinds['ds']}, yhat double, status string"
-    return rows.groupBy(*keys).cogroup(ahead.groupBy(*keys)).applyInPandas(run, schema)
+    return rows.mapInArrow(_smoothed(period, [*keys, "ds"]), schema)
 
 
 def _smooth_long(known: Series, ahead: DataFrame, period: int) -> DataFrame:

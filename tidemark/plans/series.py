@@ -10,9 +10,11 @@ each long key into segments; see :mod:`tidemark.plans.segments`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,3 +139,21 @@ def slots(start: str, end: str, step_seconds: float) -> int:
     if span <= 0:
         raise ValueError("start must lie before end")
     return int(span // step_seconds) + 1
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows that stream past in order, as tables of whole keys of about ``most`` rows; ``_place`` numbers a key's rows from 1."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < most:
+            continue
+        # The last key may go on in the next batch; a key that fills all that is held has not ended.
+        begins = np.flatnonzero(batch.column("_place").to_numpy() == 1)
+        if len(begins) and (cut := rows - batch.num_rows + int(begins[-1])):
+            found = pa.Table.from_batches(held)
+            yield found.slice(0, cut)
+            held, rows = found.slice(cut).to_batches(), rows - cut
+    if rows:
+        yield pa.Table.from_batches(held)
