@@ -168,3 +168,36 @@ def test_keys_are_smoothed_beside_each_other(spark, monkeypatch):
         days = [*(r.day for r in spark.sql("SELECT explode(array(203, 204, 205)) AS i").select(F.dayofmonth(at).alias("day")).collect()), None]
         want |= {(k, d): (v, f"needs 24 rows, got {len(y)}" if short else "ok") for d, v in zip(days, found)}
     assert got == want
+
+
+def test_copied_rows_of_segments_do_not_come_back_from_python(spark):
+    """Rows copied for the look-back end in Python, and segments are told apart by the sort prefix."""
+    df = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS key", "id",
+        "timestamp'2024-01-01' + make_interval(0, 0, 0, CAST(id DIV 50 AS INT)) AS ds", "CASE WHEN id % 11 <> 4 THEN (id * 7919 % 1009) / 8.0D END AS y",
+    )
+    new = features.rolling_columns(series(df, seq=["id"], segment_rows=200), (7,)).df
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("MapInArrow", 1)
+    assert "Filter" not in above and "_cell" not in below.split("\n")[0] and "[_seg" in below
+    plain = features.rolling_columns(series(df, seq=["id"], max_rows=3000), (7,)).df
+    assert new.count() == 3000
+    same_rows(new.select(sorted(new.columns)), plain.select(sorted(new.columns)))
+
+
+def test_shown_doubles_are_rounded_as_by_decimals(spark):
+    """Numbers are rounded without a decimal where that gives the same, ties and large ones by it."""
+    from pyspark.sql import types as T
+
+    from catalog import registry
+
+    rng = np.random.default_rng(8)
+    values = [*(rng.normal(0, 1, 3000) * 10.0 ** rng.integers(-9, 19, 3000)), *(rng.integers(-10**6, 10**6, 1000) / 2e4), *np.nextafter(rng.integers(-999, 999, 500) / 2e4, np.inf)]
+    values += [0.0, -0.0, -0.00004, float("nan"), float("inf"), float("-inf"), None, 1e300, 4.5e15, 123456.00005, -123456.00005]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    for digits in (0, 3, 4):
+        shown = registry._shown(T.StructField("v", T.DoubleType()), digits)
+        old = F.round(F.col("v") + F.lit(registry._nudge(digits)), digits) + F.lit(0.0)
+        rows = df.select("v", shown.alias("new"), old.alias("old")).where("NOT (new <=> old) OR (new = 0 AND CAST(new AS STRING) <> CAST(old AS STRING))")
+        assert rows.collect() == []
+    assert shown._jc.toString().count("round") == 1 and "CASE WHEN" in shown._jc.toString()

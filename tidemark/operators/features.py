@@ -6,14 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from tidemark.functions.calendar import add_calendar
 from tidemark.operators.profile import decorrelate
-from tidemark.plans.segments import attach, fill, numbered, planned, segment, settle, windowed, with_stats
+from tidemark.plans.segments import HOME, attach, fill, numbered, planned, segment, settle, windowed, with_stats
 from tidemark.plans.series import Series, numeric_columns, strip_tz
 from tidemark.session import settled
 
@@ -72,28 +72,29 @@ def rolling_arrays(x: np.ndarray, known: np.ndarray, place: np.ndarray, n: int,
     ``place`` is a row's number within its key from 1, so frames end where the key begins. Moments
     are taken from the frame's own mean; a constant frame has none beyond it.
     """
-    wide = np.lib.stride_tricks.sliding_window_view(x, n)
-    inside = np.arange(n - 1, -1, -1)[None, :] < place[n - 1 :, None]
-    here = np.lib.stride_tricks.sliding_window_view(known, n) & inside
-    m = here.sum(axis=1).astype(float)
-    low = np.fmin.reduce(np.where(here, wide, np.nan), axis=1)
-    high = np.where(here, wide, -np.inf).max(axis=1)  # NaN is the largest value
+    # A frame is a column: sums over the frames' places go along the rows, many frames at a time.
+    wide = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, n).T)
+    inside = np.arange(n - 1, -1, -1)[:, None] < place[None, n - 1 :]
+    here = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(known, n).T) & inside
+    m = here.sum(axis=0).astype(float)
+    low = np.fmin.reduce(np.where(here, wide, np.nan), axis=0)
+    high = np.where(here, wide, -np.inf).max(axis=0)  # NaN is the largest value
     with np.errstate(all="ignore"):
-        mean = np.where(here, wide, 0.0).sum(axis=1) / m
-        d = np.where(here, wide - mean[:, None], 0.0)
-        d[low == high] = 0.0
+        mean = np.where(here, wide, 0.0).sum(axis=0) / m
+        d = np.where(here, wide - mean, 0.0)
+        d[:, low == high] = 0.0
         d2 = d * d
-        m2 = d2.sum(axis=1)
+        m2 = d2.sum(axis=0)
         flat = m2 == 0
         out = {
             "mean": (mean, m == 0), "std": (np.sqrt(m2 / (m - 1)), m < 2),
             "min": (low, m == 0), "max": (high, m == 0),
         }
         if "skew" in kinds:
-            value = np.sqrt(m) * (d2 * d).sum(axis=1) / np.sqrt(m2 * m2 * m2) * np.sqrt(m * (m - 1)) / (m - 2)
+            value = np.sqrt(m) * (d2 * d).sum(axis=0) / np.sqrt(m2 * m2 * m2) * np.sqrt(m * (m - 1)) / (m - 2)
             out["skew"] = (np.where(flat, 0.0, value), m < 3)
         if "kurt" in kinds:
-            value = ((m + 1) * (m * (d2 * d2).sum(axis=1) / (m2 * m2) - 3) + 6) * (m - 1) / ((m - 2) * (m - 3))
+            value = ((m + 1) * (m * (d2 * d2).sum(axis=0) / (m2 * m2) - 3) + 6) * (m - 1) / ((m - 2) * (m - 3))
             out["kurt"] = (np.where(flat, -3.0, value), m < 4)
     return {k: out[k] for k in kinds}
 
@@ -110,7 +111,13 @@ def _rolling_frames(s: Series, windows: Sequence[int], statistics: Sequence[str]
             raise ValueError(f"unknown statistic {kind!r}; one of {STATISTICS}")
     most, out = max(windows), {f"rolling_{k}_{n}": (k, n) for n in windows for k in statistics}
     seg = segment(s, most)
-    df = seg.df.withColumn("_place", F.row_number().over(seg.window()))
+    kept = [f for f in s.df.schema.fields if f.name not in out]
+    # Only a row's own columns go to Python, and copied rows do not come back. Sorting by the number of the
+    # segment first tells most rows apart by their sort prefix.
+    window = Window.partitionBy(*reversed(seg.part)).orderBy(*s.order)
+    home = [HOME] if seg.split else []
+    passed = dict.fromkeys([*[f.name for f in kept], col, *home, "_place"])
+    df = seg.df.withColumn("_place", F.row_number().over(window)).select(*passed)
     rows_at_once = max(1, FRAME_VALUES // most)
 
     def frames(batches):
@@ -129,14 +136,14 @@ def _rolling_frames(s: Series, windows: Sequence[int], statistics: Sequence[str]
                     part = slice(most - n, None)
                     for k, v in rolling_arrays(x[part], known[part], place[part], n, statistics).items():
                         found[k, n] = pa.array(v[0], mask=v[1])
-                columns = {c: batch.column(c) for c in batch.schema.names if c != "_place" and c not in out}
-                yield pa.RecordBatch.from_pydict(columns | {name: found[at] for name, at in out.items()})
+                columns = {f.name: batch.column(f.name) for f in kept}
+                done = pa.RecordBatch.from_pydict(columns | {name: found[at] for name, at in out.items()})
+                yield done.filter(batch.column(HOME)) if home else done
                 keep = len(x) - (most - 1)
                 x, known, place = x[keep:], known[keep:], place[keep:]
 
-    kept = [f for f in seg.df.schema.fields if f.name not in out]
     schema = T.StructType([*kept, *[T.StructField(name, T.DoubleType()) for name in out]])
-    return seg.finish(df.mapInArrow(frames, schema))
+    return df.mapInArrow(frames, schema)
 
 
 def rolling_columns(
