@@ -201,3 +201,31 @@ def test_shown_doubles_are_rounded_as_by_decimals(spark):
         rows = df.select("v", shown.alias("new"), old.alias("old")).where("NOT (new <=> old) OR (new = 0 AND CAST(new AS STRING) <> CAST(old AS STRING))")
         assert rows.collect() == []
     assert shown._jc.toString().count("round") == 1 and "CASE WHEN" in shown._jc.toString()
+
+
+def test_keys_are_fitted_from_tables_of_many(spark, monkeypatch):
+    """No Python call per key: gaps, NULL keys, times and regressors, keys across batches and chunks, as fitted alone."""
+    from tidemark.models import design, fit
+
+    monkeypatch.setattr(fit, "FITTED_ROWS", 50)
+    rows = [(k, i, None if i % 9 == 4 else 50.0 + i + (i * i * 7) % 13, float(i % 4)) for k, n in (("a", 70), ("b", 33), (None, 45)) for i in range(n)]
+    rows += [("one", 1, 5.0, 0.0), ("untimed", 1, 5.0, 0.0), ("untimed", 2, 6.0, 0.0), ("untimed", None, 7.0, 0.0), ("bad", 1, 2.0, None), ("bad", 2, 3.0, 1.0), ("bad", 3, 5.0, 1.0)]
+    df = spark.createDataFrame(rows[::-1], "key string, i int, y double, x double").withColumn("ds", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, i)"))
+    o = design.ForecastOptions(regressors=("x",))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = fit.fit(series(df, max_rows=100), o)
+        got = {r.key: r.asDict() for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = plan_of(out)
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and set(got) == {"a", "b", None, "one", "untimed", "bad"}
+    first = 1704067200000000
+    for k in ("a", "b", None):
+        part = [r for r in rows if r[0] == k]
+        us, y, x = (np.array([v(r) for r in part]) for v in (lambda r: first + r[1] * fit.DAY_US, lambda r: np.nan if r[2] is None else r[2], lambda r: r[3]))
+        want = fit.fit_arrays(us, y, x[:, None], o)
+        for name, v in want.items():
+            assert got[k][name] == (v.tolist() if isinstance(v, np.ndarray) else v), (k, name)
+    assert "two known values" in got["one"]["status"] and "regressor" in got["bad"]["status"] and "NaN" in got["untimed"]["status"]
+    assert got["bad"]["trend"] == [] and got["bad"]["n"] is None and got["bad"]["sigma"] is None

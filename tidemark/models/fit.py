@@ -13,13 +13,14 @@ coefficients take damped Gauss-Newton steps, the same ones in both.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.models.design import (
@@ -27,7 +28,7 @@ from tidemark.models.design import (
     trend_basis,
 )
 from tidemark.plans.segments import attach, planned, settle, windowed
-from tidemark.plans.series import Series
+from tidemark.plans.series import Series, whole_keys
 from tidemark.session import settled
 
 TOLERANCE = 1e-4  # rounds end when a step lowers the cost by no larger share
@@ -40,7 +41,8 @@ PARAM_FIELDS = (
 
 
 def _solve(gram: np.ndarray, xy: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-    a = gram + np.diag(penalty)
+    a = gram.copy()
+    a.flat[:: len(a) + 1] += penalty
     try:
         return np.linalg.solve(a, xy)
     except np.linalg.LinAlgError:
@@ -97,10 +99,16 @@ def linearised(
     if o.growth == "logistic":
         share = _sigmoid(line)
         g, slope = cap * share, a * (cap * share * (1 - share))[:, None]
+    out = np.empty((len(y), a.shape[1] + x.shape[1] + 1))
+    out_a, out_x = out[:, : a.shape[1]], out[:, a.shape[1] : -1]
     if o.seasonality_mode == "multiplicative":
         lift = 1 + effect
-        return np.column_stack([slope * lift[:, None], x * g[:, None], y - g * lift])
-    return np.column_stack([slope, x, y - g - effect])
+        np.multiply(slope, lift[:, None], out=out_a)
+        np.multiply(x, g[:, None], out=out_x)
+        out[:, -1] = y - g * lift
+    else:
+        out_a[:], out_x[:], out[:, -1] = slope, x, y - g - effect
+    return out
 
 
 def start_state(width: int) -> dict:
@@ -149,7 +157,9 @@ def next_state(
         out |= {"growing": 2 * state["growing"], "done": damping > 1e8}
     gram, slope = m[:width, :width], m[:width, width] - pen * now
     damping = damping if damping > 1e-9 else 0.0
-    step = _solve(gram + damping * np.diag(np.diag(gram)), slope, pen)
+    damped = gram.copy()
+    damped.flat[:: width + 1] += damping * gram.diagonal()
+    step = _solve(damped, slope, pen)
     promised = float(2 * step @ slope - step @ gram @ step - pen @ step**2)
     out |= {"trial": now + step, "damping": damping, "promised": promised}
     out["done"] = bool(out["done"] or out["rounds"] >= o.sweeps)
@@ -263,22 +273,46 @@ def require_bounded(s: Series, what: str) -> None:
 
 
 def fit(s: Series, options: ForecastOptions = ForecastOptions()) -> DataFrame:
-    """One row of fitted parameters per key; a key that cannot be fitted says why in status."""
+    """One row of fitted parameters per key; a key that cannot be fitted says why in status.
+
+    Rows stream past in order, so a task makes tables of many keys and no data frame per key.
+    """
     require_bounded(s, "fit")
     keys, regs = list(s.keys), list(options.regressors)
+    place = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("us"))
+    rows = narrow(s, regs).withColumn("_place", F.row_number().over(place))
+    schema = f"{key_schema(s.df, keys)}, {PARAM_FIELDS}"
+    return rows.mapInArrow(_fitted(keys, regs, options), schema)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("us")
-        try:
-            out = fit_arrays(
-                rows["us"].to_numpy(), rows["y"].to_numpy(float), rows[regs].to_numpy(float), options
-            )
-        except (ValueError, np.linalg.LinAlgError) as error:
-            out = failed(options, error)
-        return pd.DataFrame([{**{k: rows[k].iloc[0] for k in keys}, **out}])
 
-    schema = f"{key_schema(s.df, keys)}, {PARAM_FIELDS}"
-    return narrow(s, regs).groupBy(*keys).applyInPandas(one, schema)
+FITTED_ROWS = 50_000  # rows of whole keys that a task fits at a time; a longer key makes more
+
+
+def _fitted(keys: Sequence[str], regs: Sequence[str], options: ForecastOptions):
+    """Parameters of whole keys, whose rows ``_place`` numbers in order of time."""
+    arrow = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    kinds = {name: arrow[kind] for name, kind in (f.split() for f in PARAM_FIELDS.split(", "))}
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for rows in whole_keys(batches, FITTED_ROWS):
+            head = np.flatnonzero(rows.column("_place").to_numpy() == 1)
+            us, y = rows.column("us"), rows.column("y").to_numpy().astype(float, copy=False)
+            times, timed = us.fill_null(0).to_numpy(), us.is_valid().to_numpy()
+            x = np.column_stack([np.zeros((len(y), 0)), *[rows.column(c).to_numpy().astype(float, copy=False) for c in regs]])
+            out = []
+            for a, b in zip(head.tolist(), [*head[1:].tolist(), len(y)]):
+                # A NULL time is no whole number.
+                t = times[a:b] if timed[a:b].all() else np.where(timed[a:b], times[a:b].astype(float), np.nan)
+                try:
+                    out.append(fit_arrays(t, y[a:b], x[a:b], options))
+                except (ValueError, np.linalg.LinAlgError) as error:
+                    out.append(failed(options, error))
+            found = rows.select(list(keys)).take(pa.array(head))
+            for name, kind in kinds.items():
+                found = found.append_column(name, pa.array([r[name] for r in out], kind, from_pandas=True))
+            yield from found.to_batches()
+
+    return run
 
 
 FLUSH_KEYS = 500
