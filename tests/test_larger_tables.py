@@ -229,3 +229,56 @@ def test_keys_are_fitted_from_tables_of_many(spark, monkeypatch):
             assert got[k][name] == (v.tolist() if isinstance(v, np.ndarray) else v), (k, name)
     assert "two known values" in got["one"]["status"] and "regressor" in got["bad"]["status"] and "NaN" in got["untimed"]["status"]
     assert got["bad"]["trend"] == [] and got["bad"]["n"] is None and got["bad"]["sigma"] is None
+
+
+def test_rolling_gaps_of_whole_keys_are_filled_in_one_pass(spark, monkeypatch):
+    """Next value, else the key's statistic or 0: across Arrow batches and tables of keys, and no second shuffle."""
+    rows = [(k, i, None if i % 7 == 3 or i > 120 else float((i * i * 37) % 101 if i % 50 < 30 else 5.1)) for k in ("a", "b", None) for i in range(130)]
+    rows += [("c", i, float(i)) for i in range(3)] + [("d", 0, None), ("e", 0, 4.0)] + [("f", i, None) for i in range(5)]
+    df = spark.createDataFrame(rows[::-1], "key string, i int, y double").withColumn("ds", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, i)"))
+    s = series(df, max_rows=200)
+    names = {f"rolling_{k}_{n}": k for n in (3, 14) for k in features.STATISTICS}
+    w = Window.partitionBy("key").orderBy(F.desc("ds")).rowsBetween(Window.unboundedPreceding, 0)
+    key = Window.partitionBy("key")
+    rest = {"mean": F.avg("y"), "std": F.stddev_samp("y"), "min": F.min("y"), "max": F.max("y")}
+    rest = {k: c.over(key) for k, c in rest.items()} | {"skew": F.lit(0.0), "kurt": F.lit(0.0)}
+    plain = features.rolling_columns(s, (3, 14)).df
+    plain = plain.withColumns({n: F.coalesce(F.last(n, ignorenulls=True).over(w), rest[k]) for n, k in names.items()})
+    monkeypatch.setattr(features, "WHOLE_ROWS", 40)
+    monkeypatch.setattr(features, "FRAME_VALUES", 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        new = features.add_rolling(s, (3, 14)).df
+        assert new.columns == plain.columns
+        got, want = (d.orderBy("key", "ds").collect() for d in (new, plain))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert plan_of(new).count("Exchange hashpartitioning") == 1
+    assert len(got) == len(want) == len(rows)
+    for g, x in zip(got, want):
+        for c in new.columns:
+            assert g[c] == (pytest.approx(x[c], rel=1e-9, abs=1e-9) if isinstance(x[c], float) else x[c]), (c, g, x)
+
+
+def test_features_of_the_workflow_stay_with_their_key(spark):
+    """Models are fitted and asked where the features lie: no row of them is moved after its key came together."""
+    from tidemark.models.design import ForecastOptions
+    from tidemark.plans.workflow import WorkflowConfig, run_workflow
+
+    days = spark.range(400).crossJoin(spark.createDataFrame([("a",), ("b",)], "key string"))
+    df = days.selectExpr("key", "timestamp'2022-01-01' + make_interval(0, 0, 0, CAST(id AS INT)) AS ds", "100 + (id * 7919 % 101) / 4.0D AS y")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = run_workflow(series(df, max_rows=400), WorkflowConfig(periods=40, options=ForecastOptions(samples=20)))
+        assert "Exchange hashpartitioning" not in plan_of(out["params"])
+        moved = [x for x in plan_of(out["metrics"]).split("\n") if "Exchange hashpartitioning" in x]
+        # Parameters, forecasts and actual values by key and time, and errors by key.
+        assert 1 <= len(moved) <= 4
+        history = out["features"].where("is_train")
+        n = {r.key: r["count"] for r in history.groupBy("key").count().collect()}
+        got = {r.key: r["count"] for r in out["forecast"].groupBy("key").count().collect()}
+        assert got == {k: v + 40 for k, v in n.items()} and set(n) == {"a", "b"}
+        assert {r.key for r in out["metrics"].collect()} == {"a", "b"} == {r.key for r in out["summary"].collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
